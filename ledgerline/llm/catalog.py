@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .chat_formatting import ORACLE_OP9, op9_chat_formatting
+from .packing import op1_packing
 from .quality_rules import op10_quality_rules
 from .secret_scans import op2_secret_scans
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op9_chat_formatting, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scans, op9_chat_formatting, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": ORACLE_OP9}
