@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat_formatting import ORACLE_OP9, op9_chat_formatting
+from .language_id import op7_language_id
 from .packing import op1_packing
 from .quality_rules import op10_quality_rules
 from .secret_scans import op2_secret_scans
+from .sentencepiece_coding import op4_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scans, op9_chat_formatting, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scans, op4_sentencepiece, op7_language_id, op9_chat_formatting, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": ORACLE_OP9}

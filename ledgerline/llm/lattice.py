@@ -182,13 +182,13 @@ class PieceLattice:
             beta[own] = np.logaddexp(beta[own], spelt[i:j] + beta[g["chars_to"][i:j]])
         word = np.searchsorted(g["end"], g["start"])
         share = np.exp(alpha[g["start"]] + logp[g["piece"]] + beta[g["to"]] - total[0][word]) * weight[word]
-        out = np.bincount(g["piece"], share, len(logp))
+        out = np.bincount(g["piece"], share, len(logp)).astype(float)
         word = np.searchsorted(g["end"], g["chars"])
         share = np.exp(alpha[g["chars"]] + spelt + beta[g["chars_to"]] - total[0][word]) * weight[word]
         for n in range(1, 5):  # characters of n bytes give a count to each of their bytes
             own = (g["chars_to"] - g["chars"]) == n
             for k in range(n):
-                out += np.bincount(self.byte_ids[g["buf"][g["chars"][own] + k]], share[own], len(logp))
+                out = out + np.bincount(self.byte_ids[g["buf"][g["chars"][own] + k]], share[own], len(logp))
         return out
 
 
