@@ -8,6 +8,7 @@ from .packing import op1_packing
 from .quality_rules import op10_quality_rules
 from .secret_scans import op2_secret_scans
 from .sentencepiece_coding import op4_sentencepiece
+from .topk_search import ORACLE_OP3, op3_exact_topk
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scans, op4_sentencepiece, op7_language_id, op9_chat_formatting, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": ORACLE_OP9}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scans, op3_exact_topk, op4_sentencepiece, op7_language_id, op9_chat_formatting, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_exact_topk": ORACLE_OP3, "op9_chat_formatting": ORACLE_OP9}
