@@ -62,3 +62,11 @@ def connected_components(edges: DataFrame, label: str, rounds: int = 40) -> Data
         if not changed:
             return labels
     raise RuntimeError(f"{label}: components did not settle in {rounds} rounds")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``row_id``: doc_id where all are there and differ, else the rows' place in the order of doc_id (nulls first) and text."""
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("k")).first()
+    if n["n"] == n["k"]:
+        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
+    return materialise(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("row_id", F.monotonically_increasing_id()), "keyed")
