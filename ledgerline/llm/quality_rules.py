@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, text_or_empty
+from .common import broadcast_if_small, documents, materialise, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
@@ -137,9 +137,9 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected documents. Rows that share a doc_id go together; a null doc_id stays unless its row is unmatched."""
-    rejected = quality_verdicts(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rejected documents. Rows that share a doc_id go together; rows with a null doc_id stay."""
+    rejected = materialise(quality_verdicts(docs).where("not kept").select("doc_id").distinct(), "quality-rejected")
+    return docs.join(broadcast_if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
