@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,15 @@ from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
 SIMILARITY, MIN_WORDS, BUCKET_BITS = (4, 5), 5, 19
-NEAR = 8
-#: Sets of more words than this keep 256 parity bits instead of 64.
-SMALL = 80
+NEAR = 16
+#: Lines of a block of the second round, about, and bits of its bitmap of words.
+OPEN_ROWS, WANTED_BITS = 100_000, 24
 PIECE = 1 << 20
-LINES = "bucket int, n long, row_id long, line_no int, h1 long, h2 long"
-PREFIX = "word long, row_id long, line_no int, size int, at int, b0 long, b1 long, b2 long, b3 long"
+#: Shelves that words are dealt to, and parts of the bucket counts.
+SHELVES, PARTS = 2048, 64
+LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
+#: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, the parity of word hashes per bit.
+ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("bits", "<u8", 4)])
 
 
 def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
@@ -77,30 +81,59 @@ def set_keys(s: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan_lines(docs: DataFrame, min_words: int, bits: int) -> DataFrame:
-    """Rows (row_id, line_no, h1, h2) of every line with enough words, and rows (bucket, n): lines with a word in that bucket, by task."""
+    """Rows (row_id, line_no, h1, h2) of every line with enough words, and for each task rows (part, counts): lines with a word in each bucket of that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        names = [x.split()[0] for x in LINES.split(", ")]
+        counts, names = np.zeros(1 << bits, np.int64), [x.split()[0] for x in LINES.split(", ")]
         for batch in batches:
             for s in line_sets(batch, min_words):
                 counts += np.bincount((s["word"] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
                 h1, h2 = set_keys(s)
-                none = [pa.nulls(len(h1), pa.int32()), pa.nulls(len(h1), pa.int64())]
+                none = [pa.nulls(len(h1), pa.int32()), pa.nulls(len(h1), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(s["row_id"]), pa.array(s["line_no"]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
+        if counts.any():
+            parts = [x.tobytes() for x in np.split(counts, PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(PARTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
 
     return docs.select("row_id", "text").mapInArrow(run, LINES)
 
 
-def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int) -> DataFrame:
-    """Prefix words of every set, the first of equal sets in a task speaking for all; ``rarity`` is the broadcast bucket counts."""
+def bucket_counts(scan: DataFrame, bits: int) -> np.ndarray:
+    """The tasks' counts, added up part by part."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << bits) // PARTS, np.int64)
+        for x in pdf["counts"]:
+            total += np.frombuffer(x, np.int64)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
+
+    rows = scan.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # PARTS rows, 2**bits numbers
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
+
+
+def place_keys(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(row.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
+def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, wanted=None) -> DataFrame:
+    """Prefix words of every set, the first of equal sets in a task speaking for all, as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
+
+    ``rarity`` is the broadcast bucket counts; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
+    """
     a, b = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            shelf = (rows["word"] % np.uint64(SHELVES)).astype(np.int32)
+            order = np.argsort(shelf, kind="stable")
+            names, at = np.unique(shelf[order], return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(rows[order], at[1:])], pa.binary())], ["shelf", "entries"])
+
         for batch in batches:
             for s in line_sets(batch, min_words):
                 keys = set_keys(s)[0].tolist()
@@ -109,42 +142,64 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                 order = np.lexsort((word, rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)], line))
                 at = np.arange(len(word)) - first[line]
                 take = (at < (size - -(-a * size // b) + 1)[line]) & fresh[line]
+                if wanted is not None:
+                    w = word[order] % np.uint64(len(wanted.value))
+                    take &= wanted.value[w.astype(np.int64)]
                 bit = (word & np.uint64(255)).astype(np.int64)
-                bit = np.where((size <= SMALL)[line], bit & 63, bit)
                 flag = np.uint64(1) << (bit & 63).astype(np.uint64)
-                parity = [np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first) for k in range(4)]
                 own = line[take]
-                cols = [word[order][take].view(np.int64), s["row_id"][own], s["line_no"][own], size[own].astype(np.int32), at[take].astype(np.int32), *(p[own].view(np.int64) for p in parity)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in PREFIX.split(", ")])
+                rows = np.empty(len(own), ENTRY)
+                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], at[take]
+                for k in range(4):
+                    rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
+                held.append(rows)
+                if sum(map(len, held)) > 200_000:
+                    yield flush()
+        if held:
+            yield flush()
 
-    return docs.select("row_id", "text").mapInArrow(run, PREFIX)
+    return docs.select("row_id", "text").mapInArrow(run, "shelf int, entries binary")
+
+
+def words_of(only):
+    """Slots of the ``wanted`` bitmap that the entries of these lines take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entries in batch.column(1).to_pylist():
+                rows = np.frombuffer(entries, ENTRY)
+                own = rows["word"][np.isin(place_keys(rows["row"], rows["line"]), only.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own % np.uint64(1 << WANTED_BITS)).astype(np.int32))], ["slot"])
+
+    return run
 
 
 PAIRS = "row_a long, line_a int, row_b long, line_b int, more boolean"
 
 
-def meet(similarity: tuple[int, int], near: int | None):
-    """For rows sorted by word, then place: each row's earlier partners in its word's group that pass the filters, at most ``near``."""
+def meet(similarity: tuple[int, int], near: int | None, only=None):
+    """For the entries of whole shelves: each line's earlier partners under a word that pass the filters, at most ``near``; ``only`` for lines whose place keys are in this broadcast array."""
     a, b = similarity
 
-    def group(c: list[np.ndarray]) -> pa.RecordBatch:
-        word, row, line, size, at, *bits = c
-        bits = [x.view(np.uint64) for x in bits]
-        fold = bits[0] ^ bits[1] ^ bits[2] ^ bits[3]
+    def group(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.lexsort((rows["line"], rows["row"], rows["word"]))]
+        word, row, line, size, at = (np.ascontiguousarray(rows[k]) for k in ("word", "row", "line", "size", "at"))
+        size, at, bits = size.astype(np.int64), at.astype(np.int64), np.ascontiguousarray(rows["bits"].T)
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         rank = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
         found, d, count, active = [], 1, np.zeros(len(word), np.int32), np.flatnonzero(rank >= 1)
+        if only is not None:
+            active = active[np.isin(place_keys(row[active], line[active]), only.value)]
         while len(active):
             other = active - d
-            nx, ny = size[active].astype(np.int64), size[other].astype(np.int64)
+            nx, ny = size[active], size[other]
             need = -(-a * (nx + ny) // (a + b))
             ok = (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (np.minimum(nx - at[active], ny - at[other]) >= need) & ((row[active] != row[other]) | (line[active] != line[other]))
             x, y, most = active[ok], other[ok], (nx + ny - 2 * need)[ok]
-            ok = np.bitwise_count(fold[x] ^ fold[y]) <= most
-            x, y, most = x[ok], y[ok], most[ok]
-            wide = sum(np.bitwise_count(q[x] ^ q[y]).astype(np.int64) for q in bits)
-            ok = (wide <= most) | (np.minimum(size[x], size[y]) <= SMALL)
-            x, y = x[ok], y[ok]
+            apart = np.zeros(len(x), np.int64)
+            for q in bits:
+                apart += np.bitwise_count(q[x] ^ q[y])
+            x, y = x[apart <= most], y[apart <= most]
             count[x] += 1
             d += 1
             if len(x):
@@ -154,16 +209,15 @@ def meet(similarity: tuple[int, int], near: int | None):
         return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more)], [q.split()[0] for q in PAIRS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= 400_000 and held[0][0][0] != held[-1][0][-1]:
-                whole = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1  # the last word's rows wait for the rest of them
-                yield group([x[:cut] for x in whole])
-                held = [[x[cut:] for x in whole]]
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:  # sorted by shelf
+            for shelf, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shelf not in held and sum(len(x) for own in held.values() for x in own) > 32 * PIECE:
+                    yield group(np.frombuffer(b"".join(x for own in held.values() for x in own), ENTRY))
+                    held = {}
+                held.setdefault(shelf, []).append(entries)
         if held:
-            yield group([np.concatenate(x) for x in zip(*held)])
+            yield group(np.frombuffer(b"".join(x for own in held.values() for x in own), ENTRY))
 
     return run
 
@@ -196,29 +250,32 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min
 def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, bits: int = BUCKET_BITS) -> DataFrame:
     """(row_id, line_no) of every removed line of ``docs(row_id, text)``."""
     scan = materialise(scan_lines(docs, min_words, bits), "lines-scan")
-    lines = scan.where("bucket is null").select("row_id", "line_no", "h1", "h2")
-    counts = np.zeros(1 << bits, np.int64)
-    sums = scan.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**bits rows
-    counts[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy()
-    rarity = docs.sparkSession.sparkContext.broadcast(counts)
+    lines = scan.where("part is null").select("row_id", "line_no", "h1", "h2")
+    rarity = docs.sparkSession.sparkContext.broadcast(bucket_counts(scan, bits))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = lines.join(firsts, ["h1", "h2"]).where("row_id <> first.row_id or line_no <> first.line_no").select("row_id", "line_no")
 
-    def candidates(near: int | None, only: DataFrame | None = None) -> DataFrame:
-        rows = prefixes(docs, rarity, similarity, min_words, bits).repartition("word").sortWithinPartitions("word", "row_id", "line_no")
-        pairs = rows.mapInArrow(meet(similarity, near), PAIRS)
-        if only is not None:
-            pairs = pairs.join(only.select(F.col("row_id").alias("row_b"), F.col("line_no").alias("line_b")), ["row_b", "line_b"], "left_semi")
-        return pairs.groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"))
+    def candidates(near: int | None, only=None, wanted=None) -> DataFrame:
+        rows = prefixes(docs, rarity, similarity, min_words, bits, wanted).repartition("shelf").sortWithinPartitions("shelf")
+        return rows.mapInArrow(meet(similarity, near, only), PAIRS).groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"))
 
+    later = lambda checked: checked.select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))
     pairs = materialise(candidates(NEAR), "lines-pairs")
     checked = materialise(verified(docs, pairs, similarity, min_words), "lines-checked")
-    near = checked.where("same").select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))
-    open_ = checked.where("more").select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no")).distinct().join(near, ["row_id", "line_no"], "left_anti")
-    open_ = materialise(open_.join(copies, ["row_id", "line_no"], "left_anti"), "lines-open")
-    if open_.limit(1).count():
-        rest = materialise(candidates(None, open_), "lines-rest")
-        near = near.unionByName(verified(docs, rest, similarity, min_words).where("same").select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no")))
+    near = later(checked.where("same"))
+    open_ = later(checked.where("more")).distinct().join(near, ["row_id", "line_no"], "left_anti").join(copies, ["row_id", "line_no"], "left_anti")
+    open_ = materialise(open_, "lines-open")
+    blocks = -(-open_.count() // OPEN_ROWS)
+    for k in range(blocks):  # lines that had more partners than the first round looks at, a bounded number at a time
+        own = open_.where(F.pmod(F.xxhash64("row_id", "line_no"), F.lit(blocks)) == k).toPandas()
+        share = docs.sparkSession.sparkContext.broadcast
+        only = share(np.unique(place_keys(own["row_id"].to_numpy(), own["line_no"].to_numpy())))
+        few = docs.join(F.broadcast(docs.sparkSession.createDataFrame(own[["row_id"]].drop_duplicates())), "row_id", "left_semi")
+        words = prefixes(few, rarity, similarity, min_words, bits).mapInArrow(words_of(only), "slot int").distinct().toPandas()["slot"].to_numpy()
+        wanted = np.zeros(1 << WANTED_BITS, bool)
+        wanted[words] = True
+        rest = materialise(candidates(None, only, share(wanted)), "lines-rest")
+        near = near.unionByName(later(materialise(verified(docs, rest, similarity, min_words), "lines-rechecked").where("same")))
     return near.unionByName(copies).distinct()
 
 
