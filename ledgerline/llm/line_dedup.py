@@ -115,8 +115,8 @@ def place_keys(row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(row.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
-def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, wanted=None) -> DataFrame:
-    """Prefix words of every set, the first of equal sets in a task speaking for all, as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
+def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, wanted=None, copies: bool = False) -> DataFrame:
+    """Prefix words of every set (unless ``copies``, the first of equal sets in a task speaks for all), as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
 
     ``rarity`` is the broadcast bucket counts; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
     """
@@ -137,7 +137,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
         for batch in batches:
             for s in line_sets(batch, min_words):
                 keys = set_keys(s)[0].tolist()
-                fresh = np.array([not (k in seen or seen.add(k)) for k in keys])
+                fresh = np.array([copies or not (k in seen or seen.add(k)) for k in keys])
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
                 order = np.lexsort((word, rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)], line))
                 at = np.arange(len(word)) - first[line]
@@ -256,7 +256,7 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
     copies = lines.join(firsts, ["h1", "h2"]).where("row_id <> first.row_id or line_no <> first.line_no").select("row_id", "line_no")
 
     def candidates(near: int | None, only=None, wanted=None) -> DataFrame:
-        rows = prefixes(docs, rarity, similarity, min_words, bits, wanted).repartition("shelf").sortWithinPartitions("shelf")
+        rows = prefixes(docs, rarity, similarity, min_words, bits, wanted, wanted is not None).repartition("shelf").sortWithinPartitions("shelf")
         return rows.mapInArrow(meet(similarity, near, only), PAIRS).groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"))
 
     later = lambda checked: checked.select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))
@@ -271,7 +271,7 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
         share = docs.sparkSession.sparkContext.broadcast
         only = share(np.unique(place_keys(own["row_id"].to_numpy(), own["line_no"].to_numpy())))
         few = docs.join(F.broadcast(docs.sparkSession.createDataFrame(own[["row_id"]].drop_duplicates())), "row_id", "left_semi")
-        words = prefixes(few, rarity, similarity, min_words, bits).mapInArrow(words_of(only), "slot int").distinct().toPandas()["slot"].to_numpy()
+        words = prefixes(few, rarity, similarity, min_words, bits, copies=True).mapInArrow(words_of(only), "slot int").distinct().toPandas()["slot"].to_numpy()
         wanted = np.zeros(1 << WANTED_BITS, bool)
         wanted[words] = True
         rest = materialise(candidates(None, only, share(wanted)), "lines-rest")
