@@ -1,4 +1,8 @@
 """Registered queries over the driver tables, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import corpus
+
+QUERIES: dict = dict(corpus.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(corpus.ORACLE_SQL)
