@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, evidence
 
-QUERIES: dict = dict(corpus.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(corpus.ORACLE_SQL)
+QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **evidence.ORACLE_SQL}
