@@ -115,10 +115,14 @@ class PieceLattice:
         steps = np.unique(coff)
         return {"buf": buf, "at": at, "end": end, "start": s, "to": e, "piece": p.astype(np.int64), "bounds": np.searchsorted(off, np.append(steps, np.inf)), "chars": chars, "chars_to": chars_to, "lone": ~single[chars], "cbounds": np.searchsorted(coff, np.append(steps, np.inf))}
 
-    def viterbi(self, words: list[str]) -> list[tuple[list[int], float]]:
-        """Best segmentation of each word: ids (bytes where no piece is the character) and score. Of equal ones, the one whose last piece starts first."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best segmentations: (ids of all words one after the other, where each word's begin and the last ends, scores, byte pieces per word).
+
+        A character without a piece is its bytes. Of equal segmentations, the one whose last piece starts first is taken.
+        """
         g = self.edges(words)
-        best, back, via = np.full(len(g["buf"]) + 1, -np.inf), np.zeros(len(g["buf"]) + 1, np.int64), np.full(len(g["buf"]) + 1, -1, np.int64)
+        n = len(g["buf"]) + 1
+        best, back, via = np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1, np.int64)
         best[g["at"]] = 0.0
         for k in range(len(g["bounds"]) - 1):
             i, j = g["bounds"][k], g["bounds"][k + 1]
@@ -127,18 +131,21 @@ class PieceLattice:
             lone = g["lone"][i:j]
             if lone.any():
                 self._better(best, back, via, g["chars"][i:j][lone], g["chars_to"][i:j][lone], -1, self.unk_score)
-        back, via, raw, out = back.tolist(), via.tolist(), g["buf"], []
-        for a, z in zip(g["at"].tolist(), g["end"].tolist()):
-            ids, p = [], z
-            while p > a:
-                q = back[p]
-                if via[p] >= 0:
-                    ids.append(via[p])
-                else:
-                    ids.extend(self.byte_ids[raw[q:p]][::-1].tolist())
-                p = q
-            out.append((ids[::-1], float(best[z]) if z > a else 0.0))
-        return out
+        chosen, spelt, at, pos = np.full(n, -1, np.int64), np.zeros(n, bool), g["at"], g["end"]
+        while len(pos):  # one piece of every word, from the last one on
+            more = pos > at
+            at, pos = at[more], pos[more]
+            before = back[pos]
+            piece = via[pos]
+            chosen[before] = piece
+            for p, q in zip(before[piece < 0].tolist(), pos[piece < 0].tolist()):
+                chosen[p:q] = self.byte_ids[g["buf"][p:q]]
+                spelt[p:q] = True
+            pos = before
+        taken = chosen >= 0
+        count = np.concatenate(([0], np.cumsum(taken)))
+        byte_count = np.concatenate(([0], np.cumsum(spelt)))
+        return chosen[taken].astype("<i4"), np.append(count[g["at"]], count[-1]), best[g["end"]], byte_count[g["end"]] - byte_count[g["at"]]
 
     @staticmethod
     def _better(best, back, via, start, to, piece, score) -> None:

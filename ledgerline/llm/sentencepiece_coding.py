@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .lattice import MARK, PieceLattice, by_length, words_of
 
-WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+WORDS_KEPT = 700_000
 
 
 def piece_file() -> str:
@@ -39,78 +39,83 @@ def lattice(model_file: str) -> PieceLattice:
 
 
 class Encoder:
+    """Segmentations of the words a Python worker saw last: a number for each word, and by number its ids, score, byte pieces, and whether it decodes to itself."""
+
     def __init__(self, model_file: str):
         self.lattice = lattice(model_file)
-        self.kept: dict[str, tuple[bytes, float, int]] = {}
-
-    def learn(self, texts: list[list[str]]) -> dict[str, tuple[bytes, float, int]]:
-        """Segmentations (ids, score, number of byte pieces) of all words of these texts; frequent words stay for later."""
-        lacking = set().union(*texts) - self.kept.keys()
-        if len(self.kept) + len(lacking) > WORDS_KEPT:
-            self.kept = {}
+        self.byte_of = {int(i): b for b, i in enumerate(self.lattice.byte_ids)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.facts = np.zeros((0, 3))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes all words of these texts known."""
+        lacking = set().union(*texts) - self.number.keys()
+        if len(self.number) + len(lacking) > WORDS_KEPT:
+            self.forget()
             lacking = set().union(*texts)
-        long, low, high = {}, self.lattice.byte_ids.min(), self.lattice.byte_ids.max()
         for own in by_length(list(lacking)):
-            for w, (ids, score) in zip(own, self.lattice.viterbi(own)):
-                (self.kept if len(w) <= LONGEST_KEPT else long)[w] = (np.array(ids, "<i4").tobytes(), score, sum(low <= i <= high for i in ids))
-        return self.kept | long if long else self.kept
+            ids, cuts, scores, spelt = self.lattice.viterbi(own)
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            first = len(self.number)
+            self.number.update(zip(own, range(first, first + len(own))))
+            parts = [raw[a:b] for a, b in zip(at, at[1:])]
+            self.ids += parts
+            whole = [True] * len(own)
+            if decode_word(raw, self.lattice.pieces, self.byte_of) != "".join(own):
+                whole = [decode_word(p, self.lattice.pieces, self.byte_of) == w for p, w in zip(parts, own)]
+            self.facts = np.concatenate([self.facts, np.column_stack([scores, spelt, whole])])
+
+
+def decode_word(raw: bytes, pieces: list[str], byte_of: dict[int, int]) -> str:
+    """The word, space marks left in it, that little-endian ids spell."""
+    ids = np.frombuffer(raw, "<i4").tolist()
+    if not byte_of.keys() & ids:
+        return "".join([pieces[i] for i in ids])
+    out, run = [], bytearray()
+    for i in ids:
+        if i in byte_of:
+            run.append(byte_of[i])
+        else:
+            out.append(run.decode("utf-8", "replace") + pieces[i])
+            run.clear()
+    return "".join(out) + run.decode("utf-8", "replace")
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def decode_ids(ids: np.ndarray, pieces: list[str], byte_of: dict[int, int]) -> str:
-    out, raw = [], bytearray()
-    for i in ids.tolist():
-        if i in byte_of:
-            raw.append(byte_of[i])
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(pieces[i])
-    out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+def decode_ids(raw: bytes, pieces: list[str], byte_of: dict[int, int]) -> str:
+    """The text of little-endian ids: marks become spaces, and the first one goes."""
+    text = decode_word(raw, pieces, byte_of).replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
 def encode(docs: DataFrame, model_file: str | None = None, digest: bool = False) -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``n_bytes`` (byte pieces), ``score``, and ``ids``; with ``digest`` instead of ids ``ids_crc32`` (little-endian) and ``round_trip``, whether decoding gives the text."""
+    """``doc_id``, ``n_pieces``, ``n_bytes`` (byte pieces), ``score``, and ``ids``; with ``digest`` instead of ids ``ids_crc32`` (little-endian) and ``round_trip``: whether every word's pieces decode to the word, and so the text's to the text."""
     model_file = model_file or piece_file()
     schema = "doc_id long, n_pieces long, n_bytes long, score double, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(model_file) or _encoders.setdefault(model_file, Encoder(model_file))
-        lat = encoder.lattice
-        written: dict[bytes, str] = {}
-        byte_of = {int(i): b for b, i in enumerate(lat.byte_ids)}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 200):  # bounds the words in memory
                 part = texts[k : k + 200]
                 words = [words_of(t) if t else [] for t in part]
-                known = encoder.learn(words)
+                encoder.learn(words)
                 rows = []
                 for text, own in zip(part, words):
                     if text is None:
                         rows.append((None,) * 5)
                         continue
-                    found = list(map(known.__getitem__, own))
-                    raw = b"".join([x[0] for x in found])
-                    last: object = np.frombuffer(raw, "<i4")
-                    rows.append((len(raw) // 4, sum(x[2] for x in found), float(sum(x[1] for x in found)), zlib.crc32(raw) if digest else last, None))
-                    if digest:
-                        spelt = []
-                        for x in found:
-                            s = written.get(x[0])
-                            if s is None:
-                                ids = np.frombuffer(x[0], "<i4")
-                                s = decode_ids(np.append(lat.normal[:0], ids), lat.pieces, byte_of) if not lat.pieces[ids[0]].startswith(MARK) else " " + decode_ids(ids, lat.pieces, byte_of)
-                                if len(written) < WORDS_KEPT and len(x[0]) <= 4 * LONGEST_KEPT:
-                                    written[x[0]] = s
-                            spelt.append(s)
-                        whole = "".join(spelt)
-                        rows[-1] = (*rows[-1][:4], (whole[1:] if whole.startswith(" ") else whole) == text)
+                    at = list(map(encoder.number.__getitem__, own))
+                    raw = b"".join([encoder.ids[i] for i in at])
+                    score, spelt, whole = encoder.facts[at].sum(0) if at else (0.0, 0, 0)
+                    rows.append((len(raw) // 4, int(spelt), float(score), zlib.crc32(raw) if digest else np.frombuffer(raw, "<i4"), whole == len(at)))
                 cols = list(zip(*rows)) if rows else [()] * 5
                 arrays = [batch.column(0).slice(k, len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())]
                 arrays += [pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())] if digest else [pa.array(cols[3], pa.list_(pa.int32()))]
@@ -127,7 +132,7 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
         lat = lattice(model_file)
         byte_of = {int(i): b for b, i in enumerate(lat.byte_ids)}
         for batch in batches:
-            texts = [None if ids is None else decode_ids(np.array(ids, "i4"), lat.pieces, byte_of) for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else decode_ids(np.array(ids, "<i4").tobytes(), lat.pieces, byte_of) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
