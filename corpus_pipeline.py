@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.llm.common import documents, materialise
 from ledgerline.llm.line_dedup import dedup_lines
@@ -25,8 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    emptied = F.col("lines_removed_").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return dedup_lines(docs).where(~emptied).select(*docs.columns)
+    return dedup_lines(docs, drop_emptied=True)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

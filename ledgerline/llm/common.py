@@ -70,3 +70,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     if n["n"] == n["k"]:
         return docs.withColumn("row_id", F.col("doc_id").cast("long"))
     return materialise(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("row_id", F.monotonically_increasing_id()), "keyed")
+
+
+def nested(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns beside ``keep_``, a struct of all, so that no name of ours meets one of theirs."""
+    return docs.select(*used, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("keep_"))
+
+
+def unnested(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``keep_``, in order, some of them changed."""
+    return rows.select(*((changed[c] if c in changed else F.col(f"keep_.`{c}`")).alias(c) for c in columns))

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, materialise
+from .common import documents, keyed, materialise, nested, unnested
 from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
 SIMILARITY, MIN_WORDS, BUCKET_BITS = (4, 5), 5, 19
 NEAR = 16
+#: Wanted lines up to which their list is broadcast instead of shuffling texts.
+BROADCAST_LINES = 2_000_000
 #: Lines of a block of the second round, about, and bits of its bitmap of words.
 OPEN_ROWS, WANTED_BITS = 100_000, 24
 PIECE = 1 << 20
@@ -37,7 +39,7 @@ PIECE = 1 << 20
 SHELVES, PARTS = 2048, 64
 LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
 #: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, the parity of word hashes per bit.
-ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("bits", "<u8", 4)])
+ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("bits", "<u8", 3)])
 
 
 def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
@@ -145,12 +147,12 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                 if wanted is not None:
                     w = word[order] % np.uint64(len(wanted.value))
                     take &= wanted.value[w.astype(np.int64)]
-                bit = (word & np.uint64(255)).astype(np.int64)
+                bit = (word % np.uint64(192)).astype(np.int64)
                 flag = np.uint64(1) << (bit & 63).astype(np.uint64)
                 own = line[take]
                 rows = np.empty(len(own), ENTRY)
-                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], at[take]
-                for k in range(4):
+                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535)  # a smaller position only weakens the filter
+                for k in range(3):
                     rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
                 held.append(rows)
                 if sum(map(len, held)) > 200_000:
@@ -224,7 +226,9 @@ def meet(similarity: tuple[int, int], near: int | None, only=None):
 
 def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(row_id, line_no, words) of the wanted (row_id, line_no)."""
-    lists = wanted.groupBy("row_id").agg(F.collect_list("line_no").alias("lines"))
+    lists = materialise(wanted.groupBy("row_id").agg(F.collect_list("line_no").alias("lines")), "lines-wanted")
+    if (lists.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
+        lists = F.broadcast(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,16 +283,19 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
     return near.unionByName(copies).distinct()
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the removed lines (text null or unchanged otherwise; ``n_chars`` follows), and ``row_id``, ``lines_removed_`` (ascending)."""
-    rows = keyed(docs)
-    gone = materialise(removed_lines(rows.select("row_id", "text"), **options).groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines_removed_")), "lines-removed")
-    out = rows.join(gone, "row_id", "left")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, x as x)), p -> array_position(lines_removed_, p.i) = 0), p -> p.x), '\\n')")
-    out = out.withColumn("text", F.when(F.col("lines_removed_").isNotNull(), kept).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_removed_").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataFrame:
+    """``docs`` without the removed lines; other texts are unchanged, and ``n_chars`` follows the text where it exists.
+
+    ``drop_emptied`` also leaves out documents that lost lines and have no word left.
+    """
+    rows = keyed(nested(docs, "doc_id", "text"))
+    gone = materialise(removed_lines(rows.select("row_id", "text"), **options).groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "lines-removed")
+    cut = F.col("gone").isNotNull()
+    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, x as x)), p -> array_position(gone, p.i) = 0), p -> p.x), '\\n')")
+    out = rows.join(gone, "row_id", "left").withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select("text", "keep_", cut.alias("cut"))
+    if drop_emptied:
+        out = out.where(~(F.col("cut") & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return unnested(out, docs.columns, text=F.col("text"), **({"n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("keep_.n_chars"))} if "n_chars" in docs.columns else {}))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

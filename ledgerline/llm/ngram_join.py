@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, documents, keyed, materialise
+from .common import broadcast_if_small, connected_components, documents, keyed, materialise, nested, unnested
 from .wordhash import hash_words, mix
 
 WORDS, SIMILARITY, RECALL, BLOCK = 5, 0.8, 0.99995, 512
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             sets = [shingles(t or b"", words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "words"])
 
-    texts = docs.select(F.col("row_id").alias("rid"), "text").join(members.select("rid"), "rid", "left_semi")
+    texts = docs.select(F.col("row_id").alias("rid"), "text").join(broadcast_if_small(members.select("rid")), "rid", "left_semi")
     loaded = texts.mapInArrow(load, "rid long, words binary").join(members, "rid")
     # A class of a group of b blocks goes to the b pairs of blocks that hold its own.
     pairs = F.expr("transform(sequence(0, blocks - 1), k -> named_struct('first', least(block, k), 'second', greatest(block, k)))")
@@ -163,9 +163,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with only the first document, by doc_id, of each class."""
-    rows = keyed(docs)
-    gone = materialise(near_duplicates(rows, **options).where("row_id <> class_row").select("row_id"), "ngram-gone")
-    return rows.join(broadcast_if_small(gone), "row_id", "left_anti").select(*docs.columns)
+    rows = keyed(nested(docs, "doc_id", "text"))
+    gone = materialise(near_duplicates(rows.select("row_id", "text"), **options).where("row_id <> class_row").select("row_id"), "ngram-gone")
+    return unnested(rows.join(broadcast_if_small(gone), "row_id", "left_anti"), docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

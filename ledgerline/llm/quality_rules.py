@@ -139,7 +139,7 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def reject_outliers(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents. Rows that share a doc_id go together; rows with a null doc_id stay."""
     rejected = materialise(quality_verdicts(docs).where("not kept").select("doc_id").distinct(), "quality-rejected")
-    return docs.join(broadcast_if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(rejected), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, nested, unnested
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, group of the value, least length of the value. A run of hex digits, or AKIA with what follows it,
@@ -98,11 +98,10 @@ def redact(docs: DataFrame, model: list[float], mark: str = "<secret>") -> DataF
     """``docs`` with every span replaced by ``mark``; ``n_chars`` follows the text where it exists. Null text stays null."""
     cut = F.expr(f"""aggregate(secret_spans, named_struct('pos', 0, 'out', ''), (a, x) -> named_struct('pos', greatest(a.pos, x.end),
         'out', concat(a.out, if(x.start >= a.pos, concat(substr(text, a.pos + 1, x.start - a.pos), '{mark}'), ''))), a -> concat(a.out, substr(text, a.pos + 1)))""")
-    found = with_spans(docs, model)
-    new = found.withColumn("text", F.when(F.size("secret_spans") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+    found = with_spans(nested(docs, "text"), model)
+    hit = F.size("secret_spans") > 0
+    new = found.select("keep_", F.when(hit, cut).otherwise(F.col("text")).alias("text"), hit.alias("hit"))
+    return unnested(new, docs.columns, text=F.col("text"), **({"n_chars": F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("keep_.n_chars"))} if "n_chars" in docs.columns else {}))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
