@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +102,15 @@ def scan_lines(docs: DataFrame, min_words: int, bits: int) -> DataFrame:
 def bucket_counts(scan: DataFrame, bits: int) -> np.ndarray:
     """The tasks' counts, added up part by part."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // PARTS, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
-    rows = scan.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # PARTS rows, 2**bits numbers
+    tasks = scan.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary")
+    rows = tasks.collect()  # PARTS rows, 2**bits numbers
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
 
 
