@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evidence
+from . import corpus, evidence, sources
 
-QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **evidence.ORACLE_SQL}
+QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES, **sources.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **evidence.ORACLE_SQL, **sources.ORACLE_SQL}

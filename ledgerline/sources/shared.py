@@ -1,4 +1,4 @@
-"""The folder for checkpoints that driver and executors share."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; a local folder only where it is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; set a local one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
