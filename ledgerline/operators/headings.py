@@ -36,15 +36,14 @@ def numbered_toc(headings: DataFrame, doc: str = "doc", order: str = "ord") -> D
         parent = F.greatest(parent, open_.cast("long"))
     out = out.withColumn("parent", parent).drop(*(f"last{k}_" for k in range(1, LEVELS + 1)))
     out = out.withColumn("nth", F.row_number().over(Window.partitionBy(doc, "parent").orderBy(order)))
+    # A number is the places of the open headings above and its own: carried along the document, as paths are.
+    last = {k: F.last(F.when(F.col("level") == k, F.struct(F.col(order).alias("o"), F.col("nth").alias("n"))), ignorenulls=True).over(before) for k in range(1, LEVELS)}
+    out = out.withColumns({f"n{k}_": c for k, c in last.items()})
+    above = lambda k: F.greatest(*(F.coalesce(F.col(f"n{j}_.o"), F.lit(-1)) for j in range(1, k)), F.lit(-1)) if k > 1 else F.lit(-1)
+    parts = [F.when((F.col("level") > k) & (F.col(f"n{k}_.o") > above(k)), F.col(f"n{k}_.n").cast("string")) for k in range(1, LEVELS)]
+    out = out.withColumn("number", F.concat_ws(".", *parts, F.col("nth").cast("string"))).drop("nth", *(f"n{k}_" for k in range(1, LEVELS)))
     kids = out.where("parent is not null").groupBy(F.col(doc), F.col("parent").alias(order)).agg(F.count(F.lit(1)).alias("children"))
-    out = out.join(kids, [doc, order], "left").na.fill(0, ["children"])
-    # A number is its parents' numbers and its own place: at most LEVELS self-joins.
-    known = out.where("parent is null").select(doc, F.col(order).alias("p_"), F.col("nth").cast("string").alias("number"))
-    done = known
-    for _ in range(LEVELS - 1):
-        known = out.select(doc, F.col(order).alias("p_"), F.col("parent"), "nth").join(known.select(doc, F.col("p_").alias("parent"), "number"), [doc, "parent"]).select(doc, "p_", F.concat_ws(".", "number", F.col("nth").cast("string")).alias("number"))
-        done = done.unionByName(known)
-    return out.join(done.withColumnRenamed("p_", order), [doc, order]).drop("nth")
+    return out.join(kids, [doc, order], "left").na.fill(0, ["children"])
 
 
 def toc_drift(source: DataFrame, extracted: DataFrame) -> DataFrame:
