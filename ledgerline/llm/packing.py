@@ -41,7 +41,7 @@ class WordIds(dict):
     in order. Plain words go straight to the merge model; any other goes through the whole tokenizer.
     """
 
-    LIMIT, LONGEST = 400_000, 48
+    LIMIT, LONGEST = 600_000, 48
     _plain = re.compile("[!-;=-~À-ɏ]+")
 
     def __init__(self, path: str):
@@ -64,7 +64,7 @@ class WordIds(dict):
         found = self.runs.get(s)
         if found is None:
             shown = s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
-            found = np.array([x.id for x in self.bpe.tokenize(shown)], "<u4").tobytes()
+            found = b"".join([x.id.to_bytes(4, "little") for x in self.bpe.tokenize(shown)])
             if len(s) <= self.LONGEST:
                 if len(self.runs) >= self.LIMIT:
                     self.runs.clear()
@@ -72,7 +72,9 @@ class WordIds(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
+        if word.isascii() and word.isalpha():
+            found = self.run(word.lower())
+        elif not word:
             found = b""
         elif self._plain.fullmatch(word):
             low = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
