@@ -32,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+
+
+def drop_materialised(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote; call it once results that read them are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the (materialised) table is within the bound; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
