@@ -25,10 +25,10 @@ P = len(FEATURES)
 #: Median of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN = 4.3515
 #: Smallest standard deviation per feature, in the transformed units: constant features must not make rejections.
-FLOOR = (0.30, 0.06, 0.04, 0.08, 0.10)
+FLOOR = (0.30, 0.06, 0.04, 0.20, 0.15)
 SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 100
-#: Squared distance, scaled so that its group median is that of chi-squared, above which a document is rejected.
-CUTOFF = 90.0
+#: Squared distance above which a document is rejected: chi-squared's 0.9999 quantile with five degrees of freedom.
+CUTOFF = 25.74
 
 
 def repeat_statistics(words: str) -> Column:
@@ -110,7 +110,7 @@ def with_distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def fit_mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Per gkey: location, Cholesky factor and ``scale``, which brings the median squared distance to chi-squared's."""
+    """Per gkey: location, Cholesky factor and ``scale``, which brings a median squared distance above chi-squared's down to it."""
     key = rows.groupBy("gkey")
     half = key.agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"c_{f}") for f in FEATURES))
     off = rows.join(half, "gkey").select("gkey", *FEATURES, *(F.abs(F.col(f) - F.col(f"c_{f}")).alias(f"a_{f}") for f in FEATURES))
@@ -124,7 +124,7 @@ def fit_mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_r
         cut = d0.groupBy("gkey").agg(F.percentile_approx("d2", support, 1000).alias("cut"))
         sums = d0.join(cut, "gkey").where("d2 <= cut").groupBy("gkey").agg(*moments())
         fitted = materialise(estimates(materialise(sums, "mcd-sums"), min_rows), "mcd-fit")
-    scale = with_distance(rows.select("gkey", *FEATURES), fitted).groupBy("gkey").agg((F.lit(CHI2_MEDIAN) / F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(CHI2_MEDIAN / 4))).alias("scale"))
+    scale = with_distance(rows.select("gkey", *FEATURES), fitted).groupBy("gkey").agg((F.lit(CHI2_MEDIAN) / F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(CHI2_MEDIAN))).alias("scale"))
     return materialise(fitted.join(scale, "gkey"), "mcd-scaled")
 
 
