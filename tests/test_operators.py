@@ -38,7 +38,7 @@ def test_greedy_window(spark):
 
 def test_context_prefix(spark):
     n = F.lit(None).cast("string")
-    got = spark.range(1).select(tx.context_prefix(F.lit(" s "), n, F.lit("d"), F.array(F.lit("A"), F.lit(" "), F.lit("B")), F.lit("t1"), F.lit(2), F.array(F.lit("x"), F.lit("y")), F.lit("k.v")), tx.context_prefix(n, n, n, n.cast("array<string>") if False else F.lit(None).cast("array<string>"), n, F.lit(0), F.lit(None).cast("array<string>"), n)).first()
+    got = spark.range(1).select(tx.context_prefix(F.lit(" s "), n, F.lit("d"), F.array(F.lit("A"), F.lit(" "), F.lit("B")), F.lit("t1"), F.lit(2), F.array(F.lit("x"), F.lit("y")), F.lit("k.v")), tx.context_prefix(n, n, n, F.lit(None).cast("array<string>"), n, F.lit(0), F.lit(None).cast("array<string>"), n)).first()
     assert tuple(got) == ("s · d · A › B · table t1 row 2 · columns x, y · yaml k.v", "")
 
 
