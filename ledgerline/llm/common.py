@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only when its counted rows stay within this bound.
 BROADCAST_ROWS = 200_000
+#: Arrow batches of written tables stay near this size, so that batches of long rows fit beside a small heap.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before) if before is not None else spark.conf.unset(BATCH_SETTING)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ NEAR = 16
 BROADCAST_LINES = 2_000_000
 #: Lines of a block of the second round, about, and bits of its bitmap of words.
 OPEN_ROWS, WANTED_BITS = 100_000, 24
-PIECE = 1 << 20
+#: Bytes of text whose lines are taken at once, and of entries whose words are.
+PIECE, GROUP_BYTES = 1 << 18, 1 << 22
 #: Shelves that words are dealt to, and parts of the bucket counts.
 SHELVES, PARTS = 2048, 64
 LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
@@ -42,27 +44,27 @@ ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i
 
 
 def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
-    """Sets of lines with enough words, about a megabyte of (row_id, text) at a time.
+    """Sets of lines with enough words, about ``PIECE`` bytes of (row_id, text) at a time.
 
     ``word``: the sets' hashes, ascending in each line; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
     """
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
+    ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary())
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (total < PIECE or end == at):
-            total += len(texts[end] or b"")
-            end += 1
-        data = b"\n".join(x or b"" for x in texts[at:end])
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE)))
+        texts = [x or b"" for x in column.slice(at, end - at).to_pylist()]
+        data = b"\n".join(texts)
         word, start = hash_words(data)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         line = np.searchsorted(breaks, start)
-        n_lines = np.array([(x or b"").count(b"\n") + 1 for x in texts[at:end]])
+        n_lines = np.array([x.count(b"\n") + 1 for x in texts])
         first_line = np.cumsum(n_lines) - n_lines
         enough = np.bincount(line, minlength=len(breaks) + 1) >= min_words
         keep = enough[line]
         word, line = word[keep], line[keep]
-        order = np.lexsort((word, line))
+        order = np.argsort(word)
+        order = order[np.argsort(line[order].astype(np.uint16) if len(breaks) < 65536 else line[order], kind="stable")]  # 16 bits are sorted by radix
         word, line = word[order], line[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -142,7 +144,8 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                 keys = set_keys(s)[0].tolist()
                 fresh = np.array([copies or not (k in seen or seen.add(k)) for k in keys])
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
-                order = np.lexsort((word, rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)], line))
+                rank = rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.argsort(line * (rarity.value.max() + 1) + rank, kind="stable")  # words ascend in each line already
                 at = np.arange(len(word)) - first[line]
                 take = (at < (size - -(-a * size // b) + 1)[line]) & fresh[line]
                 if wanted is not None:
@@ -156,7 +159,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                 for k in range(3):
                     rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
                 held.append(rows)
-                if sum(map(len, held)) > 200_000:
+                if sum(map(len, held)) > 100_000:
                     yield flush()
         if held:
             yield flush()
@@ -212,15 +215,16 @@ def meet(similarity: tuple[int, int], near: int | None, only=None):
         return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more)], [q.split()[0] for q in PAIRS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held, total, last = [], 0, None
         for batch in batches:  # sorted by shelf
-            for shelf, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if shelf not in held and sum(len(x) for own in held.values() for x in own) > 32 * PIECE:
-                    yield group(np.frombuffer(b"".join(x for own in held.values() for x in own), ENTRY))
-                    held = {}
-                held.setdefault(shelf, []).append(entries)
+            for shelf, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shelf != last and total > GROUP_BYTES:
+                    yield group(np.frombuffer(b"".join(held), ENTRY))
+                    held, total = [], 0
+                held.append(entries.as_py())
+                total, last = total + len(held[-1]), shelf
         if held:
-            yield group(np.frombuffer(b"".join(x for own in held.values() for x in own), ENTRY))
+            yield group(np.frombuffer(b"".join(held), ENTRY))
 
     return run
 
