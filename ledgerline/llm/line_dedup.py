@@ -121,16 +121,28 @@ def place_keys(row: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, wanted=None, copies: bool = False) -> DataFrame:
-    """Prefix words of every set (unless ``copies``, the first of equal sets in a task speaks for all), as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
+    """Prefix words of every set (unless ``copies``, of equal sets only one before all that its task has sent, so the earliest of all always speaks), as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
 
     ``rarity`` is the broadcast bucket counts; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
     """
     a, b = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        sent: dict[int, int] = {}  # the earliest place of each set so far
         held: list[np.ndarray] = []
 
+        def fresh_lines(s: dict) -> np.ndarray:
+            fresh = np.full(len(s["first"]), copies)
+            if copies:
+                return fresh
+            order = np.lexsort((s["line_no"], s["row_id"]))
+            for i, k, row, line in zip(order.tolist(), *(x[order].tolist() for x in (set_keys(s)[0], s["row_id"], s["line_no"]))):
+                place = (row << 31) + line
+                if k not in sent or place < sent[k]:
+                    sent[k] = place
+                    fresh[i] = True
+            return fresh
+
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
             held.clear()
@@ -141,8 +153,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
 
         for batch in batches:
             for s in line_sets(batch, min_words):
-                keys = set_keys(s)[0].tolist()
-                fresh = np.array([copies or not (k in seen or seen.add(k)) for k in keys])
+                fresh = fresh_lines(s)
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
                 rank = rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.argsort(line * (rarity.value.max() + 1) + rank, kind="stable")  # words ascend in each line already

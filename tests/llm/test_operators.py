@@ -233,6 +233,16 @@ def test_line_dedup(spark, odd_dir, near, monkeypatch):
             assert sum(got.values()) == sum(want.values())
 
 
+def test_line_dedup_does_not_depend_on_the_order_of_rows(spark):
+    from ledgerline.llm.line_dedup import removed_lines
+
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine other"
+    rows = [(10, a), (5, b), (1, "\n" + a), (7, a)]
+    for own in (rows, rows[::-1], sorted(rows)):
+        got = removed_lines(spark.createDataFrame(own, "row_id long, text string").coalesce(1)).collect()
+        assert {(r["row_id"], r["line_no"]) for r in got} == {(10, 0), (5, 0), (7, 0)}
+
+
 def test_dedup_lines_keeps_columns(spark, odd_documents):
     from ledgerline.llm.line_dedup import dedup_lines
 
