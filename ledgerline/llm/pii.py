@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ _LIKE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REACH = 202
 EDGES, LEAST = ".,;:!?()[]{}<>\"'", 6
-#: Different seeds that a pattern needs, its least confidence, rounds, and the most patterns (by seeds) that are scored.
+#: Different seeds that a pattern needs, its least confidence, rounds, and how many patterns, about, are counted in one pass over the texts.
 SUPPORT, CONFIDENCE, ROUNDS, PATTERNS = 5, 0.6, 3, 100_000
 
 
@@ -128,13 +129,16 @@ def occurrences(docs: DataFrame, patterns: frozenset[str]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def trusted_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, most: int = PATTERNS) -> DataFrame:
+def trusted_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, block: int = PATTERNS) -> DataFrame:
     """(pattern, confidence) of the patterns that may discover identifiers."""
     edges = found.select(F.explode("seen").alias("x")).select("x.seed", "x.instance", F.explode(F.array("x.one", "x.two")).alias("pattern")).where("trim(pattern) <> ''")
     edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
     backed = materialise(edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support), "pii-backed")
-    scored = [r["pattern"] for r in backed.orderBy(F.desc("seeds"), "pattern").limit(most).select("pattern").collect()]  # at most `most`
-    totals = broadcast_if_small(materialise(occurrences(docs, frozenset(scored)), "pii-totals"))
+    blocks, totals = max(1, -(-backed.count() // block)), []
+    for k in range(blocks):  # a bounded number of patterns at a time
+        own = [r["pattern"] for r in backed.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).select("pattern").collect()]  # about `block`
+        totals.append(materialise(occurrences(docs, frozenset(own)), "pii-totals"))
+    totals = broadcast_if_small(reduce(DataFrame.unionByName, totals))
     graph = materialise(edges.join(totals, "pattern").join(broadcast_if_small(backed), "pattern"), "pii-graph")
     belief = graph.select("instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("belief")).groupBy("instance").agg(F.max("belief").alias("belief"))
     for _ in range(rounds):

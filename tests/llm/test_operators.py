@@ -203,6 +203,17 @@ def test_pii_contexts_discover(spark):
     assert not got[51]
 
 
+def test_pii_scores_all_patterns(spark, monkeypatch):
+    """A pattern with fewer seeds than others still discovers, however few patterns are counted at once."""
+    from ledgerline.llm import pii
+
+    mails = [(k, f"please write to mail: user{k}@host{k}.org soon") for k in range(30)]
+    calls = [(100 + k, f"you may ring phone: +44 20 7946 {1000 + k} today") for k in range(6)]
+    rows = spark.createDataFrame([*mails, *calls, (200, "you may ring phone: x77(at)host.org today")], "row_id long, text string")
+    monkeypatch.setattr(pii.trusted_patterns, "__defaults__", (*pii.trusted_patterns.__defaults__[:-1], 1))
+    assert [(s["start"], s["rank"], s["end"]) for s in {r["row_id"]: r["spans"] for r in pii.with_spans(rows).collect()}[200]] == [(20, 4, 35)]
+
+
 def brute_lines(docs):
     seen, inv, gone = [], defaultdict(list), Counter()
     for r, t in docs:
