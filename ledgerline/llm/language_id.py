@@ -53,7 +53,7 @@ def word_counts(labelled: DataFrame, docs_per_language: int) -> DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update((lang, w) for w in words_of(text or "") if len(w) <= LONGEST_KEPT)
+                seen.update((lang, w[i : i + LONGEST_KEPT]) for w in words_of(text or "") for i in range(0, len(w), LONGEST_KEPT))  # long runs in pieces
             rows = [(k[0], k[1], n) for k, n in seen.items()]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "word", "n"]), pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]), preserve_index=False)
 

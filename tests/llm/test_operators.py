@@ -292,6 +292,16 @@ def test_language_id(spark, odd_dir):
     assert {(30, "und"), (31, "und"), (32, "und"), (34, "en")} <= odd
 
 
+def test_language_without_spaces_is_learnt(spark):
+    from ledgerline.llm.language_id import predict, train
+
+    rows = [(k, "the quick brown fox jumps over it", "en") for k in range(5)] + [(10 + k, "日本語の文章はとても長い" * 8, "ja") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert model.languages == ["en", "ja"]
+    assert {r["doc_id"]: r["lang_pred"] for r in predict(docs, model).collect()} == {i: lang for i, _, lang in rows}
+
+
 def shingles(t):
     w = WORD.findall(t)
     k = min(5, len(w))
