@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arrays import running_sums
 from ledgerline.functions.text import is_blank, normalized_hash, raw_hash
 
 
 def line_ledger(docs: DataFrame, source: str = "doc_id", text: str = "text") -> DataFrame:
     """(source, line_no, start_byte, end_byte, line, line_hash): lines of a text with half-open byte spans, the line feed not included.
 
-    Spans come from one fold over the text's own lines, so nothing is shuffled. Null text has no lines.
+    Spans come from running sums over the text's own lines, so nothing is shuffled. Null text has no lines.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    sizes = F.transform(lines, lambda x: F.octet_length(x).cast("long"))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.arrays_zip(lines.alias("line"), _starts(sizes).alias("start")).alias("z"))
+    starts = F.expr(running_sums(f"transform(split(`{text}`, '\\n', -1), x -> octet_length(x) + 1)"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), starts.alias("start")).alias("z"))
     rows = rows.select("source", F.posexplode("z").alias("line_no", "z"))
     return rows.select("source", F.col("line_no").cast("long").alias("line_no"), F.col("z.start").alias("start_byte"), (F.col("z.start") + F.octet_length("z.line")).alias("end_byte"), F.col("z.line").alias("line"), raw_hash(F.col("z.line")).alias("line_hash"))
 
 
-def _starts(sizes: Column) -> Column:
-    return F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
-
-
 def disposition(line: Column) -> Column:
     """What a line is: blank, heading, rule, table, list_item, quote, code or paragraph."""
     return (
