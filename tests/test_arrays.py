@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from ledgerline.functions.arrays import running_sums
+from ledgerline.functions.arrays import running, running_sums
 from ledgerline.operators.segments import line_ledger
 
 
@@ -14,6 +14,7 @@ def test_running_sums(spark, n):
     own = [(7 * k) % 11 for k in range(n)]
     rows = spark.createDataFrame([(own,)], "w array<int>")
     assert rows.selectExpr(f"{running_sums('w')} as r").first()["r"] == [0, *itertools.accumulate(own)][:n]
+    assert rows.selectExpr(f"{running('w', '-1', 'greatest({0}, {1})')} as r").first()["r"] == [-1, *itertools.accumulate(own, max)][:n]
 
 
 def test_line_spans_of_long_texts(spark):
