@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE, LEAST, LONG = "[A-Za-z0-9+/_=-]{8,}", 8, 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Documents read for labelled samples, digests added to the random ones; mean and sum of log-likelihood ratios that report a segment.
-SAMPLE_DOCS, DIGESTS, THRESHOLD, TOTAL = 20_000, 4_000, 0.75, 12.0
+SAMPLE_DOCS, DIGESTS, THRESHOLD, TOTAL = 20_000, 4_000, 0.75, 20.0
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
