@@ -6,14 +6,13 @@ The piece probabilities are fitted by expectation maximisation on the word count
 ``docs_per_language`` labelled documents per language: each iteration is a Spark job that adds up expected piece
 counts, of which there are as many as languages times pieces.
 
-Defined cases: null text, and text without a letter, is ``und`` with score 0; so is every text if no labelled row is
+Defined cases: null text, and text without a letter (``str.isalpha``: digits, fractions, superscripts and number letters are none), is ``und`` with score 0; so is every text if no labelled row is
 there to learn from; rows with a null language train nothing; equal likelihoods go to the alphabetically first
 language; repeated rows are predicted one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
-from .lattice import by_length, words_of
+from .lattice import by_chars, by_length, words_of
 from .sentencepiece_coding import lattice, piece_file
 
 #: Labelled documents per language, about; EM iterations; pseudo-count of each piece.
 DOCS_PER_LANGUAGE, ITERATIONS, ALPHA = 2_000, 2, 0.05
-WORDS_KEPT, LONGEST_KEPT = 200_000, 64
-_letter = re.compile(r"[^\W\d_]")
+#: Words a worker keeps, and their characters; characters of a piece of a long run in training.
+WORDS_KEPT, CHARS_KEPT, LONGEST_KEPT = 200_000, 1 << 24, 64
 
 
 @dataclass
@@ -95,15 +94,16 @@ class WordScores:
     """Log-likelihood vectors of the words a Python worker saw last."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.row = model, {}
+        self.model, self.row, self.chars = model, {}, 0
         self.table = np.zeros((WORDS_KEPT * 2, len(model.languages)))
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         lacking = set().union(*texts) - self.row.keys()
-        if len(self.row) + len(lacking) > len(self.table):
-            self.row, lacking = {}, set().union(*texts)
+        if len(self.row) + len(lacking) > len(self.table) or self.chars > CHARS_KEPT:
+            self.row, lacking, self.chars = {}, set().union(*texts), 0
             if len(lacking) > len(self.table):
                 self.table = np.zeros((len(lacking), self.table.shape[1]))
+        self.chars += sum(map(len, lacking))
         for part in by_length(list(lacking)):
             first = len(self.row)
             self.row.update(zip(part, range(first, first + len(part))))
@@ -124,13 +124,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         if tag not in _scores:
             _scores.clear()
             _scores[tag] = WordScores(shared.value)
-        scores = _scores[tag]
+        scores, words = _scores[tag], lattice(shared.value.model_file)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 100):
-                part = texts[k : k + 100]
-                known = [bool(t and shared.value.languages and _letter.search(t)) for t in part]
-                sums = iter(scores.of([words_of(t) for t, ok in zip(part, known) if ok]) if any(known) else [])
+            for own in by_chars(texts, 100):
+                part = texts[own]
+                known = [bool(t and shared.value.languages and any(map(str.isalpha, t))) for t in part]
+                sums = iter(scores.of([words.words(t) for t, ok in zip(part, known) if ok]) if any(known) else [])
                 lang, score = [], []
                 for ok in known:
                     if not ok:
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     best = int(x.argmax())
                     lang.append(shared.value.languages[best])
                     score.append(float(1 / np.exp(np.minimum(x - x[best], 0)).sum()))
-                yield pa.RecordBatch.from_arrays([ids.slice(k, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(own.start, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -1,18 +1,23 @@
 """Piece lattices: a double-array trie over a public piece vocabulary, and the sums and maxima over its segmentations.
 
 No piece of such a vocabulary continues past the start of a new word, so the segmentations of a text are products of
-those of its words; words are what the operators cache.
+those of its words; words are what the operators cache. A long word, such as a text in a script without spaces, is cut
+wherever no piece reaches across, which leaves its segmentations the same; so only runs that pieces overlap without a gap
+are stepped through at length.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
 MARK = "▁"  # stands for a space
 UNK_PENALTY = 10.0
+#: Characters from which a word is cut, those looked at together, and those of texts that are taken at once.
+LONG_WORD, WINDOW, TEXT_CHARS = 64, 1 << 15, 1 << 21
 
 
 class PieceLattice:
@@ -34,6 +39,7 @@ class PieceLattice:
             raise ValueError("a piece continues past the start of a word; words can't be taken one by one")
         self.normal = np.array(normal, np.int32)
         self.unk_score = float(self.scores[self.normal].min()) - UNK_PENALTY
+        self.longest = max(len(self.pieces[i]) for i in normal)
         self._build([(self.pieces[i].encode(), i) for i in normal])
 
     def _build(self, keys: list[tuple[bytes, int]]) -> None:
@@ -115,6 +121,34 @@ class PieceLattice:
         steps = np.unique(coff)
         return {"buf": buf, "at": at, "end": end, "start": s, "to": e, "piece": p.astype(np.int64), "bounds": np.searchsorted(off, np.append(steps, np.inf)), "chars": chars, "chars_to": chars_to, "lone": ~single[chars], "cbounds": np.searchsorted(coff, np.append(steps, np.inf))}
 
+    def words(self, text: str) -> list[str]:
+        """``words_of`` the text, long ones cut where no piece reaches across."""
+        out = words_of(text)
+        return [x for w in out for x in self.cut(w)] if any(len(w) > LONG_WORD for w in out) else out
+
+    def cut(self, word: str) -> Iterator[str]:
+        at, window = 0, WINDOW
+        while len(word) - at > LONG_WORD:
+            seen = word[at : at + window + self.longest]
+            g = self.edges([seen])
+            across = np.zeros(len(g["buf"]) + 1, np.int64)
+            np.add.at(across, g["start"] + 1, 1)
+            np.add.at(across, g["to"], -1)
+            starts = np.sort(g["chars"])
+            free = np.flatnonzero(np.cumsum(across)[starts] == 0)
+            # A cut is sure where all pieces that begin before it lie in the window.
+            free = free[(free > 0) & (free <= window)].tolist()
+            if at + len(seen) < len(word) and not free:
+                window *= 2
+                continue
+            cuts = [0, *free]
+            yield from (seen[a:b] for a, b in zip(cuts, cuts[1:]))
+            if at + len(seen) == len(word):
+                yield seen[cuts[-1] :]
+                return
+            at, window = at + cuts[-1], WINDOW
+        yield word[at:]
+
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best segmentations: (ids of all words one after the other, where each word's begin and the last ends, scores, byte pieces per word).
 
@@ -219,9 +253,21 @@ def words_of(text: str) -> list[str]:
     return [w for w in out if w]
 
 
+def by_chars(texts: list[str | None], most: int = 200) -> Iterator[slice]:
+    """Slices of at most ``most`` texts, and of about ``TEXT_CHARS`` characters unless one text is longer."""
+    at = chars = 0
+    for k, t in enumerate(texts):
+        if k > at and (k - at >= most or chars + len(t or "") > TEXT_CHARS):
+            yield slice(at, k)
+            at, chars = k, 0
+        chars += len(t or "")
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def by_length(words: list[str]) -> list[list[str]]:
     """Words in batches of like length, so that a long one doesn't make short ones wait."""
     groups: dict[int, list[str]] = defaultdict(list)
     for w in words:
         groups[len(w).bit_length()].append(w)
-    return [own[i : i + 20_000] for own in groups.values() for i in range(0, len(own), max(1, 20_000))]
+    return [own[i : i + step] for bits, own in groups.items() for step in [max(1, min(20_000, (1 << 20) >> bits))] for i in range(0, len(own), step)]

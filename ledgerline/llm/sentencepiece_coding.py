@@ -3,9 +3,9 @@
 A text is encoded behind one space mark, spaces being marks. The best segmentation has the largest sum of piece
 scores; a character that no piece starts or is costs the least score less ten and becomes its byte pieces. Decoding
 joins pieces, reads byte runs as UTF-8 and turns marks into spaces, less the first. Each Python worker keeps the
-segmentations of the words that it saw last.
+segmentations of the words that it saw last. The scores are those of the file: tokenizers are not trained here.
 
-Defined cases: null text stays null in every result column; empty text has no pieces; texts of any length are
+Defined cases: a text that holds the space mark itself decodes to one with spaces there, so its ``round_trip`` is false; null text stays null in every result column; empty text has no pieces; texts of any length are
 encoded whole; repeated rows are encoded one by one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .lattice import MARK, PieceLattice, by_length, words_of
+from .lattice import MARK, PieceLattice, by_chars, by_length
 
-WORDS_KEPT = 700_000
+#: Words that a worker keeps, and their characters.
+WORDS_KEPT, CHARS_KEPT = 700_000, 1 << 24
 
 
 def piece_file() -> str:
@@ -39,7 +40,7 @@ def lattice(model_file: str) -> PieceLattice:
 
 
 class Encoder:
-    """Segmentations of the words a Python worker saw last: a number for each word, and by number its ids, score, byte pieces, and whether it decodes to itself."""
+    """Segmentations of the words a Python worker saw last: a number for each word, and by number its ids, score and byte pieces."""
 
     def __init__(self, model_file: str):
         self.lattice = lattice(model_file)
@@ -49,25 +50,22 @@ class Encoder:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.facts = np.zeros((0, 3))
+        self.facts, self.chars = np.zeros((0, 2)), 0
 
     def learn(self, texts: list[list[str]]) -> None:
         """Makes all words of these texts known."""
         lacking = set().union(*texts) - self.number.keys()
-        if len(self.number) + len(lacking) > WORDS_KEPT:
+        if len(self.number) + len(lacking) > WORDS_KEPT or self.chars > CHARS_KEPT:
             self.forget()
             lacking = set().union(*texts)
+        self.chars += sum(map(len, lacking))
         for own in by_length(list(lacking)):
             ids, cuts, scores, spelt = self.lattice.viterbi(own)
             raw, at = ids.tobytes(), (4 * cuts).tolist()
             first = len(self.number)
             self.number.update(zip(own, range(first, first + len(own))))
-            parts = [raw[a:b] for a, b in zip(at, at[1:])]
-            self.ids += parts
-            whole = [True] * len(own)
-            if decode_word(raw, self.lattice.pieces, self.byte_of) != "".join(own):
-                whole = [decode_word(p, self.lattice.pieces, self.byte_of) == w for p, w in zip(parts, own)]
-            self.facts = np.concatenate([self.facts, np.column_stack([scores, spelt, whole])])
+            self.ids += [raw[a:b] for a, b in zip(at, at[1:])]
+            self.facts = np.concatenate([self.facts, np.column_stack([scores, spelt])])
 
 
 def decode_word(raw: bytes, pieces: list[str], byte_of: dict[int, int]) -> str:
@@ -95,7 +93,7 @@ def decode_ids(raw: bytes, pieces: list[str], byte_of: dict[int, int]) -> str:
 
 
 def encode(docs: DataFrame, model_file: str | None = None, digest: bool = False) -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``n_bytes`` (byte pieces), ``score``, and ``ids``; with ``digest`` instead of ids ``ids_crc32`` (little-endian) and ``round_trip``: whether every word's pieces decode to the word, and so the text's to the text."""
+    """``doc_id``, ``n_pieces``, ``n_bytes`` (byte pieces), ``score``, and ``ids``; with ``digest`` instead of ids ``ids_crc32`` (little-endian) and ``round_trip``: whether the ids decode to the whole text."""
     model_file = model_file or piece_file()
     schema = "doc_id long, n_pieces long, n_bytes long, score double, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
 
@@ -103,9 +101,9 @@ def encode(docs: DataFrame, model_file: str | None = None, digest: bool = False)
         encoder = _encoders.get(model_file) or _encoders.setdefault(model_file, Encoder(model_file))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 200):  # bounds the words in memory
-                part = texts[k : k + 200]
-                words = [words_of(t) if t else [] for t in part]
+            for own_rows in by_chars(texts):
+                part = texts[own_rows]
+                words = [encoder.lattice.words(t) if t else [] for t in part]
                 encoder.learn(words)
                 rows = []
                 for text, own in zip(part, words):
@@ -114,10 +112,10 @@ def encode(docs: DataFrame, model_file: str | None = None, digest: bool = False)
                         continue
                     at = list(map(encoder.number.__getitem__, own))
                     raw = b"".join([encoder.ids[i] for i in at])
-                    score, spelt, whole = encoder.facts[at].sum(0) if at else (0.0, 0, 0)
-                    rows.append((len(raw) // 4, int(spelt), float(score), zlib.crc32(raw) if digest else np.frombuffer(raw, "<i4"), whole == len(at)))
+                    score, spelt = encoder.facts[at].sum(0) if at else (0.0, 0)
+                    rows.append((len(raw) // 4, int(spelt), float(score), *((zlib.crc32(raw), decode_ids(raw, encoder.lattice.pieces, encoder.byte_of) == text) if digest else (np.frombuffer(raw, "<i4"), None))))
                 cols = list(zip(*rows)) if rows else [()] * 5
-                arrays = [batch.column(0).slice(k, len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())]
+                arrays = [batch.column(0).slice(own_rows.start, len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())]
                 arrays += [pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())] if digest else [pa.array(cols[3], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
