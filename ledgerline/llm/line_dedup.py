@@ -6,10 +6,17 @@ similarity of at least t, their prefixes of n - ceil(t n) + 1 words share a word
 word's group a line meets the earlier ones that pass the length filter, the positional filter and a bitmap filter
 (the parity of word hashes per bit never differs more than the sets do). Surviving pairs are verified on the whole
 sets. A line is removed if an earlier line, by document and line number, is as similar; copies of a set are
-found by its hash. A line meets at most ``NEAR`` earlier ones per word in the first round; those that had more and were not
-matched meet all in a second round, so nothing is lost and a group of like lines does not make all its pairs.
+found by its hash, and sets so small that only equal ones are similar send no words. A line meets at most ``NEAR`` earlier
+ones per word in the first round; those that had more and were not matched meet all in a second round, so nothing is
+lost and a group of like lines does not make all its pairs.
 
-Defined cases: null text stays null and has one empty line; shorter lines stay; documents are ordered by doc_id (nulls
+Words are dealt to shelves, in numbers that follow the input. A shelf that a sample shows to be hot is cut into parts, and
+each pair of parts meets in a task of its own. The sample steers the work only; no result depends on it.
+
+Words are compared by 64-bit hashes. Two of the few words of two compared lines agree by chance with a probability
+of about 1e-17 a pair of lines; equal sets are told by 128 bits.
+
+Defined cases: null text stays null and has one empty line; lines without a word stay; documents are ordered by doc_id (nulls
 first), and rows that share one by their text; lines without change keep their bytes; an empty table gives no rows;
 other columns pass through.
 """
@@ -24,23 +31,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, materialise, nested, unnested
+from .common import BROADCAST_ROWS, broadcast_if_small, documents, keyed, materialise, nested, unnested
 from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
-SIMILARITY, MIN_WORDS, BUCKET_BITS = (4, 5), 5, 19
+SIMILARITY, MIN_WORDS, BUCKET_BITS = (4, 5), 1, 19
 NEAR = 16
-#: Wanted lines up to which their list is broadcast instead of shuffling texts.
-BROADCAST_LINES = 2_000_000
-#: Lines of a block of the second round, about, and bits of its bitmap of words.
-OPEN_ROWS, WANTED_BITS = 100_000, 24
-#: Bytes of text whose lines are taken at once, and of entries whose words are.
-PIECE, GROUP_BYTES = 1 << 18, 1 << 22
-#: Shelves that words are dealt to, and parts of the bucket counts.
-SHELVES, PARTS = 2048, 64
+#: Bytes of (row_id, line numbers) up to which they are broadcast instead of shuffling texts; slots of the second round's bitmap of words.
+BROADCAST_BYTES, SLOTS = 48 << 20, 1 << 22
+#: Bytes of text whose lines are taken at once, of entries whose words are, and sets that a task remembers to have sent.
+PIECE, GROUP_BYTES, REMEMBERED = 1 << 18, 1 << 22, 1 << 15
+#: Least number of shelves, words of all sets for each shelf, entry bytes of a part of a hot shelf, rows of the sample (one of so many).
+SHELVES, SHELF_WORDS, HOT_BYTES, SAMPLE = 2048, 1 << 15, 1 << 23, 64
+#: Parts of the bucket counts.
+PARTS = 64
 LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
-#: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, the parity of word hashes per bit.
-ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("bits", "<u8", 3)])
+#: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, whether the second round asks for the line, the parity of word hashes per bit.
+ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("open", "?"), ("bits", "<u8", 3)])
 
 
 def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
@@ -116,26 +123,31 @@ def bucket_counts(scan: DataFrame, bits: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
 
 
-def place_keys(row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix(row.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+def alone(size: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Whether a set of this size is similar to equal sets only."""
+    a, b = similarity
+    return (size * b // a <= size) & (-(-2 * a * size // (a + b)) >= size)
 
 
-def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, wanted=None, copies: bool = False) -> DataFrame:
-    """Prefix words of every set (unless ``copies``, of equal sets only one before all that its task has sent, so the earliest of all always speaks), as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
+def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: int, bits: int, shelves: int, wanted=None, slots: bool = False) -> DataFrame:
+    """Prefix words of every set as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
 
-    ``rarity`` is the broadcast bucket counts; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
+    Of equal sets those go that come after one that the task remembers to have sent, so the earliest of all always speaks.
+    ``rarity`` is the broadcast bucket counts. A third column of ``docs``, if there, lists a row's open lines, which speak in
+    any case and are marked; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
+    With ``slots`` only that bitmap's slots of the open lines' words leave, in place of shelves, without entries.
     """
     a, b = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, int] = {}  # the earliest place of each set so far
+        sent: dict[int, int] = {}  # the earliest place of sets so far
         held: list[np.ndarray] = []
+        most = int(rarity.value.max()) + 1
 
         def fresh_lines(s: dict) -> np.ndarray:
-            fresh = np.full(len(s["first"]), copies)
-            if copies:
-                return fresh
-            order = np.lexsort((s["line_no"], s["row_id"]))
+            fresh, order = np.zeros(len(s["first"]), bool), np.lexsort((s["line_no"], s["row_id"]))
+            if len(sent) > REMEMBERED:
+                sent.clear()
             for i, k, row, line in zip(order.tolist(), *(x[order].tolist() for x in (set_keys(s)[0], s["row_id"], s["line_no"]))):
                 place = (row << 31) + line
                 if k not in sent or place < sent[k]:
@@ -146,27 +158,33 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
             held.clear()
-            shelf = (rows["word"] % np.uint64(SHELVES)).astype(np.int32)
+            shelf = (rows["word"] % np.uint64(shelves)).astype(np.int64)
             order = np.argsort(shelf, kind="stable")
             names, at = np.unique(shelf[order], return_index=True)
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(rows[order], at[1:])], pa.binary())], ["shelf", "entries"])
 
         for batch in batches:
-            for s in line_sets(batch, min_words):
-                fresh = fresh_lines(s)
+            asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own or ()} if batch.num_columns > 2 else set()
+            for s in line_sets(batch.select([0, 1]), min_words):
+                opened = np.fromiter(((r, n) in asked for r, n in zip(s["row_id"].tolist(), s["line_no"].tolist())), bool, len(s["first"])) if asked else np.zeros(len(s["first"]), bool)
+                speaks = opened if slots else fresh_lines(s) | opened
+                speaks = speaks & ~alone(s["size"], similarity)
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
                 rank = rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.argsort(line * (rarity.value.max() + 1) + rank, kind="stable")  # words ascend in each line already
+                order = np.argsort(line * most + rank, kind="stable")  # words ascend in each line already
                 at = np.arange(len(word)) - first[line]
-                take = (at < (size - -(-a * size // b) + 1)[line]) & fresh[line]
+                take = (at < (size - -(-a * size // b) + 1)[line]) & speaks[line]
+                if slots:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(word[order][take] % np.uint64(SLOTS)).astype(np.int64)), pa.nulls(len(np.unique(word[order][take] % np.uint64(SLOTS))), pa.binary())], ["shelf", "entries"])
+                    continue
                 if wanted is not None:
-                    w = word[order] % np.uint64(len(wanted.value))
-                    take &= wanted.value[w.astype(np.int64)]
+                    slot = (word[order] % np.uint64(SLOTS)).astype(np.int64)
+                    take &= (wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                 bit = (word % np.uint64(192)).astype(np.int64)
                 flag = np.uint64(1) << (bit & 63).astype(np.uint64)
                 own = line[take]
                 rows = np.empty(len(own), ENTRY)
-                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535)  # a smaller position only weakens the filter
+                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"], rows["open"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535), opened[own]  # a smaller position only weakens the filter
                 for k in range(3):
                     rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
                 held.append(rows)
@@ -175,43 +193,45 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
         if held:
             yield flush()
 
-    return docs.select("row_id", "text").mapInArrow(run, "shelf int, entries binary")
-
+    return docs.mapInArrow(run, "shelf long, entries binary")
 
-def words_of(only):
-    """Slots of the ``wanted`` bitmap that the entries of these lines take."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for entries in batch.column(1).to_pylist():
-                rows = np.frombuffer(entries, ENTRY)
-                own = rows["word"][np.isin(place_keys(rows["row"], rows["line"]), only.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own % np.uint64(1 << WANTED_BITS)).astype(np.int32))], ["slot"])
+PAIRS = "row_a long, line_a int, row_b long, line_b int, more boolean"
 
-    return run
 
+def dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """(cell, shelf, role, entries), sorted by cell within partitions: a shelf is a cell, but one of p parts makes a cell of each pair of them.
 
-PAIRS = "row_a long, line_a int, row_b long, line_b int, more boolean"
+    In a cell of two parts the entries of one look for partners (role 1) among those of the other (role 2); else each does both (role 3).
+    """
+    part = F.pmod(F.xxhash64("entries"), F.col("parts"))
+    cells = F.when(F.col("parts").isNull(), F.expr("array(named_struct('x', 0L, 'y', 0L, 'role', 3))")).otherwise(F.expr("""concat(
+        transform(sequence(0L, parts - 1), k -> named_struct('x', part, 'y', k, 'role', if(k = part, 3, 1))),
+        transform(filter(sequence(0L, parts - 1), k -> k <> part), k -> named_struct('x', k, 'y', part, 'role', 2)))"""))
+    rows = entries.join(broadcast_if_small(hot), "shelf", "left").withColumn("part", part).select("shelf", "entries", F.explode(cells).alias("c"))
+    return rows.select(F.xxhash64("shelf", "c.x", "c.y").alias("cell"), "shelf", "c.x", "c.y", "c.role", "entries").repartition("cell").sortWithinPartitions("cell", "shelf", "x", "y").select("shelf", "x", "y", "role", "entries")
 
 
-def meet(similarity: tuple[int, int], near: int | None, only=None):
-    """For the entries of whole shelves: each line's earlier partners under a word that pass the filters, at most ``near``; ``only`` for lines whose place keys are in this broadcast array."""
+def meet(similarity: tuple[int, int], near: int | None):
+    """For the entries of whole cells: each line's earlier partners under a word that pass the filters, at most ``near``; all of them for open lines only, if that is None."""
     a, b = similarity
 
-    def group(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[np.lexsort((rows["line"], rows["row"], rows["word"]))]
+    def group(blobs: list[bytes], roles: list[int]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(blobs), ENTRY)
+        role = np.repeat(np.array(roles, np.int8), [len(x) // ENTRY.itemsize for x in blobs])
+        order = np.lexsort((rows["line"], rows["row"], rows["word"]))
+        rows, role = rows[order], role[order]
         word, row, line, size, at = (np.ascontiguousarray(rows[k]) for k in ("word", "row", "line", "size", "at"))
         size, at, bits = size.astype(np.int64), at.astype(np.int64), np.ascontiguousarray(rows["bits"].T)
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         rank = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
-        found, d, count, active = [], 1, np.zeros(len(word), np.int32), np.flatnonzero(rank >= 1)
-        if only is not None:
-            active = active[np.isin(place_keys(row[active], line[active]), only.value)]
+        asks, answers = (role & 1 == 1) & (rows["open"] if near is None else True), role & 2 == 2
+        found, d, count, active = [], 1, np.zeros(len(word), np.int32), np.flatnonzero((rank >= 1) & asks)
         while len(active):
             other = active - d
             nx, ny = size[active], size[other]
             need = -(-a * (nx + ny) // (a + b))
-            ok = (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (np.minimum(nx - at[active], ny - at[other]) >= need) & ((row[active] != row[other]) | (line[active] != line[other]))
+            ok = answers[other] & (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (np.minimum(nx - at[active], ny - at[other]) >= need) & ((row[active] != row[other]) | (line[active] != line[other]))
             x, y, most = active[ok], other[ok], (nx + ny - 2 * need)[ok]
             apart = np.zeros(len(x), np.int64)
             for q in bits:
@@ -226,34 +246,44 @@ def meet(similarity: tuple[int, int], near: int | None, only=None):
         return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more)], [q.split()[0] for q in PAIRS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, last = [], 0, None
-        for batch in batches:  # sorted by shelf
-            for shelf, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if shelf != last and total > GROUP_BYTES:
-                    yield group(np.frombuffer(b"".join(held), ENTRY))
-                    held, total = [], 0
-                held.append(entries.as_py())
-                total, last = total + len(held[-1]), shelf
-        if held:
-            yield group(np.frombuffer(b"".join(held), ENTRY))
+        blobs, roles, total, last, split = [], [], 0, None, False
+        for batch in batches:  # whole cells, one after the other
+            for shelf, x, y, role, entries in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                cell = (shelf, x, y)
+                # Cells of one shelf must not be joined, as they hold the same entries in other roles.
+                if cell != last and blobs and (total > GROUP_BYTES or split or role != 3):
+                    yield group(blobs, roles)
+                    blobs, roles, total, split = [], [], 0, False
+                if cell != last:
+                    split = False
+                split = split or role != 3 or x != 0 or y != 0
+                blobs.append(entries.as_py())
+                roles.append(role)
+                total, last = total + len(blobs[-1]), cell
+        if blobs:
+            yield group(blobs, roles)
 
     return run
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(row_id, line_no, words) of the wanted (row_id, line_no)."""
-    lists = materialise(wanted.groupBy("row_id").agg(F.collect_list("line_no").alias("lines")), "lines-wanted")
-    if (lists.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
+def listed(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """``docs(row_id, text)`` with ``lines``, the line numbers of (row_id, line_no); these are broadcast within ``BROADCAST_BYTES``, else texts are shuffled."""
+    lists = materialise(places.groupBy("row_id").agg(F.collect_list("line_no").alias("lines")), "lines-wanted")
+    if (lists.agg(F.sum(40 + 4 * F.size("lines"))).first()[0] or 0) <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
+    return docs.select("row_id", "text").join(lists, "row_id", how).select("row_id", "text", "lines")
+
 
+def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(row_id, line_no, words) of the wanted (row_id, line_no)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own}
-            for s in line_sets(batch, min_words):
+            for s in line_sets(batch.select([0, 1]), min_words):
                 rows = [(r, n, w.view(np.int64)) for r, n, w in zip(s["row_id"].tolist(), s["line_no"].tolist(), np.split(s["word"], s["first"][1:])) if (r, n) in asked]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["row_id", "line_no", "words"])
 
-    return docs.select("row_id", "text").join(lists, "row_id").select("row_id", "text", "lines").mapInArrow(run, "row_id long, line_no int, words array<long>")
+    return listed(docs, wanted, "inner").mapInArrow(run, "row_id long, line_no int, words array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_words: int) -> DataFrame:
@@ -267,35 +297,48 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min
     return both.select("row_a", "line_a", "row_b", "line_b", "more", (b * shared >= a * (F.size("set_a") + F.size("set_b") - shared)).alias("same"))
 
 
+def later_copies(lines: DataFrame) -> DataFrame:
+    """(row_id, line_no) of all but the first line of each set. Sets of very many lines, of which there are few, are broadcast; the others are joined by a shuffle."""
+    sets = materialise(lines.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-firsts")
+    many = max(1_000, lines.count() // (BROADCAST_ROWS // 2))  # at most BROADCAST_ROWS / 2 sets have more lines
+    hot = F.broadcast(sets.where(F.col("n") > many).select("h1", "h2", F.col("first").alias("hot")))
+    split = lines.join(hot, ["h1", "h2"], "left")
+    few = split.where("hot is null").join(sets.where(F.col("n") <= many), ["h1", "h2"]).select("row_id", "line_no", "first")
+    both = few.unionByName(split.where("hot is not null").select("row_id", "line_no", F.col("hot").alias("first")))
+    return both.where("row_id <> first.row_id or line_no <> first.line_no").select("row_id", "line_no")
+
+
 def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, bits: int = BUCKET_BITS) -> DataFrame:
     """(row_id, line_no) of every removed line of ``docs(row_id, text)``."""
+    share = docs.sparkSession.sparkContext.broadcast
     scan = materialise(scan_lines(docs, min_words, bits), "lines-scan")
     lines = scan.where("part is null").select("row_id", "line_no", "h1", "h2")
-    rarity = docs.sparkSession.sparkContext.broadcast(bucket_counts(scan, bits))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = lines.join(firsts, ["h1", "h2"]).where("row_id <> first.row_id or line_no <> first.line_no").select("row_id", "line_no")
+    counts = bucket_counts(scan, bits)
+    shelves, rarity = max(SHELVES, int(counts.sum()) // SHELF_WORDS), share(counts)
+    copies = materialise(later_copies(lines), "lines-copies")
+    words = lambda rows, *more: prefixes(rows, rarity, similarity, min_words, bits, shelves, *more)
+    sampled = words(docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE)) == 0).select("row_id", "text")).groupBy("shelf").agg(F.sum(F.octet_length("entries")).alias("bytes"))
+    hot = materialise(sampled.select("shelf", F.ceil(F.col("bytes") * SAMPLE / HOT_BYTES).alias("parts")).where("parts > 1"), "lines-hot")
 
-    def candidates(near: int | None, only=None, wanted=None) -> DataFrame:
-        rows = prefixes(docs, rarity, similarity, min_words, bits, wanted, wanted is not None).repartition("shelf").sortWithinPartitions("shelf")
-        return rows.mapInArrow(meet(similarity, near, only), PAIRS).groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"))
+    def candidates(entries: DataFrame, near: int | None, label: str) -> DataFrame:
+        met = dealt(entries, hot).mapInArrow(meet(similarity, near), PAIRS)
+        return materialise(met.groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more")), label)
 
     later = lambda checked: checked.select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))
-    pairs = materialise(candidates(NEAR), "lines-pairs")
+    pairs = candidates(words(docs.select("row_id", "text")), NEAR, "lines-pairs")
     checked = materialise(verified(docs, pairs, similarity, min_words), "lines-checked")
     near = later(checked.where("same"))
     open_ = later(checked.where("more")).distinct().join(near, ["row_id", "line_no"], "left_anti").join(copies, ["row_id", "line_no"], "left_anti")
     open_ = materialise(open_, "lines-open")
-    blocks = -(-open_.count() // OPEN_ROWS)
-    for k in range(blocks):  # lines that had more partners than the first round looks at, a bounded number at a time
-        own = open_.where(F.pmod(F.xxhash64("row_id", "line_no"), F.lit(blocks)) == k).toPandas()
-        share = docs.sparkSession.sparkContext.broadcast
-        only = share(np.unique(place_keys(own["row_id"].to_numpy(), own["line_no"].to_numpy())))
-        few = docs.join(F.broadcast(docs.sparkSession.createDataFrame(own[["row_id"]].drop_duplicates())), "row_id", "left_semi")
-        words = prefixes(few, rarity, similarity, min_words, bits, copies=True).mapInArrow(words_of(only), "slot int").distinct().toPandas()["slot"].to_numpy()
-        wanted = np.zeros(1 << WANTED_BITS, bool)
-        wanted[words] = True
-        rest = materialise(candidates(None, only, share(wanted)), "lines-rest")
+    if open_.limit(1).count():  # lines that had more partners than the first round looks at
+        slots = words(listed(docs, open_, "inner"), None, True).select("shelf").distinct().toPandas()["shelf"].to_numpy()  # at most SLOTS numbers
+        wanted = np.zeros(SLOTS, bool)
+        wanted[slots] = True
+        wanted = share(np.packbits(wanted, bitorder="little"))
+        rest = candidates(words(listed(docs, open_, "left"), wanted), None, "lines-rest")
         near = near.unionByName(later(materialise(verified(docs, rest, similarity, min_words), "lines-rechecked").where("same")))
+        wanted.unpersist()
+    rarity.unpersist()
     return near.unionByName(copies).distinct()
 
 

@@ -219,7 +219,7 @@ def brute_lines(docs):
     for r, t in docs:
         for k, line in enumerate(t.split("\n")):
             s = frozenset(WORD.findall(line))
-            if len(WORD.findall(line)) < 5:
+            if not s:
                 continue
             near = Counter(y for w in s for y in inv[w])
             if any(5 * n >= 4 * (len(s) + len(seen[y]) - n) for y, n in near.items()):
