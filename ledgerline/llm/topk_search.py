@@ -1,14 +1,18 @@
 """Exact top-k search by inner product: KD-trees per shard.
 
-Vectors are quantised to integers and dealt to shards by a hash of their id; each shard becomes one KD-tree (median
-splits, tight bounding boxes) kept as arrays in a row. Queries are dealt in blocks. A first round searches
-each block in one shard, which gives every query a kth score to start from; the second round searches every block
-in every shard with that bound, best box first, and stops where a box's upper bound falls below the kth score. The
-best k of each query's shard results are its answer. A block meets each shard in a task of its own.
+Vectors are quantised to integers and dealt to shards by space: a top tree of median splits, drawn from a bounded sample,
+sends every row to a shard, and a shard of too many rows (equal vectors, say) is split by a hash of the id. Each shard
+becomes one KD-tree (median splits, tight bounding boxes) kept as arrays in a row.
+
+The bound of an inner product over a shard's box says which shards can matter to a query. In the first round each query
+visits the shard of its highest bound, in the second the next ``NEXT`` whose bound reaches its kth score, in the third
+all that still do; so the kth score is carried from shard to shard, and a query is only sent where it may find something.
+Within a shard the search goes best box first and stops where a box's bound falls below the kth score. Queries of
+a shard are dealt in parts, each of which meets the tree in a task of its own.
 
 Defined cases: a vector that is null, empty, or holds null or non-finite components takes no part; vectors of
 unlike length don't meet; ties go to the smaller id; a query never finds itself, but finds equal vectors of
-other ids; rows that repeat an id are each a candidate, and as queries count once; empty tables give no rows; other
+other ids; rows that repeat an id are each a candidate, and as queries count once (the smallest vector of the id); empty tables give no rows; other
 columns are ignored.
 """
 
@@ -23,11 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
 K, LEAF = 20, 256
-#: Rows of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 1_024
+#: Rows of a shard and queries of a part, on average; boxes and queries that are compared in one task.
+SHARD_ROWS, PART_ROWS, BOXES, BLOCK_ROWS = 16_384, 8_192, 4_096, 4_096
+#: Rows that the top tree's splits are drawn from, at most about, and numbers in them; shards that a query visits in the second round.
+SAMPLE_ROWS, SAMPLE_NUMBERS, NEXT = 50_000, 4_000_000, 4
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -95,51 +101,127 @@ def exact(*sides: np.ndarray) -> list[np.ndarray]:
 
 
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(KDTree(*packed(pdf)), 5)]})
-
-
-def build_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "queries": [pickle.dumps(packed(pdf), 5)]})
-
-
-FOUND = "dim int, block long, query_id long, vec_id long, score long"
-
+    tree = KDTree(*packed(pdf))
+    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "low": [tree.low[0].astype(np.int64).tolist()], "high": [tree.high[0].astype(np.int64).tolist()], "tree": [pickle.dumps(tree, 5)]})
+
+
+def top_splits(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of the median split of each node of a complete tree, in the order of ``KDTree``'s nodes."""
+    axis, value, own = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1, np.int64), [rows]
+    for node in range(len(axis)):
+        x = own[node]
+        if len(x):
+            axis[node] = int((x.max(0) - x.min(0)).argmax())
+            value[node] = int(np.sort(x[:, axis[node]])[(len(x) - 1) // 2])
+        right = x[:, axis[node]] > value[node]
+        own += [x[~right], x[right]]
+    return axis, value
+
+
+def dealt_to_shards(vectors: DataFrame, shard_rows: int) -> DataFrame:
+    """(dim, shard, vec_id, v): every row of ``vectors(vec_id, v)`` in a shard of about ``shard_rows``."""
+    rows = vectors.select(F.size("v").alias("dim"), "vec_id", "v")
+    large = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).collect()}  # at most a length for each `shard_rows` rows
+    total = sum(large.values())
+    plans = {}
+    if large:
+        most = min(SAMPLE_ROWS, SAMPLE_NUMBERS * total // sum(d * n for d, n in large.items()))
+        sample = rows.where(F.col("dim").isin(list(large)) & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < min(1_000_000, -(-1_000_000 * most // total)))).toPandas()  # about SAMPLE_NUMBERS numbers
+        for dim, n in large.items():
+            own = sample.loc[sample["dim"] == dim, "v"].tolist()
+            plans[dim] = (depth := int(np.ceil(np.log2(n / shard_rows))), *top_splits(np.array(own, np.int64).reshape(-1, dim), depth))
+    shared = vectors.sparkSession.sparkContext.broadcast(plans)  # two numbers a shard
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            shard = np.zeros(len(pdf), np.int64)
+            for dim, at in pdf.groupby("dim").indices.items():
+                if dim in shared.value:
+                    depth, axis, value = shared.value[dim]
+                    x, node = np.array(pdf["v"].iloc[at].tolist(), np.int64), np.zeros(len(at), np.int64)
+                    for _ in range(depth):
+                        node = 2 * node + 1 + (x[np.arange(len(at)), axis[node]] > value[node])
+                    shard[at] = node - len(axis)
+            yield pdf.assign(shard=shard)
+
+    placed = materialise(rows.mapInPandas(assign, "dim int, vec_id long, v array<long>, shard long"), "topk-placed")
+    sizes = materialise(placed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_rows)).alias("parts")), "topk-sizes")
+    split = F.col("shard") * (1 << 31) + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
+    return placed.join(broadcast_if_small(sizes), ["dim", "shard"]).select("dim", split.alias("shard"), "vec_id", "v")
+
+
+def every(parts: int, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+
+
+def promising(queries: DataFrame, boxes: DataFrame, most: int | None) -> DataFrame:
+    """(dim, query_id, shard, upper): the shards whose box lets a query (dim, query_id, v, bound) reach its bound; at least the ``most`` best of each query."""
+    chunks, blocks = max(1, -(-boxes.count() // BOXES)), max(1, -(-queries.count() // BLOCK_ROWS))
+
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({"dim": [], "query_id": [], "shard": [], "upper": []})
+        q, low, high = exact(*(np.array(x.tolist(), np.int64) for x in (asked["v"], own["low"], own["high"])))
+        upper = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        ok = upper >= asked["bound"].to_numpy(float)[:, None]
+        if most is not None and most < len(own):
+            cut = np.partition(upper.astype(float), len(own) - most, axis=1)[:, len(own) - most]
+            ok &= upper >= cut[:, None]
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"dim": asked["dim"].iloc[0], "query_id": asked["query_id"].to_numpy()[i], "shard": own["shard"].to_numpy()[j], "upper": upper[i, j].astype(float)})
+
+    block, chunk = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int").alias("chunk")
+    asked = queries.select("dim", "query_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), block, every(chunks, "chunk"))
+    return asked.groupBy("dim", "block", "chunk").cogroup(boxes.select("dim", "shard", "low", "high", chunk, every(blocks, "block")).groupBy("dim", "block", "chunk")).applyInPandas(run, "dim int, query_id long, shard long, upper double")
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def visit(trees: DataFrame, asked: DataFrame, k: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Search (dim, shard, query_id, v, bound), a written table, in the trees (dim, shard, tree): one tree and one part of its queries in each group."""
+    parts = materialise(asked.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")), "topk-parts")
+    few = broadcast_if_small(parts)
+    own = trees.select("dim", "shard", "tree").join(few, ["dim", "shard"]).select("dim", "shard", "tree", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    dealt = asked.join(few, ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+
+    def run(tree_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t in tree_rows["tree"] if len(query_rows) else ():
+            tree, rows = pickle.loads(t), np.array(query_rows["v"].tolist(), np.int64)
+            tree.rows, tree.low, tree.high, rows = exact(tree.rows, tree.low, tree.high, rows)
+            out += tree.search(query_rows["query_id"].to_numpy(), rows, query_rows["bound"].fillna(-np.inf).to_numpy(float), k)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-def meet(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Search blocks (dim, shard, block, queries, bounds) in the trees (dim, shard, block, tree): one tree and one block in each group."""
+    return own.groupBy("dim", "shard", "part").cogroup(dealt.groupBy("dim", "shard", "part")).applyInPandas(run, FOUND)
 
-    def run(tree_rows: pd.DataFrame, block_rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t in tree_rows.itertuples():
-            for b in block_rows.itertuples():
-                tree, (ids, rows) = pickle.loads(t.tree), pickle.loads(b.queries)
-                tree.rows, tree.low, tree.high, rows = exact(tree.rows, tree.low, tree.high, rows)
-                known = {x["query_id"]: x["score"] for x in (b.bounds if b.bounds is not None else ())}
-                bound = np.array([known.get(i, -np.inf) for i in ids.tolist()], float)
-                out += [(b.dim, b.block, *x) for x in tree.search(ids, rows, bound, k)]
-        return pd.DataFrame(out, columns=["dim", "block", "query_id", "vec_id", "score"])
 
-    return trees.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(run, FOUND)
+def best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, next_shards: int = NEXT) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` against ``vectors``, both (vec_id long, v array<long>), v non-null."""
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    dealt = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
-    trees = materialise(dealt.groupBy("dim", "shard").applyInPandas(build_shard, "dim int, shard long, tree binary"), "topk-trees")
-    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    asked = materialise(asked.groupBy("dim", "block").applyInPandas(build_block, "dim int, block long, queries binary"), "topk-queries")
-    every = lambda parts, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias(name)
-    # Round one: each block in one shard. Round two: in every shard, with the kth score from round one.
-    none = F.lit(None).cast("array<struct<query_id:long,score:long>>").alias("bounds")
-    one = asked.select("dim", "block", "queries", F.pmod("block", F.lit(shards)).alias("shard"), none)
-    seed = meet(trees.select("*", every(blocks, "block")).where(F.pmod("block", F.lit(shards)) == F.col("shard")), one, k)
-    kth = seed.groupBy("dim", "block", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
-    bounds = materialise(kth.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("bounds")), "topk-bounds")
-    results = meet(trees.select("*", every(blocks, "block")), asked.join(bounds, ["dim", "block"], "left").select("dim", "block", "queries", "bounds", every(shards, "shard")), k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return results.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    trees = materialise(dealt_to_shards(vectors, shard_rows).groupBy("dim", "shard").applyInPandas(build_shard, "dim int, shard long, low array<long>, high array<long>, tree binary"), "topk-trees")
+    boxes = trees.select("dim", "shard", "low", "high")
+    one = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = materialise(one.select(F.size("v").alias("dim"), "query_id", "v"), "topk-queries")
+    bound, seen, found = asked.withColumn("bound", F.lit(None).cast("double")), None, None
+    for step, most in enumerate((1, 1 + next_shards, None)):
+        shards = promising(bound, boxes, most)
+        if seen is not None:
+            shards = shards.join(seen, ["dim", "query_id", "shard"], "left_anti")
+        if most is not None:  # a window of the best of each query
+            nth = F.row_number().over(Window.partitionBy("dim", "query_id").orderBy(F.desc("upper"), "shard"))
+            shards = shards.withColumn("nth", nth).where(F.col("nth") <= (1 if step == 0 else next_shards))
+        now = materialise(shards.select("dim", "query_id", "shard"), "topk-visits")
+        seen = now if seen is None else seen.unionByName(now)
+        more = materialise(visit(trees, materialise(now.join(bound.drop("dim"), "query_id").select("dim", "shard", "query_id", "v", "bound"), "topk-asked"), k), "topk-found")
+        found = more if found is None else materialise(best(found.unionByName(more), k).drop("rank"), "topk-best")
+        kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("bound"))
+        bound = asked.join(kth, "query_id", "left").select("dim", "query_id", "v", "bound")
+    return best(found, k)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

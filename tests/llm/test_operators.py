@@ -126,6 +126,16 @@ def test_top_k(spark, odd_dir):
     assert sorted(got) == sorted(tuple(x) for x in want if x[0] != 20)  # 20 is there twice: as a query it counts once
 
 
+def brute_top(rows, every, k):
+    v = np.array([x for _, x in rows])
+    out = {}
+    for q, x in rows:
+        if q % every == 0:
+            best = sorted((-int(s), i) for (i, _), s in zip(rows, v @ np.array(x)) if i != q)[:k]
+            out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
 def test_top_k_over_many_shards_and_blocks(spark):
     from ledgerline.llm.topk_search import top_k
 
@@ -133,7 +143,7 @@ def test_top_k_over_many_shards_and_blocks(spark):
     rows = [(i, [int(x) for x in r.integers(-9, 9, 6)]) for i in range(900)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     got = {}
-    for x in top_k(df, df.where("vec_id % 30 = 0"), 5, shard_rows=100, block_rows=8).collect():
+    for x in top_k(df, df.where("vec_id % 30 = 0"), 5, shard_rows=100).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     v = np.array([x[1] for x in rows])
     for q in range(0, 900, 30):
