@@ -1,10 +1,14 @@
 """N-gram Jaccard join: MinHash banding, verified on full n-gram sets.
 
 Documents are sets of five-word shingles. Documents with equal sets form a class and are represented once. Bands of
-MinHash values, in numbers chosen for a target recall at the threshold, are shuffled; documents that share a band
-with others are linked into candidate groups, each of which receives its shingle sets once. Within a group every pair is
-compared on the full sets; a group of more than ``BLOCK`` classes is compared in blocks of pairs, each a task of
-its own, and only counts and a spanning forest leave a block, never all pairs.
+MinHash values, in numbers chosen for a target recall at the threshold within a budget of hash values, are shuffled;
+documents that share a band with others are linked into candidate groups, each of which receives its shingle sets once.
+Within a group every pair is compared on the full sets. A group of more than ``BLOCK`` classes, or ``BLOCK_BYTES`` of sets, is
+cut into blocks, those that share a band side by side, and two blocks meet, in a task of their own, only if a band is found in both;
+so a long chain of small groups makes few tasks. Only counts and a spanning forest leave a block, never all pairs.
+
+Shingles are compared by 64-bit hashes within pairs of documents: two texts of n shingles agree on one by chance with
+a probability of about n * n / 2**64. Equal sets are told by 128 bits.
 
 Defined cases: null and wordless texts have no shingles, no links and a class of their own; a text of one to four words is
 one shingle; words are runs of other characters than white space, compared as they are; a class takes the smallest
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, connected_components, documents, keyed, materialise, nested, unnested
 from .wordhash import hash_words, mix
 
-WORDS, SIMILARITY, RECALL, BLOCK = 5, 0.8, 0.99995, 512
+WORDS, SIMILARITY, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.99995, 128, 512, 1 << 23
 SIGNED = "row_id long, set_key string, size int, bands array<long>"
 
 
-def bands_and_rows(similarity: float, recall: float, rows: int = 5) -> tuple[int, int]:
-    """Bands of ``rows`` values such that a pair just at the threshold shares one with at least the target probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows
+def bands_and_rows(similarity: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
+    """Bands and rows such that a pair just at the threshold shares a band with at least the target probability: the most rows, and so fewest chance candidates, whose values stay within ``hashes``."""
+    for rows in range(hashes, 0, -1):
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))
+        if bands * rows <= hashes:
+            return bands, rows
+    return math.ceil(math.log(1 - recall) / math.log1p(-similarity)), 1
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -134,9 +142,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     shared = banded.groupBy("band").agg(F.min("row_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = banded.join(shared, "band").where("row_id <> head").select(F.col("row_id").alias("a"), F.col("head").alias("b")).distinct()
     groups = connected_components(edges, "ngram-candidates")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = groups.join(sizes, "component").join(classes.select(F.col("rid").alias("vertex"), "copies"), "vertex")
-    members = materialise(members.select(F.col("vertex").alias("rid"), "component", "copies", F.ceil(F.col("members") / block).cast("int").alias("blocks"), F.pmod(F.xxhash64("vertex"), F.ceil(F.col("members") / block)).cast("int").alias("block")), "ngram-members")
+    known = classes.join(signed.select(F.col("row_id").alias("rid"), "size"), "rid").select(F.col("rid").alias("vertex"), "copies", "size")
+    placed = materialise(groups.join(known, "vertex"), "ngram-placed")
+    sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    member_bands = banded.join(shared.select("band"), "band").select(F.col("row_id").alias("vertex"), "band")
+    # Classes of one band stand together, by their lowest; those of a band that holds more than a block are dealt out.
+    lowest = member_bands.groupBy("vertex").agg(F.min("band").alias("low"))
+    crowd = lowest.groupBy("low").agg(F.count(F.lit(1)).alias("crowd"))
+    near = lowest.join(crowd, "low").select("vertex", F.when(F.col("crowd") <= block, F.xxhash64("low")).otherwise(F.xxhash64("vertex")).alias("stand"))
+    members = placed.join(sizes, "component").join(near, "vertex").select(F.col("vertex").alias("rid"), "component", "copies", "blocks", F.pmod("stand", "blocks").cast("int").alias("block"))
+    members = materialise(members, "ngram-members")
+    held = materialise(member_bands.join(members.where("blocks > 1").select(F.col("rid").alias("vertex"), "component", "block"), "vertex").select("band", "component", "block").distinct(), "ngram-blocks")
+    across = held.join(held.select("band", "component", F.col("block").alias("other")), ["band", "component"]).where("block < other").select("component", F.col("block").alias("first"), F.col("other").alias("second"))
+    within = members.select("component", F.col("block").alias("first"), F.col("block").alias("second"))
+    tasks = across.unionByName(within).distinct().select("component", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +164,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     texts = docs.select(F.col("row_id").alias("rid"), "text").join(broadcast_if_small(members.select("rid")), "rid", "left_semi")
     loaded = texts.mapInArrow(load, "rid long, words binary").join(members, "rid")
-    # A class of a group of b blocks goes to the b pairs of blocks that hold its own.
-    pairs = F.expr("transform(sequence(0, blocks - 1), k -> named_struct('first', least(block, k), 'second', greatest(block, k)))")
-    dealt = loaded.withColumn("pair", F.explode(pairs)).select("rid", "words", "component", "copies", "blocks", "block", "pair.first", "pair.second")
+    dealt = loaded.join(tasks, ["component", "block"]).select("rid", "words", "component", "copies", "blocks", "block", "first", "second")
     found = dealt.groupBy("component", "first", "second").applyInPandas(compare(similarity), "rid long, linked long, copies_linked long, root long, whole boolean")
     found = materialise(found, "ngram-found")
     links = found.groupBy("rid").agg(F.sum("linked").alias("linked"), F.sum("copies_linked").alias("copies_linked"))
