@@ -4,16 +4,21 @@ Entities that the base rules find (email, ip, card, phone) are seeds. The one an
 lexical patterns. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the share of its
 occurrences in the corpus that precede a believed instance, an instance is believed as far as its patterns are, and seeds
 are believed fully. Patterns of high confidence and enough different seeds then discover identifiers that no base
-rule finds, as spans of kind ``context``.
+rule finds, as spans of kind ``context``: words with a digit behind any of them; groups of words with digits, written
+with single spaces, behind those that have seeds of digits; dotted words behind those that have emails.
 
 Spans are code points, end exclusive. Every pass reads whole texts; what leaves them are spans, contexts and counts.
 
 Defined cases: null text is empty and has no spans; rows are scanned one by one, rows that share a doc_id too; contexts at
-a text's start are marked; an empty table gives no rows; other columns are ignored.
+a text's start are marked; words of over a hundred characters stand in patterns by their digest; of equal spans one is kept; base
+spans of one start follow each other by kind; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,11 +37,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A word with a digit or an at sign.
-_LIKE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+#: A word with a digit or an at sign, and the words with a digit that follow it behind single spaces.
+_LIKE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)*+")
+#: A word of dotted parts without any.
+_DOTTED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@.]++(?:\.[^\x20\x09-\x0D0-9@.]++)++[^\x20\x09-\x0D0-9@]*+(?![^\x20\x09-\x0D])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REACH = 202
 EDGES, LEAST = ".,;:!?()[]{}<>\"'", 6
+#: Shapes of instances: mail-like, groups of digits, and words with a digit, which any pattern may discover.
+MAIL, DIGITS, ANY = 0, 1, 2
 #: Different seeds that a pattern needs, its least confidence, rounds, and how many patterns, about, are counted in one pass over the texts.
 SUPPORT, CONFIDENCE, ROUNDS, PATTERNS = 5, 0.6, 3, 100_000
 
@@ -73,38 +82,60 @@ def base_entities(text: str) -> list[tuple[int, int, int]]:
 
 
 def contexts(text: str, start: int) -> tuple[str, str]:
-    """Patterns of one and of two words before ``start``; ``^`` stands before the text, and words of over a hundred characters give none."""
-    left = max(0, start - REACH)
-    words = [w.lower() for w in _WORD.findall(text[left:start])]
-    if left == 0:
-        words = ["^", "^", *words]
-    elif not text[left - 1].isspace():
-        words = words[1:]  # cut through
-    return (words[-1], f"{words[-2]} {words[-1]}") if len(words) > 1 else ("", "")
-
-
-SEEN = "row_id long, base array<struct<start:int,rank:int,end:int>>, seen array<struct<start:int,end:int,seed:boolean,instance:string,one:string,two:string>>"
+    """Patterns of one and of two words before ``start``; ``^`` stands before the text."""
+    reach = REACH
+    while True:
+        left = max(0, start - reach)
+        words = _WORD.findall(text[left:start])
+        if left and words and not text[left - 1].isspace():
+            words = words[1:]  # cut through
+        if len(words) > 1 or not left:
+            break
+        reach *= 4
+    one, two = (["^", "^", *map(shortened, words[-2:])])[-1:-3:-1]
+    return one, f"{two} {one}"
+
+
+def shortened(word: str) -> str:
+    """How a word stands in patterns: in lower case, or by its digest."""
+    return word.lower() if len(word) <= 100 else "#" + hashlib.sha1(word.lower().encode("utf-8", "replace")).hexdigest()
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(start of the first word, start, end, shape) of identifier-like words and groups that meet no base span."""
+    for m in _LIKE.finditer(text):
+        whole = m[0].strip(EDGES)
+        first = m[0].split(" ", 1)[0].strip(EDGES)
+        shape = ANY if len(first) >= LEAST and any(c.isdigit() for c in first) else DIGITS
+        if shape == DIGITS and (" " not in m[0] or sum(c.isdigit() for c in whole) < LEAST):
+            continue
+        yield m.start(), m.start() + m[0].find(whole), m.start() + m[0].find(whole) + len(whole), shape
+    for m in _DOTTED.finditer(text):
+        whole = m[0].strip(EDGES)
+        if len(whole) >= LEAST and "." in whole:
+            yield m.start(), m.start() + m[0].find(whole), m.start() + m[0].find(whole) + len(whole), MAIL
+
+
+SEEN = "row_id long, base array<struct<start:int,rank:int,end:int>>, seen array<struct<start:int,end:int,seed:boolean,shape:int,instance:string,one:string,two:string>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of every row of ``docs(row_id, text)``, and with their contexts all seeds and identifier-like words."""
-    types = [pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("one", pa.string()), ("two", pa.string())]))]
+    types = [pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("shape", pa.int32()), ("instance", pa.string()), ("one", pa.string()), ("two", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases, seens = [], []
             for text in batch.column(1).to_pylist():
                 base, seen = base_entities(text or ""), []
-                for a, _, z in base:
+                reach = [0, *itertools.accumulate((z for _, _, z in base), max)]
+                for a, k, z in base:
                     one, two = contexts(text, a)
-                    seen.append({"start": a, "end": z, "seed": True, "instance": text[a:z], "one": one, "two": two})
-                for m in _LIKE.finditer(text or ""):
-                    word = m[0].strip(EDGES)
-                    a = m.start() + m[0].find(word)
-                    z = a + len(word)
-                    if len(word) >= LEAST and any(c.isdigit() for c in word) and not any(a < e and s < z for s, _, e in base):
-                        one, two = contexts(text, m.start())
-                        seen.append({"start": a, "end": z, "seed": False, "instance": word, "one": one, "two": two})
+                    seen.append({"start": a, "end": z, "seed": True, "shape": DIGITS if k else MAIL, "instance": text[a:z], "one": one, "two": two})
+                for at, a, z, shape in candidates(text or "", base):
+                    if a >= reach[bisect.bisect_left(base, (z,))]:  # the last end of base spans that start before z
+                        one, two = contexts(text, at)
+                        seen.append({"start": a, "end": z, "seed": False, "shape": shape, "instance": text[a:z], "one": one, "two": two})
                 bases.append([{"start": a, "rank": k, "end": z} for a, k, z in base])
                 seens.append(seen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, types[0]), pa.array(seens, types[1])], ["row_id", "base", "seen"])
@@ -120,7 +151,7 @@ def occurrences(docs: DataFrame, patterns: frozenset[str]) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = _WORD.findall((text or "").lower())
+                words = list(map(shortened, _WORD.findall(text or "")))
                 ones, twos = Counter(words[:-1]), Counter(zip(["^", "^", *words][:-1], ["^", *words][:-1]))
                 total.update({w: n for w, n in ones.items() if w in shared.value})
                 total.update({p: n for (a, b), n in twos.items() if (p := f"{a} {b}") in shared.value})
@@ -130,10 +161,10 @@ def occurrences(docs: DataFrame, patterns: frozenset[str]) -> DataFrame:
 
 
 def trusted_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, block: int = PATTERNS) -> DataFrame:
-    """(pattern, confidence) of the patterns that may discover identifiers."""
-    edges = found.select(F.explode("seen").alias("x")).select("x.seed", "x.instance", F.explode(F.array("x.one", "x.two")).alias("pattern")).where("trim(pattern) <> ''")
-    edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
-    backed = materialise(edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support), "pii-backed")
+    """(pattern, confidence, mail, digits) of the patterns that may discover identifiers; the last two say which seeds they have."""
+    edges = found.select(F.explode("seen").alias("x")).select("x.seed", "x.shape", "x.instance", F.explode(F.array("x.one", "x.two")).alias("pattern")).where("trim(pattern) <> ''")
+    edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min(F.when(F.col("seed"), F.col("shape"))).alias("shape"), F.count(F.lit(1)).alias("n")), "pii-edges")
+    backed = materialise(edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"), F.max(F.col("shape") == MAIL).alias("mail"), F.max(F.col("shape") == DIGITS).alias("digits")).where(F.col("seeds") >= support), "pii-backed")
     blocks, totals = max(1, -(-backed.count() // block)), []
     for k in range(blocks):  # a bounded number of patterns at a time
         own = [r["pattern"] for r in backed.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).select("pattern").collect()]  # about `block`
@@ -145,15 +176,16 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
         trust = materialise(graph.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.greatest(F.first("total"), F.sum("n")) + 1)).alias("confidence")), "pii-trust")
         held = graph.join(broadcast_if_small(trust), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))).alias("doubt"))
         belief = materialise(held.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief")), "pii-belief")
-    return trust.where(F.col("confidence") >= confidence)
+    return trust.where(F.col("confidence") >= confidence).join(broadcast_if_small(backed), "pattern").select("pattern", "confidence", "mail", "digits")
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """``docs(row_id, text, ...)`` less the text, with ``base`` and ``spans`` (arrays of start, rank, end; sorted)."""
     found = materialise(scan(docs), "pii-scan")
     trusted = trusted_patterns(docs, found, **options)
-    unknown = found.select("row_id", F.explode(F.filter("seen", lambda x: ~x["seed"])).alias("x")).select("row_id", "x.start", "x.end", F.explode(F.array("x.one", "x.two")).alias("pattern"))
-    new = unknown.join(broadcast_if_small(materialise(trusted.select("pattern"), "pii-trusted")), "pattern").select("row_id", F.struct("start", F.lit(4).alias("rank"), "end").alias("span")).distinct()
+    unknown = found.select("row_id", F.explode(F.filter("seen", lambda x: ~x["seed"])).alias("x")).select("row_id", "x.start", "x.end", "x.shape", F.explode(F.array("x.one", "x.two")).alias("pattern"))
+    fits = (F.col("shape") == ANY) | (F.col("mail") & (F.col("shape") == MAIL)) | (F.col("digits") & (F.col("shape") == DIGITS))
+    new = unknown.join(broadcast_if_small(materialise(trusted, "pii-trusted")), "pattern").where(fits).select("row_id", F.struct("start", F.lit(4).alias("rank"), "end").alias("span")).distinct()
     more = new.groupBy("row_id").agg(F.collect_list("span").alias("more"))
     out = docs.drop("text").join(found.select("row_id", "base"), "row_id").join(more, "row_id", "left")
     return out.withColumn("spans", F.sort_array(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))))).drop("more")
@@ -164,4 +196,4 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", kinds[x["rank"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return with_spans(rows).select("doc_id", *map(count, range(4)), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return with_spans(rows).select("doc_id", *map(count, range(4)), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
