@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,32 +30,35 @@ def link_kind(target: Column) -> Column:
     return F.when(target.rlike(r"^(https?:)?//"), "url").when(target.startswith("#"), "anchor").when(target.rlike(r"^mailto:"), "mail").otherwise("path")
 
 
-def parent_chains(nodes: DataFrame, depth: int = 6, keep_unknown: bool = True) -> DataFrame:
-    """(node, chain): ids from the root to the parent of (node, parent), at most ``depth`` of them; a node already in the chain ends it.
+def parent_chains(nodes: DataFrame, keep_unknown: bool = True) -> DataFrame:
+    """(node, chain): ids from the root to the parent of (node, parent), however many; a node already in the chain ends it.
 
-    An unknown parent's id stays at the chain's start, unless ``keep_unknown`` is false.
+    An unknown parent's id stays at the chain's start, unless ``keep_unknown`` is false. A checkpointed join for each level of the deepest chain.
     """
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("above"), F.lit(True).alias("known"))
-    out = nodes.select("node", F.array().cast("array<string>").alias("chain"), F.col("parent").cast("string").alias("at"))
-    for _ in range(depth):
-        step = out.join(up, "at", "left")
+    up = nodes.select(F.col("node").alias("at"), F.col("parent").cast("string").alias("above"), F.lit(True).alias("known")).checkpoint()
+    left, done = nodes.select("node", F.array().cast("array<string>").alias("chain"), F.col("parent").cast("string").alias("at")), []
+    while True:
         more = F.col("at").isNotNull() & ~F.array_contains("chain", F.col("at")) & (F.col("at") != F.col("node").cast("string"))
         add = more if keep_unknown else more & F.col("known")
-        out = step.select("node", F.when(add, F.array_prepend("chain", F.col("at"))).otherwise(F.col("chain")).alias("chain"), F.when(more, F.col("above").cast("string")).alias("at"))
-    return out.select("node", "chain")
+        now = left.join(up, "at", "left").select("node", F.when(add, F.array_prepend("chain", F.col("at"))).otherwise(F.col("chain")).alias("chain"), F.when(more, F.col("above")).alias("at")).checkpoint()
+        done.append(now.where("at is null").select("node", "chain"))
+        left = now.where("at is not null")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, level): 0 without incoming edges, else one more than the deepest source. Nodes of a cycle have no level."""
-    done = None
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): 0 without incoming edges, else one more than the deepest source. Nodes of a cycle, and those behind one, have no level."""
+    done, level = None, 0
     left, open_edges = nodes.select("node"), edges.select("source", "target").where("source <> target").distinct()
-    for level in range(rounds):
+    while True:
         ready = left.join(open_edges.select(F.col("target").alias("node")), "node", "left_anti").checkpoint()
         if not ready.limit(1).count():
             break
         done = ready.withColumn("level", F.lit(level)) if done is None else done.unionByName(ready.withColumn("level", F.lit(level)))
         left = left.join(ready, "node", "left_anti").checkpoint()
         open_edges = open_edges.join(ready.withColumnRenamed("node", "source"), "source", "left_anti").checkpoint()
+        level += 1
     return nodes.select("node").join(done, "node", "left") if done is not None else nodes.select("node", F.lit(None).cast("int").alias("level"))
 
 

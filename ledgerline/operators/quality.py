@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.text import BODY, is_blank, normalized_hash, raw_hash, word_count
 
+from ledgerline.sources.shared import ensure_checkpoints
+
 from .segments import duplicate_findings
 
 #: Least tokens and characters by kind, and labels that are no text of their own.
@@ -41,8 +43,11 @@ def semantic_findings(units: DataFrame, order: list[str], min_tokens: dict = MIN
         F.when(label.isin(*stop_labels), "FEED_STOP_LABEL"),
         F.when(is_junk(text), "FEED_JUNK_TEXT"),
     )
-    own = units.select("unit_id", F.explode(F.array_compact(rules)).alias("code")).withColumn("severity", F.lit("blocking"))
-    dup = duplicate_findings(units.select("unit_id", *order, normalized_hash(F.col("text")).alias("hash")), "hash", order)
+    ensure_checkpoints(units.sparkSession)
+    # Texts are read once: codes and hash of each unit are written, and the rule across units joins what was written.
+    seen = units.select("unit_id", *order, F.array_compact(rules).alias("codes"), F.unhex(normalized_hash(F.col("text"))).alias("hash")).checkpoint()
+    own = seen.select("unit_id", F.explode("codes").alias("code")).withColumn("severity", F.lit("blocking"))
+    dup = duplicate_findings(seen.select("unit_id", *order, "hash"), "hash", order)
     return own.unionByName(dup.select("unit_id", F.lit("FEED_DUPLICATE_NORMALIZED_TEXT").alias("code"), "severity"))
 
 

@@ -99,8 +99,8 @@ def bill_of_materials(rows: DataFrame, group: str) -> DataFrame:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Characters in common, with repeats, over the longer one's bytes; 1 for two empty texts."""
+    """Characters in common, with repeats, over the longer one's bytes; 1 for equal texts."""
     counts = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     shared = F.aggregate(F.array_distinct(counts(a)), F.lit(0), lambda n, ch: n + F.least(F.length(a) - F.length(F.replace(a, ch, F.lit(""))), F.length(b) - F.length(F.replace(b, ch, F.lit("")))))
     longest = F.greatest(F.octet_length(a), F.octet_length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.round(shared / longest, 4))
+    return F.when(a == b, 1.0).otherwise(F.round(shared / longest, 4))

@@ -12,6 +12,8 @@ from ledgerline.operators import graphs as gr
 from ledgerline.operators import segments as sg
 from ledgerline.operators import temporal as tm
 
+from ledgerline.sources.shared import ensure_checkpoints
+
 from .corpus import table
 
 QUERIES: dict = {}
@@ -199,30 +201,30 @@ def html_text(spark, d):
 PATHS = "paths AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages)"
 
 
-@query(f"WITH {PATHS}, refs AS (SELECT DISTINCT regexp_extract(path, '^([^/]*)', 1) AS ref FROM paths WHERE page_id % 10 = 0) SELECT r.ref, p.page_id FROM refs r JOIN paths p ON p.path = r.ref OR starts_with(p.path, r.ref || '/')")
+@query(f"WITH {PATHS}, refs AS (SELECT DISTINCT regexp_extract(path, '^([^/]*)', 1) AS ref FROM paths) SELECT r.ref, p.page_id FROM refs r JOIN paths p ON p.path = r.ref OR starts_with(p.path, r.ref || '/')")
 def impact_prefix_join(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
-    refs = p.where("page_id % 10 = 0").select(F.regexp_extract("path", "^([^/]*)", 1).alias("ref")).distinct()
+    refs = p.select(F.regexp_extract("path", "^([^/]*)", 1).alias("ref")).distinct()
     return gt.prefix_impact(p, "path", refs, "ref").select("ref", "page_id")
 
 
-@query("""WITH changes AS (SELECT lang || '/' || source || '/d' || doc_id AS path FROM documents WHERE doc_id % 9 = 0), m(pattern, test, sev, rank) AS (VALUES ('^en/.*$', 'contracts', 'critical', 4), ('^[^/]*/src1/.*$', 'contracts', 'low', 1), ('^[^/]*/src1/.*$', 'fidelity', 'medium', 2), ('^de/src3/.*$', 'export', 'high', 3)),
+@query("""WITH changes AS (SELECT lang || '/' || source || '/d' || doc_id AS path FROM documents), m(pattern, test, sev, rank) AS (VALUES ('^en/.*$', 'contracts', 'critical', 4), ('^[^/]*/src1/.*$', 'contracts', 'low', 1), ('^[^/]*/src1/.*$', 'fidelity', 'medium', 2), ('^de/src3/.*$', 'export', 'high', 3)),
 h AS (SELECT test, path, rank FROM changes JOIN m ON regexp_matches(path, pattern)) SELECT test, CASE max(rank) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, count(DISTINCT path) AS triggers, min(path) AS first_trigger FROM h GROUP BY test""")
 def glob_impact(spark, d):
-    changes = table(spark, d, "documents").where("doc_id % 9 = 0").select(F.concat_ws("/", "lang", "source", F.concat(F.lit("d"), "doc_id")).alias("path"))
+    changes = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source", F.concat(F.lit("d"), "doc_id")).alias("path"))
     return gt.glob_impact(changes, [("en/**", ["contracts"], "critical"), ("*/src1/**", ["contracts"], "low"), ("*/src1/**", ["fidelity"], "medium"), ("de/src3/**", ["export"], "high")])
 
 
 # -- graphs -----------------------------------------------------------------------------------------------------------
 
-GRAPH = "edges AS (SELECT 'n' || n_nationkey AS source, 'r' || (n_regionkey + CASE WHEN n_nationkey % 6 = 0 THEN 50 ELSE 0 END) AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'part_of' ELSE 'cites' END AS kind FROM nation), nodes AS (SELECT 'n' || n_nationkey AS node FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey <= 20)"
+GRAPH = "edges AS (SELECT 'n' || n_nationkey AS source, 'r' || (n_regionkey + CASE WHEN n_nationkey % 6 = 0 THEN 50 ELSE 0 END) AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'part_of' ELSE 'cites' END AS kind FROM nation), nodes AS (SELECT 'n' || n_nationkey AS node FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier)"
 
 
 def _graph(spark, d):
     n = table(spark, d, "nation")
     edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("r"), F.col("n_regionkey") + F.when(F.col("n_nationkey") % 6 == 0, 50).otherwise(0)).alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "part_of").otherwise("cites").alias("kind"))
     node = lambda t, p, k: table(spark, d, t).select(F.concat(F.lit(p), k).alias("node"), k)
-    nodes = node("nation", "n", "n_nationkey").select("node").unionByName(node("region", "r", "r_regionkey").select("node")).unionByName(node("supplier", "s", "s_suppkey").where("s_suppkey <= 20").select("node"))
+    nodes = node("nation", "n", "n_nationkey").select("node").unionByName(node("region", "r", "r_regionkey").select("node")).unionByName(node("supplier", "s", "s_suppkey").select("node"))
     return nodes, edges
 
 
@@ -244,31 +246,36 @@ def edge_stats(spark, d):
 
 
 @query("""WITH RECURSIVE n AS (SELECT CAST(p_partkey AS VARCHAR) AS node, CASE WHEN p_partkey >= 4 THEN CAST(p_partkey // 4 AS VARCHAR) END AS parent FROM part),
-c AS (SELECT node, parent AS at, CAST([] AS VARCHAR[]) AS chain FROM n UNION ALL SELECT c.node, n.parent, list_prepend(c.at, c.chain) FROM c JOIN n ON n.node = c.at WHERE len(c.chain) < 6)
+c AS (SELECT node, parent AS at, CAST([] AS VARCHAR[]) AS chain FROM n UNION ALL SELECT c.node, n.parent, list_prepend(c.at, c.chain) FROM c JOIN n ON n.node = c.at)
 SELECT node, array_to_string(arg_max(chain, len(chain)), '/') AS chain FROM c GROUP BY node""")
 def parent_chain(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("node"), F.when(F.col("p_partkey") >= 4, F.floor(F.col("p_partkey") / 4).cast("string")).alias("parent"))
-    return gr.parent_chains(n, 6, keep_unknown=False).select("node", F.array_join("chain", "/").alias("chain"))
+    ensure_checkpoints(spark)
+    return gr.parent_chains(n, keep_unknown=False).select("node", F.array_join("chain", "/").alias("chain"))
 
 
-@query(None)
-def merkle_root(spark, d):
-    from ledgerline.sources.shared import ensure_checkpoints
+MERKLE = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
+l(lvl, idx, hash) AS (SELECT 0, row_number() OVER (ORDER BY doc_id) - 1, sha256(text) FROM documents UNION ALL
+ SELECT lvl + 1, idx // 2, sha256(min_by(hash, idx) || chr(10) || max_by(hash, idx)) FROM l WHERE (1 << lvl) < (SELECT n FROM n) GROUP BY lvl, idx // 2)"""
+
 
+def _merkle_levels(spark, d):
     ensure_checkpoints(spark)
-    leaves = gr.sequenced(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")), ["doc_id"])
-    return gr.merkle_levels(leaves)[-1].select("hash")
+    return gr.merkle_levels(gr.sequenced(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")), ["doc_id"]))
 
 
-@query("SELECT doc_id AS idx, true AS verified FROM documents")
-def merkle_verify(spark, d):
-    from ledgerline.sources.shared import ensure_checkpoints
+@query(f"{MERKLE} SELECT hash FROM l WHERE lvl = (SELECT max(lvl) FROM l)")
+def merkle_root(spark, d):
+    return _merkle_levels(spark, d)[-1].select("hash")
 
-    ensure_checkpoints(spark)
-    levels = gr.merkle_levels(gr.sequenced(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")), ["doc_id"]))
-    proofs = gr.merkle_proofs(levels)
-    root = levels[-1].first()["hash"]
-    return proofs.select("idx", (gr.fold_proof(F.col("leaf"), F.col("path")) == root).alias("verified"))
+
+@query(f"{MERKLE} SELECT CAST(idx AS BIGINT) AS idx, hash AS leaf, (SELECT hash FROM l WHERE lvl = (SELECT max(lvl) FROM l)) AS root, true AS verified FROM l WHERE lvl = 0")
+def merkle_verify(spark, d):
+    """What each leaf's proof leads to, and whether that is the root."""
+    levels = _merkle_levels(spark, d)
+    root = F.broadcast(levels[-1].select(F.col("hash").alias("known")))  # one row
+    folded = gr.merkle_proofs(levels).select("idx", "leaf", gr.fold_proof(F.col("leaf"), F.col("path")).alias("root"))
+    return folded.crossJoin(root).select("idx", "leaf", "root", (F.col("root") == F.col("known")).alias("verified"))
 
 
 # -- gates and governance ---------------------------------------------------------------------------------------------

@@ -101,18 +101,18 @@ def evidence_bom(spark, d):
     return rc.bill_of_materials(table(spark, d, "part").select("p_brand", F.col("p_partkey").cast("string").alias("name"), F.col("p_size").cast("string").alias("version"), F.sha2("p_name", 256).alias("hash")), "p_brand")
 
 
-@query("""WITH c AS (SELECT item_id, substr(text, 1, 60) AS a, substr(text, 20, 60) AS b FROM benchmark), k AS (SELECT item_id, any_value(strlen(a)) AS la, any_value(strlen(b)) AS lb, sum(least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, '')))) AS shared FROM (SELECT *, unnest(list_distinct(string_split(a, ''))) AS ch FROM c) WHERE ch <> '' GROUP BY item_id)
+@query("""WITH c AS (SELECT item_id, text AS a, substr(text, 20) AS b FROM benchmark), k AS (SELECT item_id, any_value(strlen(a)) AS la, any_value(strlen(b)) AS lb, sum(least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, '')))) AS shared FROM (SELECT *, unnest(list_distinct(string_split(a, ''))) AS ch FROM c) WHERE ch <> '' GROUP BY item_id)
 SELECT item_id, round(shared / greatest(la, lb)::DOUBLE, 4) AS similarity FROM k""")
 def round_trip_similarity(spark, d):
-    return table(spark, d, "benchmark").select("item_id", rc.similarity(F.substring("text", 1, 60), F.substring("text", 20, 60)).alias("similarity"))
+    return table(spark, d, "benchmark").select("item_id", rc.similarity(F.col("text"), F.expr("substr(text, 20)")).alias("similarity"))
 
 
 @query("""WITH f AS (SELECT event_id, event_type AS code, CASE WHEN value > 75 THEN 'critical' WHEN value > 50 THEN 'high' WHEN value > 25 THEN 'medium' ELSE 'low' END AS severity FROM events) SELECT code, severity, count(*) AS findings FROM f WHERE severity IN ('critical', 'high') AND code IN (SELECT min(event_type) FROM events UNION SELECT max(event_type) FROM events) GROUP BY ALL""")
 def findings_filter(spark, d):
     e = table(spark, d, "events")
-    ends = e.agg(F.array(F.min("event_type"), F.max("event_type")).alias("t")).first()["t"]
+    ends = e.agg(F.array(F.min("event_type"), F.max("event_type")).alias("t")).select(F.explode("t").alias("code")).distinct()  # two rows
     severity = F.when(F.col("value") > 75, "critical").when(F.col("value") > 50, "high").when(F.col("value") > 25, "medium").otherwise("low")
-    return e.select(F.col("event_type").alias("code"), severity.alias("severity")).where(F.col("severity").isin(*[k for k, v in RANK.items() if v >= 3]) & F.col("code").isin(*[x for x in ends if x is not None])).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"))
+    return e.select(F.col("event_type").alias("code"), severity.alias("severity")).where(F.col("severity").isin(*[k for k, v in RANK.items() if v >= 3])).join(F.broadcast(ends), "code", "left_semi").groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query("""WITH s AS (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 3 WHEN c_acctbal > 0 THEN 2 ELSE 1 END AS level, c_mktsegment AS source FROM customer) SELECT source, min(level) AS achieved, count_if(level = 3) AS verified, bool_and(level >= 2) AS meets_minimum FROM s GROUP BY source""")
