@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a local folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset in local mode, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/checkpoints"
+    return where.rstrip("/")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
