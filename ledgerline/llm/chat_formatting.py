@@ -9,7 +9,7 @@ each backslash that stands before a character gives the text back.
 
 Defined cases: null text or role is empty; a null tree id is a tree of its own; a null or unknown parent, or one that
 does not come before its reply, makes a root (so there are no cycles); repeated rows of one turn follow each other
-in the order of role and text; ties between branches go to the smaller leaf; an empty table gives no rows.
+in the order of role and text; a conversation becomes one row, so its turns are ordered in one task; ties between branches go to the smaller leaf; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arrays import running_sums
+
 from .common import materialise
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -63,9 +65,9 @@ def format_paths(turns: DataFrame) -> DataFrame:
     one = turns.select("path", "tree_id", "path_rank", F.struct((-F.col("depth")).alias("at"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text")).alias("turn"))
     rows = one.groupBy("path").agg(F.first("tree_id").alias("tree_id"), F.first("path_rank").alias("path_rank"), F.sort_array(F.collect_list("turn")).alias("turns"))
     around = len(TURN) + len(TEXT)
-    loss = F.expr(f"""aggregate(turns, named_struct('pos', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)), (a, x) -> named_struct(
-        'pos', a.pos + {around + len(END)} + length(x.role) + length(x.text),
-        'spans', if(x.role = 'assistant', array_append(a.spans, named_struct('start', a.pos + {around} + length(x.role), 'end', a.pos + {around} + length(x.role) + length(x.text))), a.spans)), a -> a.spans)""")
+    starts = running_sums(f"transform(turns, x -> {around + len(END)} + length(x.role) + length(x.text))")
+    loss = F.expr(f"""transform(array({starts}), p -> transform(filter(transform(turns, (x, i) -> named_struct('role', x.role, 'start', cast(p[i] as int) + {around} + length(x.role), 'size', length(x.text))),
+        y -> y.role = 'assistant'), y -> named_struct('start', y.start, 'end', y.start + y.size)))[0]""")
     text = F.array_join(F.transform("turns", lambda x: F.concat(F.lit(TURN), x["role"], F.lit(TEXT), x["text"], F.lit(END))), "")
     return rows.select("path", "tree_id", "path_rank", text.alias("formatted"), loss.alias("loss"))
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when its counted rows stay within this bound.
 BROADCAST_ROWS = 200_000
+#: Folders that tables are written to now, below the application's own.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 #: Arrow batches of written tables stay near this size, so that batches of long rows fit beside a small heap.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
@@ -23,18 +29,20 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset in local mode, where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/checkpoints/ledgerline-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and any executor can reread it."""
+def materialise(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and any executor can reread it. ``outer`` tables outlive the scratch folder."""
     spark = df.sparkSession
-    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark, outer)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH_SETTING, None)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
@@ -44,14 +52,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+def own_dir(spark: SparkSession, outer: bool = False) -> str:
+    return "/".join([shared_dir(spark), "ledgerline", spark.sparkContext.applicationId, *([] if outer else _scratch.get())])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are written within go when it ends; save what reads them before, as an ``outer`` table."""
+    token = _scratch.set((*_scratch.get(), f"{name}-{uuid.uuid4().hex}"))
+    folder = own_dir(spark)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, folder)
 
 
 def drop_materialised(spark: SparkSession) -> None:
     """Delete the tables that this application wrote; call it once results that read them are saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_dir(spark))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
