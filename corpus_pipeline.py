@@ -3,6 +3,10 @@
 Stages: documents that the quality rules reject go; lines that an earlier document holds go, and with them documents
 left without a word; of each group of near-duplicates the first stays; secrets are replaced by a mark; what is left is
 packed into sequences. All but the last return the columns of ``documents``.
+
+Defined cases: null text is empty to the quality rules, which reject it; null lang or source is a group of its own; documents
+are ordered by doc_id, nulls first, and rows that share one by their text, so of equal ones the first stays; other columns pass
+through all stages but the last; an empty table gives empty tables. Tables that a stage writes for itself go when it is done.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import documents, materialise
+from ledgerline.llm.common import documents, materialise, scratch
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.ngram_join import one_of_each
 from ledgerline.llm.packing import pack_documents
@@ -47,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, name):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", outer=True)
     return docs
