@@ -196,7 +196,8 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
     return docs.mapInArrow(run, "shelf long, entries binary")
 
 
-PAIRS = "row_a long, line_a int, row_b long, line_b int, more boolean"
+#: A pair, whether the line had more partners, and how many bits the two sets' bitmaps differ in.
+PAIRS = "row_a long, line_a int, row_b long, line_b int, more boolean, apart int"
 
 
 def dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
@@ -236,14 +237,14 @@ def meet(similarity: tuple[int, int], near: int | None):
             apart = np.zeros(len(x), np.int64)
             for q in bits:
                 apart += np.bitwise_count(q[x] ^ q[y])
-            x, y = x[apart <= most], y[apart <= most]
+            x, y, apart = x[apart <= most], y[apart <= most], apart[apart <= most]
             count[x] += 1
             d += 1
             if len(x):
-                found.append((y, x, (count[x] >= near) & (rank[x] >= d) if near else np.zeros(len(x), bool)))
+                found.append((y, x, (count[x] >= near) & (rank[x] >= d) if near else np.zeros(len(x), bool), apart.astype(np.int32)))
             active = active[(rank[active] >= d) & ((count[active] < near) if near else True)]
-        y, x, more = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more)], [q.split()[0] for q in PAIRS.split(", ")])
+        y, x, more, apart = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more, apart)], [q.split()[0] for q in PAIRS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, roles, total, last, split = [], [], 0, None, False
@@ -286,15 +287,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return listed(docs, wanted, "inner").mapInArrow(run, "row_id long, line_no int, words array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_words: int) -> DataFrame:
-    """Pairs with ``same``: whether their Jaccard similarity reaches the threshold."""
+def matched(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_words: int) -> DataFrame:
+    """(row_id, line_no) of the later lines of pairs whose Jaccard similarity reaches the threshold.
+
+    A line goes by its first match. So each is verified against its closest partner first, by bitmap, and only those that
+    this does not settle meet their other partners; few sets are shuffled more than once.
+    """
     a, b = similarity
     wanted = pairs.select(F.col("row_a").alias("row_id"), F.col("line_a").alias("line_no")).unionByName(pairs.select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))).distinct()
     sets = materialise(sets_of(docs, wanted, min_words), "lines-sets")
     side = lambda x: sets.select(F.col("row_id").alias(f"row_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("words").alias(f"set_{x}"))
-    both = pairs.join(side("a"), ["row_a", "line_a"]).join(side("b"), ["row_b", "line_b"])
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("row_a", "line_a", "row_b", "line_b", "more", (b * shared >= a * (F.size("set_a") + F.size("set_b") - shared)).alias("same"))
+    same = b * shared >= a * (F.size("set_a") + F.size("set_b") - shared)
+    verified = lambda some, label: materialise(some.join(side("a"), ["row_a", "line_a"]).join(side("b"), ["row_b", "line_b"]).where(same).select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no")).distinct(), label)
+    closest = pairs.groupBy("row_b", "line_b").agg(F.min(F.struct("apart", "row_a", "line_a")).alias("c")).select("row_b", "line_b", "c.row_a", "c.line_a")
+    first = verified(closest, "lines-first")
+    left = pairs.join(first.withColumnsRenamed({"row_id": "row_b", "line_no": "line_b"}), ["row_b", "line_b"], "left_anti").select("row_a", "line_a", "row_b", "line_b")
+    return first.unionByName(verified(left, "lines-other"))
 
 
 def later_copies(lines: DataFrame) -> DataFrame:
@@ -322,21 +331,18 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
 
     def candidates(entries: DataFrame, near: int | None, label: str) -> DataFrame:
         met = dealt(entries, hot).mapInArrow(meet(similarity, near), PAIRS)
-        return materialise(met.groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more")), label)
+        return materialise(met.groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"), F.min("apart").alias("apart")), label)
 
-    later = lambda checked: checked.select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no"))
     pairs = candidates(words(docs.select("row_id", "text")), NEAR, "lines-pairs")
-    checked = materialise(verified(docs, pairs, similarity, min_words), "lines-checked")
-    near = later(checked.where("same"))
-    open_ = later(checked.where("more")).distinct().join(near, ["row_id", "line_no"], "left_anti").join(copies, ["row_id", "line_no"], "left_anti")
-    open_ = materialise(open_, "lines-open")
+    near = matched(docs, pairs, similarity, min_words)
+    more = pairs.where("more").select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no")).distinct()
+    open_ = materialise(more.join(near, ["row_id", "line_no"], "left_anti").join(copies, ["row_id", "line_no"], "left_anti"), "lines-open")
     if open_.limit(1).count():  # lines that had more partners than the first round looks at
         slots = words(listed(docs, open_, "inner"), None, True).select("shelf").distinct().toPandas()["shelf"].to_numpy()  # at most SLOTS numbers
         wanted = np.zeros(SLOTS, bool)
         wanted[slots] = True
         wanted = share(np.packbits(wanted, bitorder="little"))
-        rest = candidates(words(listed(docs, open_, "left"), wanted), None, "lines-rest")
-        near = near.unionByName(later(materialise(verified(docs, rest, similarity, min_words), "lines-rechecked").where("same")))
+        near = near.unionByName(matched(docs, candidates(words(listed(docs, open_, "left"), wanted), None, "lines-rest"), similarity, min_words))
         wanted.unpersist()
     rarity.unpersist()
     return near.unionByName(copies).distinct()
