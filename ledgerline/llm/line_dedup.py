@@ -36,7 +36,7 @@ from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
 SIMILARITY, MIN_WORDS, BUCKET_BITS = (4, 5), 1, 19
-NEAR = 16
+NEAR = 4
 #: Bytes of (row_id, line numbers) up to which they are broadcast instead of shuffling texts; slots of the second round's bitmap of words.
 BROADCAST_BYTES, SLOTS = 48 << 20, 1 << 22
 #: Bytes of text whose lines are taken at once, of entries whose words are, and sets that a task remembers to have sent.
@@ -50,8 +50,14 @@ LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("open", "?"), ("bits", "<u8", 3)])
 
 
-def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
-    """Sets of lines with enough words, about ``PIECE`` bytes of (row_id, text) at a time.
+def held_in(wanted: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether each word's slot is set in a bitmap."""
+    slot = (word % np.uint64(SLOTS)).astype(np.int64)
+    return (wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None = None) -> Iterator[dict]:
+    """Sets of lines with enough words, and with a ``wanted`` one if that bitmap is given, about ``PIECE`` bytes of (row_id, text) at a time.
 
     ``word``: the sets' hashes, ascending in each line; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
     """
@@ -68,6 +74,8 @@ def line_sets(batch: pa.RecordBatch, min_words: int) -> Iterator[dict]:
         n_lines = np.array([x.count(b"\n") + 1 for x in texts])
         first_line = np.cumsum(n_lines) - n_lines
         enough = np.bincount(line, minlength=len(breaks) + 1) >= min_words
+        if wanted is not None:
+            enough &= np.bincount(line[held_in(wanted, word)], minlength=len(breaks) + 1) > 0
         keep = enough[line]
         word, line = word[keep], line[keep]
         order = np.argsort(word)
@@ -165,7 +173,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
 
         for batch in batches:
             asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own or ()} if batch.num_columns > 2 else set()
-            for s in line_sets(batch.select([0, 1]), min_words):
+            for s in line_sets(batch.select([0, 1]), min_words, None if wanted is None else wanted.value):
                 opened = np.fromiter(((r, n) in asked for r, n in zip(s["row_id"].tolist(), s["line_no"].tolist())), bool, len(s["first"])) if asked else np.zeros(len(s["first"]), bool)
                 speaks = opened if slots else fresh_lines(s) | opened
                 speaks = speaks & ~alone(s["size"], similarity)
@@ -178,8 +186,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(word[order][take] % np.uint64(SLOTS)).astype(np.int64)), pa.nulls(len(np.unique(word[order][take] % np.uint64(SLOTS))), pa.binary())], ["shelf", "entries"])
                     continue
                 if wanted is not None:
-                    slot = (word[order] % np.uint64(SLOTS)).astype(np.int64)
-                    take &= (wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    take &= held_in(wanted.value, word[order])
                 bit = (word % np.uint64(192)).astype(np.int64)
                 flag = np.uint64(1) << (bit & 63).astype(np.uint64)
                 own = line[take]
@@ -277,12 +284,18 @@ def listed(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(row_id, line_no, words) of the wanted (row_id, line_no)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own}
-            for s in line_sets(batch.select([0, 1]), min_words):
-                rows = [(r, n, w.view(np.int64)) for r, n, w in zip(s["row_id"].tolist(), s["line_no"].tolist(), np.split(s["word"], s["first"][1:])) if (r, n) in asked]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["row_id", "line_no", "words"])
+            asked = [sorted(own) for own in batch.column(2).to_pylist()]
+            texts = [b"\n".join(map((t or b"").split(b"\n").__getitem__, own)) for t, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), asked)]  # no more than the wanted lines are hashed
+            few = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["at", "text"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for s in line_sets(few, min_words):
+                at = s["row_id"].tolist()
+                numbers = [asked[i][n] for i, n in zip(at, s["line_no"].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(s["first"], len(s["word"])), pa.int32()), pa.array(s["word"].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(numbers, pa.int32()), lists], ["row_id", "line_no", "words"])
 
     return listed(docs, wanted, "inner").mapInArrow(run, "row_id long, line_no int, words array<long>")
 
@@ -300,7 +313,9 @@ def matched(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_
     shared = F.size(F.array_intersect("set_a", "set_b"))
     same = b * shared >= a * (F.size("set_a") + F.size("set_b") - shared)
     verified = lambda some, label: materialise(some.join(side("a"), ["row_a", "line_a"]).join(side("b"), ["row_b", "line_b"]).where(same).select(F.col("row_b").alias("row_id"), F.col("line_b").alias("line_no")).distinct(), label)
-    closest = pairs.groupBy("row_b", "line_b").agg(F.min(F.struct("apart", "row_a", "line_a")).alias("c")).select("row_b", "line_b", "c.row_a", "c.line_a")
+    # The order's low bits are a hash of the partner, so both columns come from one pair; were two hashes equal, the line would be left to the second step.
+    order = F.shiftleft(F.col("apart").cast("long"), 54).bitwiseOR(F.shiftrightunsigned(F.xxhash64("row_a", "line_a"), 10))
+    closest = pairs.groupBy("row_b", "line_b").agg(F.min_by("row_a", order).alias("row_a"), F.min_by("line_a", order).alias("line_a"))
     first = verified(closest, "lines-first")
     left = pairs.join(first.withColumnsRenamed({"row_id": "row_b", "line_no": "line_b"}), ["row_b", "line_b"], "left_anti").select("row_a", "line_a", "row_b", "line_b")
     return first.unionByName(verified(left, "lines-other"))
