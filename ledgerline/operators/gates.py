@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ledgerline.functions.globs import glob_regex
 
+from .sizes import broadcast_if_small
+
 #: Allowed review transitions and their actions.
 TRANSITIONS = (
     ("draft", "pending_review", "submit_for_review"), ("draft", "archived", "archive"),
@@ -127,8 +129,11 @@ def promotion_findings(atoms: DataFrame, certs: DataFrame) -> DataFrame:
 
 
 def lexical_rank(queries: DataFrame, nodes: DataFrame, query: str, node: str, document: str, top: int) -> DataFrame:
-    """(query, rank, document, score): tokens shared with a query, best node of each document, ties by name; no match, no row."""
-    score = queries.join(nodes, "t").groupBy(query, document, node).agg(F.count(F.lit(1)).alias("score"))
+    """(query, rank, document, score): tokens shared with a query, best node of each document, ties by name; no match, no row.
+
+    Queries are the small side: while they are, no token of a node is shuffled, and a node's matches are added up where it is read.
+    """
+    score = nodes.join(broadcast_if_small(queries), "t").groupBy(query, document, node).agg(F.count(F.lit(1)).alias("score"))
     best = score.groupBy(query, document).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), document))
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select(query, "rank", document, "score")

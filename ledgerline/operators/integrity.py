@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import is_blank
+from ledgerline.sources.shared import ensure_checkpoints
 
 from .segments import duplicate_findings
 
@@ -50,6 +51,7 @@ def uncovered_ranges(segments: DataFrame, sources: DataFrame) -> DataFrame:
 
 def source_integrity(segments: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, segment_id, code, start_byte, end_byte): all findings on a ledger; the first of equal atom spans, by segment id, stays."""
+    ensure_checkpoints(segments.sparkSession)
     atom = F.col("disposition") == "canonical_atom"
     rules = F.array(
         F.when(_invalid_range(), "SOURCE_SEGMENT_INVALID_RANGE"),
@@ -59,7 +61,7 @@ def source_integrity(segments: DataFrame, sources: DataFrame) -> DataFrame:
     )
     place = ["source_id", "segment_id", "code", "start_byte", "end_byte"]
     own = segments.select("source_id", "segment_id", "start_byte", "end_byte", F.explode(F.array_compact(rules)).alias("code"))
-    atoms = segments.where(atom).select("segment_id", "source_id", "start_byte", "end_byte", F.struct("source_id", "start_byte", "end_byte").alias("span_"))
+    atoms = segments.where(atom).select("segment_id", "source_id", "start_byte", "end_byte", F.struct("source_id", "start_byte", "end_byte").alias("span_")).checkpoint()
     dup = duplicate_findings(atoms, "span_", ["segment_id"]).withColumn("code", F.lit("SOURCE_DUPLICATE_SEMANTIC_SPAN"))
     gaps = uncovered_ranges(segments, sources).withColumns({"segment_id": F.lit(""), "code": F.lit("SOURCE_UNCOVERED_RANGE")})
     return own.select(*place).unionByName(dup.select(*place)).unionByName(gaps.select(*place))
@@ -85,6 +87,7 @@ def chunk_findings(chunks: DataFrame, segments: DataFrame) -> DataFrame:
 
 def feed_quality(units: DataFrame, chunks: DataFrame, segments: DataFrame) -> DataFrame:
     """(id, code): findings on source-derived units and on chunks; units without any mark of a source are left out."""
+    ensure_checkpoints(units.sparkSession)
     own = units.where(source_derived())
     segment = ~is_blank(F.col("source_segment_id"))
     rules = F.array(
@@ -94,7 +97,7 @@ def feed_quality(units: DataFrame, chunks: DataFrame, segments: DataFrame) -> Da
         F.when(is_blank(F.col("text")), "FEED_EMPTY_TEXT").when(is_junk_atom(F.col("text")), "FEED_JUNK_TEXT"),
     )
     found = own.select(F.col("unit_id").alias("id"), F.explode(F.array_compact(rules)).alias("code"))
-    spans = own.where(segment & ~((F.col("start_byte") == 0) & (F.col("end_byte") == 0))).select("unit_id", F.struct("source_id", "start_byte", "end_byte").alias("span_"))
+    spans = own.where(segment & ~((F.col("start_byte") == 0) & (F.col("end_byte") == 0))).select("unit_id", F.struct("source_id", "start_byte", "end_byte").alias("span_")).checkpoint()
     dup = duplicate_findings(spans, "span_", ["unit_id"]).select(F.col("unit_id").alias("id"), F.lit("FEED_DUPLICATE_SPAN").alias("code"))
     return found.unionByName(dup).unionByName(chunk_findings(chunks, segments))
 

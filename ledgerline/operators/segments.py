@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.arrays import running_sums
 from ledgerline.functions.text import is_blank, normalized_hash, raw_hash
+from ledgerline.sources.shared import ensure_checkpoints
+
+from .sizes import join_counted
 
 
 def line_ledger(docs: DataFrame, source: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,9 +58,10 @@ def span_gaps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def duplicate_findings(units: DataFrame, key: str, order: list[str], blocking: int = 3, warning: int = 2) -> DataFrame:
-    """All but the first of a group with equal ``key``, with the group's size and severity."""
-    sizes = units.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*order)).alias("first")).where(F.col("group_size") >= warning)
-    rows = units.join(sizes, key).where(F.struct(*order) != F.col("first"))
+    """All but the first of a group with equal ``key``, with the group's size and severity; ``units`` are read three times, so write them first if they are costly."""
+    ensure_checkpoints(units.sparkSession)
+    sizes = units.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*order)).alias("first")).where(F.col("group_size") >= warning).checkpoint()
+    rows = join_counted(units, sizes, key, "group_size").where(F.struct(*order) != F.col("first"))
     return rows.drop("first").withColumn("severity", F.when(F.col("group_size") >= blocking, "blocking").otherwise("warning"))
 
 

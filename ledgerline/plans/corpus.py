@@ -13,6 +13,7 @@ from ledgerline.operators import quality as qu
 from ledgerline.operators import segments as sg
 from ledgerline.operators import snapshots as sn
 from ledgerline.sources.files import class_action, extension, file_class
+from ledgerline.sources.shared import ensure_checkpoints
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -153,7 +154,8 @@ NORM = r"""regexp_replace(array_to_string(list_transform(string_split({0}, chr(1
 g AS (SELECT hash, count(*) AS group_size, min((doc_id, line_no)) AS f FROM h GROUP BY hash HAVING count(*) >= 2)
 SELECT hash, doc_id AS source, CAST(line_no AS BIGINT) AS line_no, group_size, CASE WHEN group_size >= 3 THEN 'blocking' ELSE 'warning' END AS severity FROM h JOIN g USING (hash) WHERE (doc_id, line_no) <> f""")
 def normalized_hash_dupes(spark, d):
-    units = _kinds(spark, d).where("kind <> 'blank'").select("source", "line_no", tx.normalized_hash(F.col("line")).alias("hash"))
+    ensure_checkpoints(spark)
+    units = _kinds(spark, d).where("kind <> 'blank'").select("source", "line_no", tx.normalized_hash(F.col("line")).alias("hash")).checkpoint()
     return sg.duplicate_findings(units, "hash", ["source", "line_no"])
 
 

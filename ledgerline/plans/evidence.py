@@ -118,7 +118,9 @@ def context_window_empty(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("m")).where("m <= 0").drop("m")
 
 
-@query(None)
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, list(n ORDER BY turn, n) AS n FROM (SELECT conv_id, turn, greatest(CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.33) AS BIGINT), 1) AS n FROM conversations) GROUP BY conv_id),
+r(conv_id, nth, room, taken) AS (SELECT conv_id, 0, CAST(200 AS BIGINT), '' FROM c UNION ALL SELECT r.conv_id, nth + 1, CASE WHEN n[nth + 1] <= room THEN room - n[nth + 1] ELSE room END, CASE WHEN room > 0 AND n[nth + 1] <= room THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || nth ELSE taken END FROM r JOIN c ON r.conv_id = c.conv_id WHERE nth < len(n))
+SELECT r.conv_id, taken FROM r JOIN c ON r.conv_id = c.conv_id WHERE nth = len(n)""")
 def context_window(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", tx.tokens_by_words(F.col("text")).alias("n")))).alias("t"))
     return c.select("conv_id", F.array_join(tx.greedy_window(F.col("t.n"), 200), ",").alias("taken"))
