@@ -1,7 +1,7 @@
 """Line dedup: exact set-similarity join over the word sets of lines.
 
 Lines of at least ``min_words`` words are sets of words. Words are ordered by rarity: by the number of lines in their
-hash bucket, over all documents, then by hash, which is one order for all lines. If two sets have a Jaccard
+hash bucket, over all documents, then by bucket and hash, which is one order for all lines. If two sets have a Jaccard
 similarity of at least t, their prefixes of n - ceil(t n) + 1 words share a word; so prefix words are shuffled, and in each
 word's group a line meets the earlier ones that pass the length filter, the positional filter and a bitmap filter
 (the parity of word hashes per bit never differs more than the sets do). Surviving pairs are verified on the whole
@@ -56,10 +56,18 @@ def held_in(wanted: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None = None) -> Iterator[dict]:
+def by_rarity(word: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys that sort words by rarity: the place of a word's bucket in that order above the hash bits that differ within a bucket; one to one."""
+    low = np.uint64(65 - len(places).bit_length())
+    return (places[(word >> low).astype(np.int64)] << low) | (word & ((np.uint64(1) << low) - np.uint64(1)))
+
+
+def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None = None, places: np.ndarray | None = None) -> Iterator[dict]:
     """Sets of lines with enough words, and with a ``wanted`` one if that bitmap is given, about ``PIECE`` bytes of (row_id, text) at a time.
 
-    ``word``: the sets' hashes, ascending in each line; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
+    Each line's words ascend by hash, or by rarity if the buckets' ``places`` in that order are given.
+
+    ``word``: the sets' hashes; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
     """
     ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary())
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -78,7 +86,7 @@ def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None =
             enough &= np.bincount(line[held_in(wanted, word)], minlength=len(breaks) + 1) > 0
         keep = enough[line]
         word, line = word[keep], line[keep]
-        order = np.argsort(word)
+        order = np.argsort(word if places is None else by_rarity(word, places))
         order = order[np.argsort(line[order].astype(np.uint16) if len(breaks) < 65536 else line[order], kind="stable")]  # 16 bits are sorted by radix
         word, line = word[order], line[order]
         new = np.ones(len(word), bool)
@@ -141,7 +149,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
     """Prefix words of every set as rows (shelf, entries): packed ``ENTRY`` rows of words on that shelf.
 
     Of equal sets those go that come after one that the task remembers to have sent, so the earliest of all always speaks.
-    ``rarity`` is the broadcast bucket counts. A third column of ``docs``, if there, lists a row's open lines, which speak in
+    ``rarity`` is the broadcast place of each bucket in the order of rarity. A third column of ``docs``, if there, lists a row's open lines, which speak in
     any case and are marked; ``wanted``, a broadcast bitmap over hashed words, leaves out words that are not in it.
     With ``slots`` only that bitmap's slots of the open lines' words leave, in place of shelves, without entries.
     """
@@ -150,7 +158,6 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, int] = {}  # the earliest place of sets so far
         held: list[np.ndarray] = []
-        most = int(rarity.value.max()) + 1
 
         def fresh_lines(s: dict) -> np.ndarray:
             fresh, order = np.zeros(len(s["first"]), bool), np.lexsort((s["line_no"], s["row_id"]))
@@ -173,25 +180,24 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
 
         for batch in batches:
             asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own or ()} if batch.num_columns > 2 else set()
-            for s in line_sets(batch.select([0, 1]), min_words, None if wanted is None else wanted.value):
+            for s in line_sets(batch.select([0, 1]), min_words, None if wanted is None else wanted.value, rarity.value):
                 opened = np.fromiter(((r, n) in asked for r, n in zip(s["row_id"].tolist(), s["line_no"].tolist())), bool, len(s["first"])) if asked else np.zeros(len(s["first"]), bool)
                 speaks = opened if slots else fresh_lines(s) | opened
                 speaks = speaks & ~alone(s["size"], similarity)
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
-                rank = rarity.value[(word >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.argsort(line * most + rank, kind="stable")  # words ascend in each line already
                 at = np.arange(len(word)) - first[line]
                 take = (at < (size - -(-a * size // b) + 1)[line]) & speaks[line]
                 if slots:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(word[order][take] % np.uint64(SLOTS)).astype(np.int64)), pa.nulls(len(np.unique(word[order][take] % np.uint64(SLOTS))), pa.binary())], ["shelf", "entries"])
+                    own = np.unique(word[take] % np.uint64(SLOTS)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.binary())], ["shelf", "entries"])
                     continue
                 if wanted is not None:
-                    take &= held_in(wanted.value, word[order])
+                    take &= held_in(wanted.value, word)
                 bit = (word % np.uint64(192)).astype(np.int64)
                 flag = np.uint64(1) << (bit & 63).astype(np.uint64)
                 own = line[take]
                 rows = np.empty(len(own), ENTRY)
-                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"], rows["open"] = word[order][take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535), opened[own]  # a smaller position only weakens the filter
+                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"], rows["open"] = word[take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535), opened[own]  # a smaller position only weakens the filter
                 for k in range(3):
                     rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
                 held.append(rows)
@@ -227,11 +233,15 @@ def meet(similarity: tuple[int, int], near: int | None):
     def group(blobs: list[bytes], roles: list[int]) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(blobs), ENTRY)
         role = np.repeat(np.array(roles, np.int8), [len(x) // ENTRY.itemsize for x in blobs])
-        order = np.lexsort((rows["line"], rows["row"], rows["word"]))
+        order = np.argsort(rows["word"])
+        sorted_ = rows["word"][order]
+        alike = sorted_[1:] == sorted_[:-1]
+        order = order[np.append(False, alike) | np.append(alike, False)]  # a word of one line has no pair
+        order = order[np.lexsort((rows["line"][order], rows["row"][order], rows["word"][order]))]
         rows, role = rows[order], role[order]
         word, row, line, size, at = (np.ascontiguousarray(rows[k]) for k in ("word", "row", "line", "size", "at"))
         size, at, bits = size.astype(np.int64), at.astype(np.int64), np.ascontiguousarray(rows["bits"].T)
-        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
         rank = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
         asks, answers = (role & 1 == 1) & (rows["open"] if near is None else True), role & 2 == 2
         found, d, count, active = [], 1, np.zeros(len(word), np.int32), np.flatnonzero((rank >= 1) & asks)
@@ -338,7 +348,7 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
     scan = materialise(scan_lines(docs, min_words, bits), "lines-scan")
     lines = scan.where("part is null").select("row_id", "line_no", "h1", "h2")
     counts = bucket_counts(scan, bits)
-    shelves, rarity = max(SHELVES, int(counts.sum()) // SHELF_WORDS), share(counts)
+    shelves, rarity = max(SHELVES, int(counts.sum()) // SHELF_WORDS), share(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64))
     copies = materialise(later_copies(lines), "lines-copies")
     words = lambda rows, *more: prefixes(rows, rarity, similarity, min_words, bits, shelves, *more)
     sampled = words(docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE)) == 0).select("row_id", "text")).groupBy("shelf").agg(F.sum(F.octet_length("entries")).alias("bytes"))
