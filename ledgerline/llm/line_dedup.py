@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, documents, keyed, materialise, nested, unnested
+from .common import BROADCAST_ROWS, broadcast_if_small, documents, keyed, materialise, unnested
 from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
@@ -378,8 +378,10 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataF
 
     ``drop_emptied`` also leaves out documents that lost lines and have no word left.
     """
-    rows = keyed(nested(docs, "doc_id", "text"))
+    rows = keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("keep_")))
     gone = materialise(removed_lines(rows.select("row_id", "text"), **options).groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "lines-removed")
+    if (gone.agg(F.sum(40 + 4 * F.size("gone"))).first()[0] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)  # else texts are shuffled
     cut = F.col("gone").isNotNull()
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, x as x)), p -> array_position(gone, p.i) = 0), p -> p.x), '\\n')")
     out = rows.join(gone, "row_id", "left").withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select("text", "keep_", cut.alias("cut"))
