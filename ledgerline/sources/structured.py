@@ -1,4 +1,4 @@
-"""JSON sources: every leaf with its path, kind and exact character span."""
+"""JSON and YAML sources: every leaf with its path, kind and exact span, and segments that cover a source byte by byte."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import yaml_scan
+from .places import Places, tiled
+
 SCALAR = "source string, path string, kind string, value string, start int, end int"
 _SPACE, _ATOM = re.compile(r"\s*"), re.compile(r"true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 
@@ -98,3 +101,61 @@ def json_scalars(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names)
 
     return docs.select(F.col("source").cast("string"), "text").mapInArrow(run, SCALAR)
+
+
+SEGMENT = "source string, segment_id string, kind string, path string, node_kind string, value string, start_byte long, end_byte long, start_line int, start_column int, end_line int, end_column int"
+_SEGMENT_TYPES = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.int32()] * 4
+
+
+def scalars(form: str, text: str) -> list[tuple[str, str, str, int, int]]:
+    """(path, node kind, value, start, end) of a text's leaves in order; node kinds tell integers from other numbers. A JSON text that is one scalar has the path ``$``."""
+    if form == "yaml":
+        return yaml_scan.leaves(text)
+    if form != "json":
+        raise ValueError(f"unknown format {form!r}")
+    kinds = {"string": "scalar_string", "boolean": "scalar_bool", "null": "scalar_null"}
+    return [(path or "$", kinds.get(kind) or ("scalar_float" if set(value) & set(".eE") else "scalar_int"), "" if value is None else value, start, end) for path, kind, value, start, end in leaves(text)]
+
+
+def segments(source: str, form: str, text: str) -> list[tuple]:
+    """Rows of ``SEGMENT``: a leaf each, and ``structured_coverage`` for what lies between leaves. Malformed text is one row of kind ``error`` that covers it."""
+    places = Places(text)
+    try:
+        found = [(places.byte(start), places.byte(end), path, kind, value) for path, kind, value, start, end in scalars(form, text)]
+        kind_of = f"{form}_scalar"
+    except ValueError as e:
+        found, kind_of = [(0, places.size, "", "error", str(e))], "error"
+    rows = []
+    for start, end, leaf in tiled(found, places.size):
+        kind = kind_of if leaf else "structured_coverage"
+        rows.append((source, f"seg:{source}:{start}-{end}:{kind}", kind, *(leaf[2:] if leaf else (None, None, None)), start, end, *places.line(start), *places.line(end)))
+    return rows
+
+
+def structured_segments(docs: DataFrame) -> DataFrame:
+    """Leaves and gaps of ``docs(source, format, text)``, format ``json`` or ``yaml``; they cover each text once. Null text has none; leaves without bytes have none either. A source is a row, so rows are independent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SEGMENT.split(", ")]
+        for batch in batches:
+            rows = []
+            for source, form, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += segments(source, form, text) if text is not None else []
+                if len(rows) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEGMENT_TYPES)], names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), _SEGMENT_TYPES)], names)
+
+    return docs.select(F.col("source").cast("string"), "format", "text").mapInArrow(run, SEGMENT)
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """(source, leaves, bytes, tiles) of segments: ``tiles`` says that they cover the bytes from 0 to the last without gap or overlap.
+
+    Every end but the last has to be a start and every start but 0 an end, so xors of their hashes cancel; no group is sorted.
+    """
+    ends = F.bit_xor(F.xxhash64("start_byte")).bitwiseXOR(F.bit_xor(F.xxhash64("end_byte")))
+    size = F.max("end_byte")
+    edges = F.xxhash64(F.lit(0).cast("long")).bitwiseXOR(F.xxhash64(size))
+    tiles = (F.min("start_byte") == 0) & (F.sum(F.col("end_byte") - F.col("start_byte")) == size) & (ends == edges)
+    return rows.groupBy("source").agg(F.count_if(F.col("kind").isin("json_scalar", "yaml_scalar", "text")).alias("leaves"), size.alias("bytes"), tiles.alias("tiles"))
