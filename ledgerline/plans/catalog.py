@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evidence, extensions, governance, identity, integrity, parsed, records, sources
+from . import corpus, evidence, extensions, governance, identity, integrity, lineage, parsed, records, sources
 
-QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES, **sources.QUERIES, **records.QUERIES, **integrity.QUERIES, **governance.QUERIES, **extensions.QUERIES, **identity.QUERIES, **parsed.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **evidence.ORACLE_SQL, **sources.ORACLE_SQL, **records.ORACLE_SQL, **integrity.ORACLE_SQL, **governance.ORACLE_SQL, **extensions.ORACLE_SQL, **identity.ORACLE_SQL, **parsed.ORACLE_SQL}
+QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES, **sources.QUERIES, **records.QUERIES, **integrity.QUERIES, **governance.QUERIES, **extensions.QUERIES, **identity.QUERIES, **parsed.QUERIES, **lineage.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **evidence.ORACLE_SQL, **sources.ORACLE_SQL, **records.ORACLE_SQL, **integrity.ORACLE_SQL, **governance.ORACLE_SQL, **extensions.ORACLE_SQL, **identity.ORACLE_SQL, **parsed.ORACLE_SQL, **lineage.ORACLE_SQL}
