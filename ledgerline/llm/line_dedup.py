@@ -43,8 +43,8 @@ BROADCAST_BYTES, SLOTS = 48 << 20, 1 << 22
 PIECE, GROUP_BYTES, REMEMBERED = 1 << 18, 1 << 22, 1 << 15
 #: Least number of shelves, words of all sets for each shelf, entry bytes of a part of a hot shelf, rows of the sample (one of so many).
 SHELVES, SHELF_WORDS, HOT_BYTES, SAMPLE = 2048, 1 << 15, 1 << 23, 64
-#: Parts of the bucket counts.
-PARTS = 64
+#: Parts of the bucket counts, and words that a task counts at once.
+PARTS, COUNTED = 64, 1 << 20
 LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
 #: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, whether the second round asks for the line, the parity of word hashes per bit.
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("open", "?"), ("bits", "<u8", 3)])
@@ -86,8 +86,11 @@ def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None =
             enough &= np.bincount(line[held_in(wanted, word)], minlength=len(breaks) + 1) > 0
         keep = enough[line]
         word, line = word[keep], line[keep]
-        order = np.argsort(word if places is None else by_rarity(word, places))
-        order = order[np.argsort(line[order].astype(np.uint16) if len(breaks) < 65536 else line[order], kind="stable")]  # 16 bits are sorted by radix
+        if places is None and len(breaks) < 1 << 16:  # one sort; words that agree in 48 bits, almost always equal ones, are in any order
+            order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (word >> np.uint64(16)))
+        else:
+            order = np.argsort(word if places is None else by_rarity(word, places))
+            order = order[np.argsort(line[order].astype(np.uint16) if len(breaks) < 65536 else line[order], kind="stable")]  # 16 bits are sorted by radix
         word, line = word[order], line[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -110,13 +113,18 @@ def scan_lines(docs: DataFrame, min_words: int, bits: int) -> DataFrame:
     """Rows (row_id, line_no, h1, h2) of every line with enough words, and for each task rows (part, counts): lines with a word in each bucket of that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(1 << bits, np.int64), [x.split()[0] for x in LINES.split(", ")]
+        counts, held, names = np.zeros(1 << bits, np.int64), [], [x.split()[0] for x in LINES.split(", ")]
         for batch in batches:
             for s in line_sets(batch, min_words):
-                counts += np.bincount((s["word"] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                held.append((s["word"] >> np.uint64(64 - bits)).astype(np.int32))
+                if sum(map(len, held)) > COUNTED:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held.clear()
                 h1, h2 = set_keys(s)
                 none = [pa.nulls(len(h1), pa.int32()), pa.nulls(len(h1), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(s["row_id"]), pa.array(s["line_no"]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << bits)
         if counts.any():
             parts = [x.tobytes() for x in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(PARTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
@@ -383,7 +391,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataF
     if (gone.agg(F.sum(40 + 4 * F.size("gone"))).first()[0] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)  # else texts are shuffled
     cut = F.col("gone").isNotNull()
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, x as x)), p -> array_position(gone, p.i) = 0), p -> p.x), '\\n')")
+    runs = "transform(sequence(0, size(gone)), i -> slice(x, if(i = 0, 1, gone[i - 1] + 2), if(i = size(gone), size(x), gone[i]) - if(i = 0, 0, gone[i - 1] + 1)))"  # of lines that stay, between removed ones
+    kept = F.expr(f"transform(array(split(text, '\\n')), x -> array_join(flatten({runs}), '\\n'))[0]")
     out = rows.join(gone, "row_id", "left").withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select("text", "keep_", cut.alias("cut"))
     if drop_emptied:
         out = out.where(~(F.col("cut") & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
