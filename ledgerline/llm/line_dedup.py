@@ -86,11 +86,16 @@ def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None =
             enough &= np.bincount(line[held_in(wanted, word)], minlength=len(breaks) + 1) > 0
         keep = enough[line]
         word, line = word[keep], line[keep]
-        if places is None and len(breaks) < 1 << 16:  # one sort; words that agree in 48 bits, almost always equal ones, are in any order
-            order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (word >> np.uint64(16)))
-        else:
-            order = np.argsort(word if places is None else by_rarity(word, places))
-            order = order[np.argsort(line[order].astype(np.uint16) if len(breaks) < 65536 else line[order], kind="stable")]  # 16 bits are sorted by radix
+        rank, order = word if places is None else by_rarity(word, places), None
+        if len(breaks) < 1 << 16:  # one sort by line and 48 bits; should words of a line agree in these, they are sorted in full
+            key = (line.astype(np.uint64) << np.uint64(48)) | (rank >> np.uint64(16))
+            order = np.argsort(key)
+            alike = key[order[1:]] == key[order[:-1]]
+            if (word[order[1:]][alike] != word[order[:-1]][alike]).any():
+                order = None
+        if order is None:
+            order = np.argsort(rank)
+            order = order[np.argsort(line[order], kind="stable")]
         word, line = word[order], line[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -103,6 +108,14 @@ def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None =
         at = end
 
 
+def chosen(s: dict, keep: np.ndarray) -> dict:
+    """The sets of some lines."""
+    if keep.all():
+        return s
+    own, size = keep[s["line"]], s["size"][keep]
+    return {"word": s["word"][own], "line": np.repeat(np.arange(len(size)), size), "first": np.cumsum(size) - size, "size": size, "row_id": s["row_id"][keep], "line_no": s["line_no"][keep]}
+
+
 def set_keys(s: dict) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each set."""
     salt = np.uint64(0xA24BAED4963EE407)
@@ -192,9 +205,12 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
                 opened = np.fromiter(((r, n) in asked for r, n in zip(s["row_id"].tolist(), s["line_no"].tolist())), bool, len(s["first"])) if asked else np.zeros(len(s["first"]), bool)
                 speaks = opened if slots else fresh_lines(s) | opened
                 speaks = speaks & ~alone(s["size"], similarity)
+                if not speaks.any():
+                    continue
+                s, opened = chosen(s, speaks), opened[speaks]
                 word, line, first, size = s["word"], s["line"], s["first"], s["size"]
                 at = np.arange(len(word)) - first[line]
-                take = (at < (size - -(-a * size // b) + 1)[line]) & speaks[line]
+                take = at < (size - -(-a * size // b) + 1)[line]
                 if slots:
                     own = np.unique(word[take] % np.uint64(SLOTS)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.binary())], ["shelf", "entries"])
