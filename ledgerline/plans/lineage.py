@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import lexicon as lx
 from ledgerline.operators import outlines as ol
 from ledgerline.operators import seals as se
 from ledgerline.operators import trees as tr
@@ -212,3 +213,27 @@ def snapshot_import(spark, d):
     k = F.col("page_id")
     rows = _records(spark, d).withColumns({"export_path": F.when(k % 4 == 1, F.concat(F.lit("export/"), k)).otherwise(" "), "source_type": F.when(k % 5 == 2, "pdf").otherwise(""), "web": k % 3 == 0, "web_refusal": F.when(k % 2 == 0, "no terms")})
     return se.imported(rows, "snap-1", "law", "team")
+
+
+# -- governed terms -------------------------------------------------------------------------------------------------
+
+LEXICON = """lex0 AS (SELECT p_name AS term, p_name AS canonical, 'preferred' AS status FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_type || ' ' || split_part(p_name, ' ', 1), p_name, 'synonym' FROM part WHERE p_partkey % 7 = 0
+ UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'deprecated' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_name || ' brand', p_name, 'synonym' FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'preferred' FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {LEXICON},
+lex AS (SELECT key, min_by(canonical, o) AS canonical, min_by(status, o) AS status FROM (SELECT lower(term) AS key, canonical, status, CASE status WHEN 'deprecated' THEN '0' WHEN 'preferred' THEN '1' ELSE '2' END || canonical AS o FROM lex0) GROUP BY key),
+t AS (SELECT p_partkey, lower(p_type || ', ' || p_name || ' (' || p_brand || ')') AS text, [lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), 'brand', split_part(p_brand, '#', 2)] AS w FROM part),
+s AS (SELECT p_partkey, i, max(n) FILTER (key IS NOT NULL) AS n FROM (SELECT t.p_partkey, i, n, lex.key FROM t, range(1, 6) a(i), range(1, 6) b(n) LEFT JOIN lex ON lex.key = array_to_string(w[i:i + n - 1], ' ') AND i + n <= 6) GROUP BY ALL HAVING true),
+m AS (SELECT p_partkey, i, coalesce(max(n), 0) AS n FROM s GROUP BY ALL),
+g(p_partkey, i, n) AS (SELECT p_partkey, i, n FROM m WHERE i = 1 UNION ALL SELECT m.p_partkey, m.i, m.n FROM g JOIN m ON m.p_partkey = g.p_partkey AND m.i = g.i + greatest(g.n, 1))
+SELECT CAST(g.p_partkey AS VARCHAR) AS source, lex.key AS phrase, lex.canonical, lex.status, CAST(g.i - 1 AS INTEGER) AS word_no, CAST(g.n AS INTEGER) AS words FROM g JOIN t ON t.p_partkey = g.p_partkey JOIN lex ON lex.key = array_to_string(t.w[g.i:g.i + g.n - 1], ' ') WHERE g.n > 0""")
+def governed_term_uses(spark, d):
+    """Preferred, synonymous and deprecated phrases in the parts' descriptions, longest first."""
+    ensure_checkpoints(spark)
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    second, name = F.element_at(F.split("p_name", " "), 2), F.col("p_name")
+    entry = lambda where, term, status: p.where(where).select(term.alias("term"), name.alias("canonical"), F.lit(status).alias("status"))
+    lexicon = entry(k % 3 == 0, name, "preferred").unionByName(entry(k % 7 == 0, F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1)), "synonym")).unionByName(entry(k % 5 == 0, second, "deprecated")).unionByName(entry(k % 11 == 0, F.concat(name, F.lit(" brand")), "synonym")).unionByName(entry(F.lit(True), second, "preferred"))
+    docs = p.select(k.alias("source"), F.concat("p_type", F.lit(", "), "p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("text"))
+    return lx.term_uses(docs, lexicon).select("source", "phrase", "canonical", "status", "word_no", "words")
