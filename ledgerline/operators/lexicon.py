@@ -1,7 +1,7 @@
 """Governed terms in texts: phrases of any number of words found by one automaton, longest first, each with its status.
 
 Words are runs of letters and digits, case aside, so a phrase matches across other characters and line ends. From left to right the longest phrase
-at a word wins, and the next search starts behind it. Of entries with one phrase a deprecated one stands before a preferred term, and that before a synonym.
+at a word wins, and the next search starts behind it. Of entries with one phrase a preferred term stands before a synonym, and that before a deprecated one.
 
 The lexicon is broadcast in blocks of at most about ``BLOCK_BYTES``, dealt by a phrase's first word. With one block, which is the rule, a text is settled in its
 task; with more, each block finds the longest phrase at each word, and the text's finds are swept once they are together.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8_000_000
 #: Statuses, the one that stands first in front.
-STATUSES = ("deprecated", "preferred", "synonym")
+STATUSES = ("preferred", "synonym", "deprecated")
 FOUND = "source string, phrase string, canonical string, status string, word_no int, words int, start int, end int"
 _TYPES = [pa.string()] * 4 + [pa.int32()] * 4
 _WORD = re.compile(r"[^\W_]+")

@@ -39,8 +39,8 @@ def test_longest_first(spark, block):
 
 def test_precedence(spark):
     ensure_checkpoints(spark)
-    rows = [("Old Term", "new", "synonym"), ("old term", "new", "deprecated"), ("old  TERM", "new", "preferred"), ("alias", "z", "synonym"), ("alias", "alias", "preferred"), ("...", "x", "preferred"), ("odd", "x", "unknown")]
+    rows = [("Old Term", "new", "synonym"), ("old term", "new", "deprecated"), ("old TERM", "newer", "deprecated"), ("alias", "z", "synonym"), ("alias", "alias", "preferred"), ("...", "x", "preferred"), ("odd", "x", "unknown")]
     docs = spark.createDataFrame([("1", "The old-term, alias odd.")], "source string, text string")
     got = term_uses(docs, spark.createDataFrame(rows, "term string, canonical string, status string")).collect()
-    assert sorted((x["phrase"], x["canonical"], x["status"]) for x in got) == [("alias", "alias", "preferred"), ("old term", "new", "deprecated")]
+    assert sorted((x["phrase"], x["canonical"], x["status"]) for x in got) == [("alias", "alias", "preferred"), ("old term", "new", "synonym")]
     assert term_uses(docs, spark.createDataFrame([], "term string, canonical string, status string")).count() == 0
