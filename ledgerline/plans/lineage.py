@@ -218,7 +218,7 @@ def snapshot_import(spark, d):
 # -- governed terms -------------------------------------------------------------------------------------------------
 
 LEXICON = """lex0 AS (SELECT p_name AS term, p_name AS canonical, 'preferred' AS status FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_type || ' ' || split_part(p_name, ' ', 1), p_name, 'synonym' FROM part WHERE p_partkey % 7 = 0
- UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'deprecated' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_name || ' brand', p_name, 'synonym' FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'preferred' FROM part WHERE length(p_name) % 2 = 0)"""
+ UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'deprecated' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_name || ' brand', p_name, 'synonym' FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT split_part(p_name, ' ', 2), p_name, 'preferred' FROM part WHERE length(split_part(p_name, ' ', 2)) % 2 = 0)"""
 
 
 @query(f"""WITH RECURSIVE {LEXICON},
@@ -234,6 +234,6 @@ def governed_term_uses(spark, d):
     p, k = table(spark, d, "part"), F.col("p_partkey")
     second, name = F.element_at(F.split("p_name", " "), 2), F.col("p_name")
     entry = lambda where, term, status: p.where(where).select(term.alias("term"), name.alias("canonical"), F.lit(status).alias("status"))
-    lexicon = entry(k % 3 == 0, name, "preferred").unionByName(entry(k % 7 == 0, F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1)), "synonym")).unionByName(entry(k % 5 == 0, second, "deprecated")).unionByName(entry(k % 11 == 0, F.concat(name, F.lit(" brand")), "synonym")).unionByName(entry(F.length("p_name") % 2 == 0, second, "preferred"))
+    lexicon = entry(k % 3 == 0, name, "preferred").unionByName(entry(k % 7 == 0, F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1)), "synonym")).unionByName(entry(k % 5 == 0, second, "deprecated")).unionByName(entry(k % 11 == 0, F.concat(name, F.lit(" brand")), "synonym")).unionByName(entry(F.length(second) % 2 == 0, second, "preferred"))
     docs = p.select(k.alias("source"), F.concat("p_type", F.lit(", "), "p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("text"))
     return lx.term_uses(docs, lexicon).select("source", "phrase", "canonical", "status", "word_no", "words")
