@@ -30,7 +30,7 @@ def odd_dir(spark, odd_documents, tmp_path_factory):
     nan, inf = float("nan"), float("inf")
     r = random.Random(3)
     vecs = [(k, [r.gauss(0, 0.2) for _ in range(8)]) for k in range(400)] + [(k, [0.5] * 8) for k in range(400, 480)] + [(500, None), (520, []), (540, [nan] * 8), (560, [inf] + [0.1] * 7), (580, [None] + [0.1] * 7), (600, [0.1, 0.2]), (601, [0.3, 0.2]), (None, [0.1] * 8), (20, [0.9] * 8)]
-    spark.createDataFrame([(*x, 7) for x in vecs], "vec_id long, embedding array<float>, score int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(*x, 7, None if k % 9 == 4 else k % 4) for k, x in enumerate(vecs)], "vec_id long, embedding array<float>, score int, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
