@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.canonical import canonical
+from ledgerline.operators import graphs as gr
 from ledgerline.operators import lexicon as lx
 from ledgerline.operators import outlines as ol
 from ledgerline.operators import seals as se
@@ -237,3 +239,35 @@ def governed_term_uses(spark, d):
     lexicon = entry(k % 3 == 0, name, "preferred").unionByName(entry(k % 7 == 0, F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1)), "synonym")).unionByName(entry(k % 5 == 0, second, "deprecated")).unionByName(entry(k % 11 == 0, F.concat(name, F.lit(" brand")), "synonym")).unionByName(entry(F.length(second) % 2 == 0, second, "preferred"))
     docs = p.select(k.alias("source"), F.concat("p_type", F.lit(", "), "p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("text"))
     return lx.term_uses(docs, lexicon).select("source", "phrase", "canonical", "status", "word_no", "words")
+
+
+# -- nested reports, levels -----------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag, list_sort([l_linestatus, 'e' || l_partkey % 3, 'e' || l_suppkey % 5]) AS evidence FROM lineitem),
+r AS (SELECT l_orderkey, list(struct_pack(id := l_linenumber, code := l_returnflag, evidence := evidence) ORDER BY l_linenumber, l_returnflag, evidence) AS findings FROM f GROUP BY ALL)
+SELECT l_orderkey AS report, sha256(array_to_string(list_transform(findings, lambda x: x.id || ':' || x.code || ':' || array_to_string(x.evidence, '+')), ';')) AS digest, CAST(2 AS BIGINT) AS copies FROM r""")
+def report_digests(spark, d):
+    """Each order's findings as a nested report, once in order of line and once reversed, lists within too: both copies have one canonical form."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("code"), F.array("l_linestatus", F.concat(F.lit("e"), F.col("l_partkey") % 3), F.concat(F.lit("e"), F.col("l_suppkey") % 5)).alias("evidence")).alias("f"))
+    one = rows.groupBy(F.col("l_orderkey").alias("report")).agg(F.collect_list("f").alias("findings"))
+    other = one.select("report", F.reverse(F.transform("findings", lambda x: x.withField("evidence", F.reverse(x["evidence"])))).alias("findings"))
+    both = one.unionByName(other)
+    form = both.withColumn("findings", canonical(F.col("findings"), both.schema["findings"].dataType))
+    flat = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["id"].cast("string"), x["code"], F.array_join(x["evidence"], "+"))), ";")
+    return form.groupBy("report", F.sha2(flat, 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 3 AS s, p_partkey AS t FROM part UNION ALL SELECT p_partkey - p_size, p_partkey FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey % 97 = 5 UNION ALL SELECT p_partkey - 1, p_partkey FROM part WHERE p_partkey % 97 = 6) WHERE s <> t AND s IN (SELECT p_partkey FROM part)),
+c(t) AS (SELECT p_partkey FROM part WHERE p_partkey % 97 = 5 AND EXISTS (SELECT 1 FROM e WHERE e.s = p_partkey + 1 AND e.t = p_partkey) AND EXISTS (SELECT 1 FROM e WHERE e.s = p_partkey AND e.t = p_partkey + 1) UNION SELECT e.t FROM c JOIN e ON e.s = c.t),
+w(n, level) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT t FROM e) UNION SELECT e.t, level + 1 FROM w JOIN e ON e.s = w.n WHERE e.t NOT IN (SELECT t FROM c))
+SELECT p_partkey AS node, CAST(max(level) AS INTEGER) AS level FROM part LEFT JOIN w ON w.n = p_partkey AND p_partkey NOT IN (SELECT t FROM c) GROUP BY p_partkey""")
+def topological_levels(spark, d):
+    """Longest ways from the parts that none leads to; nodes of rings and behind them have no level."""
+    ensure_checkpoints(spark)
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    edges = p.select(F.floor(k / 3).alias("source"), k.alias("target")).unionByName(p.where(k % 4 == 1).select((k - F.col("p_size")).alias("source"), k.alias("target"))).unionByName(p.where(k % 97 == 5).select((k + 1).alias("source"), k.alias("target")))
+    back = p.where(k % 97 == 6).select((k - 1).alias("source"), k.alias("target"))
+    nodes = p.select(k.alias("node"))
+    edges = edges.unionByName(back).join(nodes.withColumnRenamed("node", "source"), "source", "left_semi")
+    return gr.topological_levels(nodes, edges).select("node", F.col("level").cast("int").alias("level"))
