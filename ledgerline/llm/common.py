@@ -105,6 +105,21 @@ def connected_components(edges: DataFrame, label: str, rounds: int = 40) -> Data
     raise RuntimeError(f"{label}: components did not settle in {rounds} rounds")
 
 
+#: Parts that hashes are dealt to when rows are sampled, first coarsely, then finely.
+COARSE, FINE = 1_000_000, 1 << 40
+
+
+def sample_shares(bound: int, rows: int) -> tuple[int, int]:
+    """Of ``COARSE`` and of ``FINE`` parts those that a sample of about ``bound`` rows takes; at least one of each, however many rows there are."""
+    share = min(1.0, bound / max(1, rows)) * COARSE
+    return (int(share), FINE) if share >= 1 else (1, max(1, int(share * FINE)))
+
+
+def sampled(key: Column, coarse: Column, fine: Column) -> Column:
+    """Whether a row belongs to the sample, by hashes of its key."""
+    return (F.pmod(F.xxhash64(key), F.lit(COARSE)) < coarse) & (F.pmod(F.xxhash64(F.lit("fine"), key), F.lit(FINE)) < fine)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds ``row_id``: doc_id where all are there and differ, else the rows' place in the order of doc_id (nulls first) and text."""
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("k")).first()

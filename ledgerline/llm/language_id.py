@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, sample_shares, sampled
 from .lattice import by_chars, by_length, words_of
 from .sentencepiece_coding import lattice, piece_file
 
@@ -43,10 +43,11 @@ class LanguageModel:
 def word_counts(labelled: DataFrame, docs_per_language: int) -> DataFrame:
     """(lang, word, n) over a sample of ``labelled(doc_id, text, lang)`` chosen by a hash of doc_id."""
     per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    share = F.create_map(*(F.lit(x) for k, n in per.items() for x in (k, int(min(1.0, docs_per_language / n) * 1_000_000)))) if per else None
-    if share is None:
+    if not per:
         return labelled.sparkSession.createDataFrame([], "lang string, word string, n long")
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < share[F.col("lang")])
+    shares = {k: sample_shares(docs_per_language, n) for k, n in per.items()}
+    coarse, fine = (F.create_map(*(F.lit(x) for k, own in shares.items() for x in (k, own[i])))[F.col("lang")] for i in (0, 1))
+    sample = labelled.where(sampled(F.col("doc_id"), coarse, fine))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.arrays import running, running_sums
 
-from .common import documents, nested, unnested
+from .common import documents, nested, sample_shares, sampled, unnested
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, group of the value, least length of the value. A run of hex digits, or AKIA with what follows it,
@@ -63,9 +63,8 @@ def train_markov(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]
     At most about ``sample_docs`` documents, chosen by a hash of the text, give labelled samples.
     """
     spark, size = docs.sparkSession, len(ALPHABET)
-    share = int(min(1.0, sample_docs / max(1, docs.count())) * 1_000_000)
     t = "coalesce(text, '')"
-    sample = docs.select("text").where(F.expr(f"pmod(xxhash64({t}), 1000000) < {share}"))
+    sample = docs.select("text").where(sampled(F.expr(t), *map(F.lit, sample_shares(sample_docs, docs.count()))))
     labelled = sample.select(F.expr(f"transform({base_spans(t)}, x -> x.value)").alias("secret"), F.expr(f"regexp_extract_all(regexp_replace({t}, '[0-9a-f]{{16,}}|AKIA[A-Z0-9]+', ' '), '[A-Za-z_][A-Za-z0-9_-]{{5,}}', 0)").alias("plain"))
     digest = spark.range(DIGESTS).select(F.explode(F.expr("array(sha2(cast(id as string), 256), upper(sha2(concat('u', id), 256)), base64(unhex(sha2(concat('b', id), 256))), translate(base64(unhex(sha2(concat('c', id), 256))), '+/=', ''))")).alias("s")).select(F.lit(1).alias("random"), "s")
     rows = labelled.select(F.lit(1).alias("random"), F.explode("secret").alias("s")).unionByName(labelled.select(F.lit(0).alias("random"), F.explode("plain").alias("s"))).unionByName(digest)

@@ -26,3 +26,32 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+def test_sample_shares_never_vanish():
+    from ledgerline.llm.common import COARSE, FINE, sample_shares
+
+    for bound in (2_000, 20_000):
+        for rows in (0, 1, bound, 10 * bound, 2 * 10**9 + 1, 10**11, 10**15):
+            coarse, fine = sample_shares(bound, rows)
+            taken = rows * coarse / COARSE * fine / FINE
+            least = rows if rows <= bound else 0.99 * bound if fine < FINE else bound - rows / COARSE  # the coarse share is rounded down
+            assert coarse >= 1 and fine >= 1 and least <= taken <= max(bound, rows if rows <= bound else 0) * 1.01
+
+
+def test_languages_of_very_many_documents_are_learnt(spark, monkeypatch):
+    from ledgerline.llm import language_id
+    from ledgerline.llm.common import sample_shares
+
+    monkeypatch.setattr(language_id, "sample_shares", lambda bound, rows: sample_shares(bound * 10**7, rows * 10**7))  # as if each language had 10**9 documents and more
+    docs = spark.createDataFrame([(i, f"wort{i % 7} noch eins" if i % 2 else "some other words", "de" if i % 2 else "en") for i in range(400)], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in language_id.word_counts(docs, 2_000).collect()} == {"de", "en"}
+
+
+def test_sampled_is_about_its_share(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.common import COARSE, FINE, sampled
+
+    n = spark.range(200_000).where(sampled(F.col("id"), F.lit(COARSE // 10), F.lit(FINE // 2))).count()
+    assert 9_000 < n < 11_000
