@@ -18,7 +18,6 @@ TRANSITIONS = (
     ("rejected", "draft", "revise"), ("rejected", "archived", "archive"), ("archived", "draft", "unarchive"),
 )
 RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-ROLES = (("definition", "(?i)(means|signifie|bedeutet)"), ("exception", "(?i)(except|sauf|außer)"), ("rule", "(?i)(must|shall|doit)"), ("example", "(?i)(example|exemple)"), ("warning", "(?i)(warning|attention)"), ("note", "(?i)(note|remarque)"))
 
 
 def review_actions(rows: DataFrame) -> DataFrame:
@@ -73,17 +72,6 @@ def lexicon_usage(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return out.select("token", F.coalesce("status", F.lit("ungoverned")).alias("status"), F.coalesce("canonical", F.lit("")).alias("canonical"), "uses")
 
 
-def semantic_role(text: Column, roles: tuple = ROLES) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for role, pattern in roles:
-        out = out.when(text.rlike(pattern), F.lit(role))
-    return out.otherwise(F.lit("unknown"))
-
-
-def role_confidence(role: Column) -> Column:
-    return F.when(role.isin("rule", "definition", "warning"), "high").when(role == "unknown", "low").otherwise("medium")
-
-
 def posture(rules: list[tuple[int, str, str]], fallback: str = "disclaim") -> Column:
     """Action of the first rule (priority, SQL condition, action), by priority, that holds."""
     out = F.when(F.lit(False), F.lit(""))
@@ -122,12 +110,6 @@ def evidence_status(required: DataFrame, collected: DataFrame) -> DataFrame:
     return r.join(c, "id", "full_outer").select("id", F.when(F.col("c_").isNull(), "missing").when(F.col("r_").isNull(), "unrequested").otherwise("present").alias("status"))
 
 
-def promotion_findings(atoms: DataFrame, certs: DataFrame) -> DataFrame:
-    """First finding of each atom (atom_id, cert_id, approved) against certificates (cert_id, revoked)."""
-    code = F.when(F.col("revoked").isNull(), "CERT_UNKNOWN").when(F.col("revoked"), "CERT_REVOKED").when(~F.col("approved"), "ATOM_NOT_APPROVED")
-    return atoms.join(certs, "cert_id", "left").select("atom_id", code.alias("code")).where("code is not null")
-
-
 def lexical_rank(queries: DataFrame, nodes: DataFrame, query: str, node: str, document: str, top: int) -> DataFrame:
     """(query, rank, document, score): tokens shared with a query, best node of each document, ties by name; no match, no row.
 

@@ -1,13 +1,10 @@
-"""Record encoders, referential checks, admission rules, cross references and table rows."""
+"""Record encoders, referential checks, cross references and table rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What may follow what in the admission of a source.
-EXCLUDED_REASONS = ("duplicate", "out_of_scope", "unsupported_format", "licensed")
-
 
 def encode(records: DataFrame, shape: str, text: str, ident: str, metadata: list[str]) -> DataFrame:
     """One JSON line per record: ``neutral`` (flat, blank values left out), ``document`` (page_content, metadata) or ``node`` (id_, text, metadata)."""
@@ -33,26 +30,6 @@ def referential_findings(rows: DataFrame, key: list[str], checks: list[tuple[str
     return out
 
 
-def admission_code(status: Column, role: Column, reason: Column, path: Column, units: Column) -> Column:
-    """First broken rule of a source's admission, else null."""
-    return (
-        F.when(~status.isin("admitted", "excluded", "pending"), "ADMISSION_UNKNOWN_STATUS")
-        .when((status == "excluded") & (F.coalesce(reason, F.lit("")) == ""), "ADMISSION_EXCLUDED_WITHOUT_REASON")
-        .when((status == "excluded") & ~reason.isin(*EXCLUDED_REASONS), "ADMISSION_UNKNOWN_REASON")
-        .when((status == "admitted") & (F.coalesce(role, F.lit("")) == ""), "ADMISSION_WITHOUT_ROLE")
-        .when((status == "admitted") & path.rlike("(^|/)(template|example)s?/"), "ADMISSION_TEMPLATE_PATH")
-        .when((status == "admitted") & (units == 0), "ADMISSION_ATOMIZED_WITHOUT_UNITS")
-    )
-
-
-def web_source_code(url: Column, status: Column, depth: Column, max_depth: int) -> Column:
-    """First broken rule of a captured page, else null."""
-    return (
-        F.when(~F.coalesce(url, F.lit("")).rlike(r"^https?://[^/\s]+"), "WEB_URL_INVALID").when(~status.between(200, 299), "WEB_STATUS_NOT_OK")
-        .when((depth < 0) | (depth > max_depth), "WEB_DEPTH_OUT_OF_RANGE")
-    )
-
-
 def cross_references(atoms: DataFrame, text: str) -> DataFrame:
     """(source, locator, target): cues like "article 12" in atoms (atom_id, locator, text), joined to the first atom of the locator; none to itself."""
     cues = F.regexp_extract_all(text, F.lit(r"(?i)((?:article|section|annex)\s+[0-9]+)"), F.lit(1))
@@ -77,15 +54,6 @@ def row_text(headers: Column, cells: Column) -> Column:
     return F.array_join(F.array_compact(pairs), "; ")
 
 
-def short_disposition(text: Column) -> Column:
-    """What a fragment of at most ten characters is: normative, identifier, numeric, label or noise; longer ones are text."""
-    t = F.trim(text)
-    return (
-        F.when(F.length(t) > 10, "text").when(F.lower(t).isin("must", "shall", "may", "not", "never", "always", "yes", "no"), "normative").when(t.rlike(r"^[A-Z]{1,5}[-_.]?[0-9]+$"), "identifier")
-        .when(t.rlike(r"^[0-9.,%]+$"), "numeric").when(t.rlike(r"\p{L}{2}"), "label").otherwise("noise")
-    )
-
-
 def envelope(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, members, envelope_hash): a group's members sealed by the hash of their sorted (order, content_hash)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("content_hash"))))

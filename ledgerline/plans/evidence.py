@@ -330,16 +330,6 @@ def lexicon_check(spark, d):
     return gt.lexicon_usage(words, terms)
 
 
-ROLES = "CASE WHEN regexp_matches(t, '(?i)(means|signifie|bedeutet)') THEN 'definition' WHEN regexp_matches(t, '(?i)(except|sauf|außer)') THEN 'exception' WHEN regexp_matches(t, '(?i)(must|shall|doit)') THEN 'rule' WHEN regexp_matches(t, '(?i)(example|exemple)') THEN 'example' WHEN regexp_matches(t, '(?i)(warning|attention)') THEN 'warning' WHEN regexp_matches(t, '(?i)(note|remarque)') THEN 'note' ELSE 'unknown' END"
-
-
-@query(f"WITH r AS (SELECT {ROLES.replace('(t,', '(text,')} AS role FROM documents) SELECT role, CASE WHEN role IN ('rule', 'definition', 'warning') THEN 'high' WHEN role = 'unknown' THEN 'low' ELSE 'medium' END AS confidence, count(*) AS blocks FROM r GROUP BY ALL")
-def semantic_roles(spark, d):
-    role = gt.semantic_role(F.col("text"))
-    rows = table(spark, d, "documents").select(role.alias("role"))
-    return rows.select("role", gt.role_confidence(F.col("role")).alias("confidence")).groupBy("role", "confidence").agg(F.count(F.lit(1)).alias("blocks"))
-
-
 @query("""WITH c AS (SELECT doc_id, lang <> 'de' AS in_scope, doc_id % 17 = 0 AS repealed, doc_id % 7 = 0 AS stale, CASE WHEN doc_id % 3 = 0 THEN 'low' WHEN doc_id % 3 = 1 THEN 'medium' ELSE 'high' END AS confidence FROM documents)
 SELECT doc_id, CASE WHEN NOT in_scope THEN 'refuse' WHEN repealed THEN 'refuse' WHEN stale THEN 'disclaim' WHEN confidence = 'low' THEN 'escalate' WHEN confidence = 'high' THEN 'assert' WHEN confidence = 'medium' THEN 'cite' ELSE 'disclaim' END AS action FROM c""")
 def posture_decision(spark, d):
@@ -388,10 +378,3 @@ def evidence_manifest(spark, d):
     required = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"))
     collected = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("id")).distinct()
     return gt.evidence_status(required, collected)
-
-
-@query("""SELECT p_partkey AS atom_id, CASE WHEN s.s_suppkey IS NULL THEN 'CERT_UNKNOWN' WHEN s.s_acctbal < 0 THEN 'CERT_REVOKED' WHEN p_size % 10 = 0 THEN 'ATOM_NOT_APPROVED' END AS code FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey % 130 WHERE s.s_suppkey IS NULL OR s.s_acctbal < 0 OR p_size % 10 = 0""")
-def canon_promotion(spark, d):
-    atoms = table(spark, d, "part").select(F.col("p_partkey").alias("atom_id"), (F.col("p_partkey") % 130).alias("cert_id"), (F.col("p_size") % 10 != 0).alias("approved"))
-    certs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cert_id"), (F.col("s_acctbal") < 0).alias("revoked"))
-    return gt.promotion_findings(atoms, certs)

@@ -55,23 +55,6 @@ def strict_references(spark, d):
     return rc.referential_findings(rows, ["l_orderkey", "l_linenumber"], [("DANGLING_PART", ["l_partkey"], parts), ("DANGLING_ORDER", ["l_orderkey"], orders)])
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'excluded' WHEN doc_id % 23 = 0 THEN 'odd' ELSE 'admitted' END AS status, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'policy' END AS role, CASE WHEN doc_id % 18 = 0 THEN '' WHEN doc_id % 27 = 0 THEN 'bored' ELSE 'duplicate' END AS reason, CASE WHEN source = 'src5' THEN 'templates/' ELSE 'docs/' END || doc_id AS path, length(text) // 400 AS units FROM documents)
-SELECT doc_id, CASE WHEN status = 'odd' THEN 'ADMISSION_UNKNOWN_STATUS' WHEN status = 'excluded' AND reason = '' THEN 'ADMISSION_EXCLUDED_WITHOUT_REASON' WHEN status = 'excluded' AND reason = 'bored' THEN 'ADMISSION_UNKNOWN_REASON' WHEN status = 'admitted' AND role = '' THEN 'ADMISSION_WITHOUT_ROLE' WHEN status = 'admitted' AND path LIKE 'templates/%' THEN 'ADMISSION_TEMPLATE_PATH' WHEN status = 'admitted' AND units = 0 THEN 'ADMISSION_ATOMIZED_WITHOUT_UNITS' END AS code FROM s
-WHERE status = 'odd' OR (status = 'excluded' AND reason IN ('', 'bored')) OR (status = 'admitted' AND (role = '' OR path LIKE 'templates/%' OR units = 0))""")
-def source_admission(spark, d):
-    n = F.col("doc_id")
-    s = table(spark, d, "documents").select("doc_id", F.when(n % 9 == 0, "excluded").when(n % 23 == 0, "odd").otherwise("admitted").alias("status"), F.when(n % 7 == 0, "").otherwise("policy").alias("role"), F.when(n % 18 == 0, "").when(n % 27 == 0, "bored").otherwise("duplicate").alias("reason"), F.concat(F.when(F.col("source") == "src5", "templates/").otherwise("docs/"), n.cast("string")).alias("path"), F.floor(F.length("text") / 400).alias("units"))
-    return s.select("doc_id", rc.admission_code(*(F.col(c) for c in ("status", "role", "reason", "path", "units"))).alias("code")).where("code is not null")
-
-
-@query("""WITH w AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'ftp:' || url ELSE url END AS url, CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END AS status, page_id % 5 AS depth FROM pages)
-SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://[^/\\s]+') THEN 'WEB_URL_INVALID' WHEN status <> 200 THEN 'WEB_STATUS_NOT_OK' WHEN depth > 3 THEN 'WEB_DEPTH_OUT_OF_RANGE' END AS code FROM w WHERE NOT regexp_matches(url, '^https?://[^/\\s]+') OR status <> 200 OR depth > 3""")
-def web_source_validation(spark, d):
-    n = F.col("page_id")
-    w = table(spark, d, "pages").select("page_id", F.when(n % 13 == 0, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url")).alias("url"), F.when(n % 6 == 0, 404).otherwise(200).alias("status"), (n % 5).alias("depth"))
-    return w.select("page_id", rc.web_source_code(F.col("url"), F.col("status"), F.col("depth"), 3).alias("code")).where("code is not null")
-
-
 @query(r"""WITH a AS (SELECT p_partkey AS atom_id, 'Article ' || (p_partkey % 60) AS locator, p_name || ' see article  ' || (p_size + 30) || ', Section ' || p_size AS text FROM part), h AS (SELECT DISTINCT atom_id AS source, regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)((?:article|section|annex)\s+[0-9]+)', 1))), '\s+', '-', 'g') AS locator FROM a),
 f AS (SELECT regexp_replace(lower(locator), '\s+', '-', 'g') AS locator, min(atom_id) AS target FROM a GROUP BY 1) SELECT h.locator, h.source, f.target FROM h LEFT JOIN f USING (locator) WHERE f.target IS NULL OR f.target <> h.source""")
 def crossref_edges(spark, d):
@@ -86,11 +69,6 @@ def table_rows(spark, d):
     return c.select("source", "line_no", F.size("cells").cast("long").alias("cells"), rc.row_text(F.array(F.lit("a"), F.lit("b")), F.slice("cells", 1, 2)).alias("row_text"))
 
 
-@query(f"""WITH {LINES} SELECT CASE WHEN length(t) > 10 THEN 'text' WHEN lower(t) IN ('must','shall','may','not','never','always','yes','no') THEN 'normative' WHEN regexp_matches(t, '^[A-Z]{{1,5}}[-_.]?[0-9]+$') THEN 'identifier' WHEN regexp_matches(t, '^[0-9.,%]+$') THEN 'numeric' WHEN regexp_matches(t, '\\p{{L}}{{2}}') THEN 'label' ELSE 'noise' END AS disposition, count(*) AS fragments FROM (SELECT trim(line) AS t FROM kinds WHERE kind <> 'blank') GROUP BY ALL""")
-def short_critical_atoms(spark, d):
-    return _kinds(spark, d).where("kind <> 'blank'").groupBy(rc.short_disposition(F.col("line")).alias("disposition")).agg(F.count(F.lit(1)).alias("fragments"))
-
-
 @query("SELECT source, count(*) AS members, sha256(string_agg(doc_id || ':' || sha256(text), ';' ORDER BY doc_id)) AS envelope_hash FROM documents GROUP BY source")
 def evidence_envelopes(spark, d):
     return rc.envelope(table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("content_hash")), "source", "doc_id")

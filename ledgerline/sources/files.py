@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from ledgerline.functions.globs import allowed
 
 #: Classes by extension; anything else is sniffed.
-TEXT = ("md", "markdown", "txt", "yaml", "yml", "json", "jsonl", "csv", "xml", "html", "htm", "cue", "go", "py", "toml")
-OFFICE = ("docx", "doc", "xlsx", "xls", "pptx", "ppt", "odt", "ods")
-IMAGE = ("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "tiff")
+TEXT = (
+    "txt", "md", "mdx", "markdown", "yaml", "yml", "json", "jsonl", "toml", "csv", "xml", "html", "htm", "css", "js", "ts", "tsx", "jsx", "go", "py", "rb", "rs", "java", "kt", "cs", "php",
+    "sql", "sh", "bash", "zsh", "cue", "proto", "graphql", "env", "cfg", "ini", "rst", "adoc", "tex", "swift", "scala", "r", "tf", "hcl",
+)
+OFFICE = ("docx", "doc", "xlsx", "xls", "pptx", "ppt", "odt", "ods", "odp", "rtf")
+IMAGE = ("png", "jpg", "jpeg", "gif", "svg", "bmp", "ico", "webp", "tiff", "tif")
 SKIPPED = ("**/.git/**", "**/node_modules/**", "**/vendor/**", "**/dist/**", "**/build/**")
 
 RECORD = T.StructType([T.StructField(n, t) for n, t in (("source_id", T.StringType()), ("version_id", T.StringType()), ("locator", T.StringType()), ("content_hash", T.StringType()), ("size_bytes", T.LongType()), ("captured_at", T.StringType()), ("source_type", T.StringType()), ("export_path", T.StringType()))])
