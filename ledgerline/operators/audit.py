@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.spans import with_bytes
 from ledgerline.functions.text import is_blank
 
 from .integrity import source_derived
@@ -50,9 +51,9 @@ def first_without_units(files: DataFrame, units: DataFrame, most: int = 50) -> D
 
 
 def text_mismatches(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """(unit_id, source): units (unit_id, source, start_byte, end_byte, text) whose trimmed text differs from the bytes at their span."""
-    raw = F.decode(F.substring(F.encode("source_text", "UTF-8"), F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    return units.join(texts, "source").where(F.trim(raw) != F.trim("text")).select("unit_id", "source")
+    """(unit_id, source): units (unit_id, source, start_byte, end_byte, text) whose trimmed text differs from the bytes at their span; a span outside the text holds nothing, units without a span or a text are left out."""
+    spanned = units.where("start_byte is not null and end_byte is not null")
+    return with_bytes(spanned, texts, "source", "source_text").where(F.col("size_").isNotNull() & (F.trim(F.coalesce("raw_", F.lit(""))) != F.trim("text"))).select("unit_id", "source")
 
 
 def corpus_index(sources: DataFrame, units: DataFrame, chunks: DataFrame) -> DataFrame:

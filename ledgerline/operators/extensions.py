@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.spans import with_bytes
 from ledgerline.sources.files import extension
 
 from .selection import emitted
@@ -63,9 +64,8 @@ class Adapters:
 
 def contract_faults(segments: DataFrame, files: DataFrame) -> DataFrame:
     """(path, fault) of an adapter's segments: spans have to lie in the file, and texts to be the bytes at their spans."""
-    rows = segments.join(files.select("path", F.col("text").alias("whole")), "path", "left")
-    raw = F.decode(F.substring(F.encode("whole", "UTF-8"), F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    fault = F.when(F.col("whole").isNull(), "unknown_file").when((F.col("start_byte") < 0) | (F.col("start_byte") > F.col("end_byte")) | (F.col("end_byte") > F.octet_length("whole")), "span_outside").when(F.col("text").isNotNull() & (raw != F.col("text")), "bytes_differ")
+    rows = with_bytes(segments, files.select("path", F.col("text").alias("whole_")), "path", "whole_")
+    fault = F.when(F.col("size_").isNull(), "unknown_file").when((F.col("start_byte") < 0) | (F.col("start_byte") > F.col("end_byte")) | (F.col("end_byte") > F.col("size_")), "span_outside").when(F.col("text").isNotNull() & (F.col("raw_") != F.col("text")), "bytes_differ")
     return rows.select("path", fault.alias("fault")).where("fault is not null").distinct()
 
 

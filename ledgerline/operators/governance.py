@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.spans import with_bytes
 from ledgerline.functions.globs import glob_regex
 from ledgerline.functions.text import is_blank, tokens_by_words, word_count
 
@@ -136,12 +137,11 @@ def child_lists(segments: DataFrame) -> DataFrame:
 
 
 def crossref_faults(edges: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(source, target, fault) of edges (source, target, start_byte, end_byte, locator) whose ends are unknown or whose bytes in the source's text are not the locator."""
-    src = atoms.select(F.col("atom_id").alias("source"), "text")
+    """(source, target, fault) of edges (source, target, start_byte, end_byte, locator) whose ends are unknown or whose bytes in the source's text are not the locator; a span outside the text holds nothing."""
     dst = atoms.select(F.col("atom_id").alias("target"), F.lit(True).alias("there"))
-    raw = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    fault = F.when(F.col("text").isNull(), "unknown_source").when(F.col("there").isNull(), "unknown_target").when(raw != F.col("locator"), "bytes_differ")
-    return edges.join(src, "source", "left").join(dst, "target", "left").select("source", "target", fault.alias("fault")).where("fault is not null")
+    rows = with_bytes(edges, atoms.select(F.col("atom_id").alias("source"), F.col("text").alias("whole_")), "source", "whole_").join(dst, "target", "left")
+    fault = F.when(F.col("size_").isNull(), "unknown_source").when(F.col("there").isNull(), "unknown_target").when(F.coalesce("raw_", F.lit("")) != F.col("locator"), "bytes_differ")
+    return rows.select("source", "target", fault.alias("fault")).where("fault is not null")
 
 
 def bundle_findings(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
