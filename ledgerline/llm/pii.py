@@ -20,6 +20,7 @@ import bisect
 import hashlib
 import itertools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -42,7 +43,9 @@ _LIKE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09
 #: A word of dotted parts without any.
 _DOTTED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@.]++(?:\.[^\x20\x09-\x0D0-9@.]++)++[^\x20\x09-\x0D0-9@]*+(?![^\x20\x09-\x0D])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-REACH = 202
+WHITE = "\x20\t\n\v\f\r"
+#: Characters of a word that stands in patterns as it is, and how far back two such words are looked for.
+LONG, REACH = 100, 202
 EDGES, LEAST = ".,;:!?()[]{}<>\"'", 6
 #: Shapes of instances: mail-like, groups of digits, and words with a digit, which any pattern may discover.
 MAIL, DIGITS, ANY = 0, 1, 2
@@ -81,24 +84,57 @@ def base_entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Contexts:
+    """Patterns of one and of two words before places of a text; ``^`` stands before the text.
+
+    Mostly the nearest characters hold both words. Where they do not, the text's words are listed once, and the digest of a
+    long word grows from one place to the next, so places in ascending order cost time in proportion to them and the text.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.digests = text, None, None, {}
+
+    def before(self, start: int) -> tuple[str, str]:
+        left = max(0, start - REACH)
+        near = self.text[left:start]
+        words = _WORD.findall(near)
+        if left and near[0] not in WHITE:
+            words = words[1:]  # perhaps cut through
+        words = self.far(start) if left and len(words) < 2 else list(map(shortened, words[-2:]))
+        one, two = ["^", "^", *words][-1:-3:-1]
+        return one, f"{two} {one}"
+
+    def far(self, start: int) -> list[str]:
+        if self.starts is None:
+            places = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.ends = (array("q", x) for x in (zip(*places) if places else ((), ())))
+        k = bisect.bisect_left(self.starts, start)
+        return [self.word(self.starts[j], min(self.ends[j], start)) for j in range(max(0, k - 2), k)]
+
+    def word(self, start: int, end: int) -> str:
+        if end - start <= LONG:
+            return shortened(self.text[start:end])
+        read, digest = self.digests.get(start, (end + 1, None))
+        if read > end:
+            read, digest = start, hashlib.sha1()
+        digest.update(folded(self.text[read:end]))
+        self.digests[start] = end, digest
+        return "#" + digest.hexdigest()
+
+
 def contexts(text: str, start: int) -> tuple[str, str]:
-    """Patterns of one and of two words before ``start``; ``^`` stands before the text."""
-    reach = REACH
-    while True:
-        left = max(0, start - reach)
-        words = _WORD.findall(text[left:start])
-        if left and words and not text[left - 1].isspace():
-            words = words[1:]  # cut through
-        if len(words) > 1 or not left:
-            break
-        reach *= 4
-    one, two = (["^", "^", *map(shortened, words[-2:])])[-1:-3:-1]
-    return one, f"{two} {one}"
+    """Patterns of one and of two words before one place."""
+    return Contexts(text).before(start)
+
+
+def folded(word: str) -> bytes:
+    """Without case, each character by itself, so that parts of a word may be folded one after another."""
+    return word.casefold().encode("utf-8", "replace")
 
 
 def shortened(word: str) -> str:
     """How a word stands in patterns: in lower case, or by its digest."""
-    return word.lower() if len(word) <= 100 else "#" + hashlib.sha1(word.lower().encode("utf-8", "replace")).hexdigest()
+    return word.lower() if len(word) <= LONG else "#" + hashlib.sha1(folded(word)).hexdigest()
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
@@ -127,14 +163,14 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             bases, seens = [], []
             for text in batch.column(1).to_pylist():
-                base, seen = base_entities(text or ""), []
+                base, seen, patterns = base_entities(text or ""), [], Contexts(text or "")
                 reach = [0, *itertools.accumulate((z for _, _, z in base), max)]
                 for a, k, z in base:
-                    one, two = contexts(text, a)
+                    one, two = patterns.before(a)
                     seen.append({"start": a, "end": z, "seed": True, "shape": DIGITS if k else MAIL, "instance": text[a:z], "one": one, "two": two})
                 for at, a, z, shape in candidates(text or "", base):
                     if a >= reach[bisect.bisect_left(base, (z,))]:  # the last end of base spans that start before z
-                        one, two = contexts(text, at)
+                        one, two = patterns.before(at)
                         seen.append({"start": a, "end": z, "seed": False, "shape": shape, "instance": text[a:z], "one": one, "two": two})
                 bases.append([{"start": a, "rank": k, "end": z} for a, k, z in base])
                 seens.append(seen)

@@ -1,8 +1,9 @@
 """What trusted contexts discover, how much of it, and how far back contexts are read."""
 
 import random
+import time
 
-from ledgerline.llm.pii import contexts, with_spans
+from ledgerline.llm.pii import Contexts, base_entities, contexts, shortened, with_spans
 
 FILL = "so then they went on to see what had been said about it before the next one came along".split()
 
@@ -52,3 +53,30 @@ def test_contexts_reach_back_as_far_as_needed():
     long = "W" * 700
     one, two = contexts(f"tel {long} 7", 705)
     assert one.startswith("#") and len(one) == 41 and two == f"tel {one}"
+
+
+def brute_contexts(text, start):
+    words = text[:start].translate({ord(c): " " for c in "\t\n\v\f\r"}).split(" ")
+    one, two = ["^", "^", *(shortened(w) for w in words if w)][-1:-3:-1]
+    return one, f"{two} {one}"
+
+
+def test_contexts_of_all_places_equal_brute_force():
+    r = random.Random(9)
+    for _ in range(60):
+        text = "".join(r.choice([" ", "\n", "\xa0", "Ab", "xΣ", "y" * 99, "Q" * 101, " " * 250, "ß" * 300, "\x1c"]) for _ in range(r.randint(0, 30)))
+        every = Contexts(text)
+        assert [every.before(k) for k in range(len(text) + 1)] == [brute_contexts(text, k) for k in range(len(text) + 1)]
+
+
+def test_contexts_take_time_in_proportion_to_texts_without_spaces():
+    def seconds(n):
+        text = "write:a@b.org;" * n
+        began, every = time.process_time(), Contexts(text)
+        got = [every.before(a) for a, _, _ in base_entities(text)]
+        assert len(set(got)) == n
+        return time.process_time() - began
+
+    seconds(1000)
+    small, large = seconds(20_000), seconds(160_000)
+    assert large < 16 * small and large < 30
