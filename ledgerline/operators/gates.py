@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ledgerline.functions.globs import glob_regex
 
+from .pieces import with_neighbours
 from .sizes import broadcast_if_small
 
 #: Allowed review transitions and their actions.
@@ -28,8 +29,8 @@ def review_actions(rows: DataFrame) -> DataFrame:
 
 def chain_status(signed: DataFrame, key: str, order: str) -> DataFrame:
     """(key, signatures, chain_ok): each signature names the hash of the one before it, the first an empty one."""
-    before = F.coalesce(F.lag("record_hash").over(Window.partitionBy(key).orderBy(order)), F.lit(""))
-    return signed.withColumn("ok_", F.col("previous_hash") == before).groupBy(key).agg(F.count(F.lit(1)).alias("signatures"), F.bool_and("ok_").alias("chain_ok"))
+    rows = with_neighbours(signed.select(key, order, "record_hash", "previous_hash"), key, [order], "record_hash", "before_")
+    return rows.withColumn("ok_", F.col("previous_hash") == F.coalesce("before_", F.lit(""))).groupBy(key).agg(F.count(F.lit(1)).alias("signatures"), F.bool_and("ok_").alias("chain_ok"))
 
 
 def matrix_coverage(rows: DataFrame, key: str) -> DataFrame:

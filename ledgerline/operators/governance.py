@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.spans import with_bytes
 from ledgerline.functions.globs import glob_regex
 from ledgerline.functions.text import is_blank, tokens_by_words, word_count
 
+from .pieces import ranked, with_neighbours
+
 #: What a qualified claim states, and the least share of typed blocks and of resolved references.
 CLAIM_FIELDS = ("intended_use", "owner", "risk_classification", "external_ref", "control_requirement", "implementation_ref", "verification_ref", "evidence_artifact", "release_gate")
 ROLE_RATIO, REFERENCE_RATIO = 0.8, 0.9
@@ -79,6 +81,42 @@ def certification(atoms: DataFrame, sources: DataFrame, coverage: float = 95.0,
     return rows.select("document", level.alias("level"), F.array_join(F.concat(blocking, other), ",").alias("findings"))
 
 
+def certificates(atoms: DataFrame, sources: DataFrame, coverage: float = 95.0, loss: float = 0.05, lossless: bool = False) -> DataFrame:
+    """(document, level, atoms, findings, blocking, codes, chain_hash): a certificate for each of ``sources(document, source_hash, total_bytes, covered_bytes, lost_bytes, blocks)``.
+
+    ``atoms(document, atom_id, text, start_line, end_line, content_hash)``. The chain hash is that of the source's hash and then the atoms' in the order of
+    their ids (of equal ids, by hash); atoms without a hash break it and are left out. It is read in one piece, so a document's hashes are in one task, its texts are not.
+    An id that occurs twice is one finding, other faults of atoms one each, empty texts one in all. Nulls are empty; a document without atoms has no chain hash.
+    """
+    at = lambda c: F.coalesce(c, F.lit(0))
+    hashed = F.coalesce("content_hash", F.lit(""))
+    per = atoms.select("document", F.coalesce("atom_id", F.lit("")).alias("id"), is_blank(F.col("text")).alias("empty"), at("start_line").alias("a"), at("end_line").alias("z"), F.when(hashed != "", hashed).alias("hash"))
+    per = per.groupBy("document", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("empty").alias("empty"), F.count_if((F.col("a") == 0) & (F.col("z") == 0)).alias("spanless"), F.count_if((F.col("a") > F.col("z")) & (F.col("z") > 0)).alias("inverted"),
+        F.count_if(F.col("hash").isNull()).alias("unhashed"), F.array_sort(F.collect_list("hash")).alias("hashes"),
+    )
+    links = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "hashes"))), lambda x: x["hashes"])), "")
+    per = per.groupBy("document").agg(
+        *(F.sum(c).alias(c) for c in ("n", "empty", "spanless", "inverted", "unhashed")), F.sum(F.when(F.col("id") == "", F.col("n")).otherwise(0)).alias("nameless"), F.count_if((F.col("id") != "") & (F.col("n") > 1)).alias("twice"), links.alias("links")
+    )
+    rows = sources.join(per, "document", "left").na.fill(0, ["n", "empty", "spanless", "inverted", "unhashed", "nameless", "twice"])
+    whole = F.col("total_bytes") > 0
+    pct = F.when(whole, F.col("covered_bytes") / F.col("total_bytes") * 100).when(F.col("blocks") > 0, 100.0).otherwise(0.0)
+    ratio, one = F.when(whole, F.col("lost_bytes") / F.col("total_bytes")).otherwise(0.0), lambda on: on.cast("long")
+    mostly = F.col("empty") * 2 > F.col("n")
+    rules = [
+        ("LOW_COVERAGE", True, one(pct < coverage)), ("HIGH_LOSS", True, one(ratio > loss)), ("NOT_LOSSLESS", True, one(F.lit(lossless) & (F.col("lost_bytes") > 0))), ("EMPTY_ATOM_ID", True, F.col("nameless")), ("DUPLICATE_ATOM_ID", True, F.col("twice")),
+        ("MISSING_SOURCE_SPAN", False, F.col("spanless")), ("INVALID_SOURCE_SPAN", True, F.col("inverted")), ("MISSING_CONTENT_HASH", True, F.col("unhashed")), ("EXCESSIVE_EMPTY_ATOMS", True, one(mostly)), ("EMPTY_ATOMS", False, one(~mostly & (F.col("empty") > 0))),
+        ("NO_ATOMS", True, one(F.col("n") == 0)),
+    ]
+    found = F.filter(F.array(*(F.struct(F.lit(code).alias("code"), F.lit(blocks).alias("blocks"), n.alias("n")) for code, blocks, n in rules)), lambda x: x["n"] > 0)
+    count = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    out = rows.withColumn("found", found).withColumn("blocking", count(F.filter("found", lambda x: x["blocks"])))
+    level = F.when(F.col("blocking") > 0, "failed").when(F.size("found") > 0, "provisional").otherwise("certified")
+    chain = F.when(F.col("n") > 0, F.concat(F.lit("sha256:"), F.sha2(F.concat(F.coalesce("source_hash", F.lit("")), "links"), 256))).otherwise("")
+    return out.select("document", level.alias("level"), F.col("n").alias("atoms"), count(F.col("found")).alias("findings"), "blocking", F.array_join(F.transform("found", lambda x: x["code"]), ",").alias("codes"), chain.alias("chain_hash"))
+
+
 def checks_gate(checks: DataFrame) -> DataFrame:
     """One row of checks (category, status, score, blocking): the mean score, and whether no blocking check failed."""
     return checks.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("score"), (~F.coalesce(F.bool_or(F.col("blocking") & (F.col("status") == "failed")), F.lit(False))).alias("passes"), F.count_if(F.col("status") == "failed").alias("failed"))
@@ -131,8 +169,8 @@ def compose_chunks(units: DataFrame, least_tokens: int, least_chars: int, stop_l
 
 def child_lists(segments: DataFrame) -> DataFrame:
     """(segment_id, position, child_id): children of each segment by start byte, then id, as rows."""
-    nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("start_byte", "segment_id"))
-    kids = segments.where(said("parent_id")).select(F.col("parent_id"), F.col("segment_id").alias("child_id"), nth.alias("position"))
+    kids = ranked(segments.where(said("parent_id")).select("parent_id", "start_byte", "segment_id"), "parent_id", ["start_byte", "segment_id"], "position")
+    kids = kids.select("parent_id", F.col("segment_id").alias("child_id"), F.col("position").cast("int").alias("position"))
     return kids.join(segments.select(F.col("segment_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("parent_id").alias("segment_id"), "position", "child_id")
 
 
@@ -166,8 +204,7 @@ def shared_terms(terms: DataFrame) -> DataFrame:
 
 def neighbours(blocks: DataFrame) -> DataFrame:
     """Adds the roles of the previous and the next sibling of blocks (parent, position, role)."""
-    w = Window.partitionBy("parent").orderBy("position")
-    return blocks.withColumns({"previous_role": F.lag("role").over(w), "next_role": F.lead("role").over(w)})
+    return with_neighbours(blocks, "parent", ["position"], "role", "previous_role", "next_role")
 
 
 def typed_counts(blocks: DataFrame, key: str, kinds: tuple[str, ...]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import is_blank
 from ledgerline.sources.shared import ensure_checkpoints
 
+from .pieces import running_max
 from .segments import duplicate_findings
 
 #: What alone makes no atom (a table separator line has no other characters), and what backs no chunk.
@@ -43,9 +44,8 @@ def uncovered_ranges(segments: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, start_byte, end_byte) of ``sources(source_id, total_bytes)`` that no segment covers, the ends included."""
     spans = segments.where("start_byte <= end_byte").select("source_id", "start_byte", "end_byte")
     ends = sources.select("source_id", F.explode(F.array(F.lit(0).cast("long"), F.col("total_bytes").cast("long"))).alias("start_byte")).withColumn("end_byte", F.col("start_byte"))
-    w = Window.partitionBy("source_id").orderBy("start_byte", "end_byte").rowsBetween(Window.unboundedPreceding, -1)
     known = spans.join(sources.select("source_id"), "source_id", "left_semi")
-    gaps = known.unionByName(ends).withColumn("reach", F.max("end_byte").over(w)).where("start_byte > reach")
+    gaps = running_max(known.unionByName(ends), "source_id", ["start_byte", "end_byte"], "end_byte", "reach").where("start_byte > reach")
     return gaps.select("source_id", F.col("reach").alias("start_byte"), F.col("start_byte").alias("end_byte"))
 
 

@@ -9,6 +9,7 @@ from ledgerline.functions.arrays import running_sums
 from ledgerline.functions.text import is_blank, normalized_hash, raw_hash
 from ledgerline.sources.shared import ensure_checkpoints
 
+from .pieces import ranked, running_max
 from .sizes import join_counted
 
 
@@ -52,9 +53,8 @@ def ledger_totals(ledger: DataFrame, groups: list[str]) -> DataFrame:
 
 def span_gaps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, gap_start, gap_end): ranges between merged spans, by the running end of all earlier spans."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("reach", reach).where(F.col(start) > F.col("reach")).select(F.col(key), F.col("reach").alias("gap_start"), F.col(start).alias("gap_end"))
+    rows = running_max(spans.select(key, start, end), key, [start, end], end, "reach")
+    return rows.where(F.col(start) > F.col("reach")).select(F.col(key), F.col("reach").alias("gap_start"), F.col(start).alias("gap_end"))
 
 
 def duplicate_findings(units: DataFrame, key: str, order: list[str], blocking: int = 3, warning: int = 2) -> DataFrame:
@@ -82,8 +82,8 @@ def length_buckets(units: DataFrame, key: str, tokens: Column, chars: Column) ->
 
 def unique_ids(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
     """Adds unit_id: the base, with -02, -03 … for later occurrences in order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return rows.withColumn("unit_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.format_string("-%02d", n))))
+    n = F.col("nth_")
+    return ranked(rows, base, order, "nth_").withColumn("unit_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.format_string("-%02d", n)))).drop("nth_")
 
 
 def priority_merge(rows: DataFrame, key: str, priority: str, order: list[str]) -> DataFrame:
