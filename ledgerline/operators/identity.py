@@ -78,12 +78,12 @@ def snapshot_root(records: DataFrame) -> DataFrame:
     return merkle_levels(sequenced(records.select("source_id", "version_id", leaf_hash().alias("hash")), ["source_id", "version_id"]))[-1].select("hash")
 
 
-def verify_snapshot(records: DataFrame, root: str | Column, sources: int | Column, versions: int | Column) -> DataFrame:
-    """One row: whether faults, counts or the recomputed root refuse the snapshot, in this order, and the root."""
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    stated = F.regexp_replace(F.lower(F.trim(as_column(root))), "^sha256:", "")
+def verify_snapshot(records: DataFrame, stated: DataFrame) -> DataFrame:
+    """(sources, versions, faults, root, refusal) for each row of ``stated(root, sources, versions)``: faults, counts or the recomputed root of the records refuse what is stated, in this order."""
     counts = records.agg(F.countDistinct("source_id").alias("sources"), F.count(F.lit(1)).alias("versions"))
     faults = record_findings(records).agg(F.count(F.lit(1)).alias("faults"))
-    out = counts.crossJoin(faults).crossJoin(snapshot_root(records).withColumnRenamed("hash", "root"))  # one row each
-    refusal = F.when(F.col("faults") > 0, "record_faults").when(F.col("sources") != as_column(sources), "source_count").when(F.col("versions") != as_column(versions), "version_count").when(F.col("root") != stated, "root_differs")
-    return out.select("sources", "versions", "faults", "root", F.coalesce(refusal, F.lit("")).alias("refusal"))
+    found = counts.crossJoin(faults).crossJoin(snapshot_root(records).withColumnRenamed("hash", "root"))  # one row each
+    said = stated.select(F.regexp_replace(F.lower(F.trim("root")), "^sha256:", "").alias("said_root"), F.col("sources").alias("said_sources"), F.col("versions").alias("said_versions"))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"said_{c}"))
+    refusal = F.when(F.col("faults") > 0, "record_faults").when(differs("sources"), "source_count").when(differs("versions"), "version_count").when(differs("root"), "root_differs")
+    return said.crossJoin(F.broadcast(found)).select("sources", "versions", "faults", "root", F.coalesce(refusal, F.lit("")).alias("refusal"))

@@ -1,12 +1,14 @@
-"""Windows in pieces against brute force: a hot key over many pieces, rows without a key, ties, and no rows."""
+"""Windows in pieces against brute force (a hot key over many pieces, rows without a key, ties, no rows); odd cases of certificates, reports and stated snapshots."""
 
 import random
 
 import pytest
 
 from ledgerline.operators import governance as gv
+from ledgerline.operators import identity as idt
 from ledgerline.operators import quality as qu
 from ledgerline.operators.pieces import ranked, running_max, with_neighbours
+from ledgerline.sources.shared import ensure_checkpoints
 
 
 def rows(n, seed):
@@ -59,3 +61,14 @@ def test_certificates_of_odd_documents(spark):
 def test_verdicts_of_reports(spark):
     say = lambda *severities: qu.report_verdict(spark.createDataFrame([(s,) for s in severities], "severity string")).first()["status"]
     assert say() == say("informational") == "pass" and say("informational", "warning") == "warn" and say("warning", "blocking") == "fail"
+
+
+def test_snapshots_against_what_is_stated(spark):
+    records = spark.createDataFrame([("s1", "v1", "l", "sha256:" + "0" * 64, "2026-01-01T00:00:00Z"), ("s1", "v2", "l", "sha256:" + "1" * 64, "2026-01-01T00:00:00Z"), ("s2", "v3", "l", "sha256:" + "2" * 64, "2026-01-01T00:00:00Z")], "source_id string, version_id string, locator string, content_hash string, captured_at string")
+    ensure_checkpoints(spark)
+    root = idt.snapshot_root(records).first()["hash"]
+    stated = [(f" SHA256:{root} ", 2, 3), (root, 3, 3), (root, 2, None), (None, 2, 3), ("sha256:00", 2, 3), ("sha256:00", 9, 9)]
+    got = [r["refusal"] for r in idt.verify_snapshot(records, spark.createDataFrame(stated, "root string, sources long, versions long").coalesce(1)).collect()]
+    assert got == ["", "source_count", "version_count", "root_differs", "root_differs", "source_count"]
+    faulty = records.unionByName(records.limit(1))
+    assert {r["refusal"] for r in idt.verify_snapshot(faulty, spark.createDataFrame(stated, "root string, sources long, versions long")).collect()} == {"record_faults"}
