@@ -87,7 +87,8 @@ def unique_ids(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
 
 
 def priority_merge(rows: DataFrame, key: str, priority: str, order: list[str]) -> DataFrame:
-    """One row per key: the lowest priority number, then the first in order; ``layers`` counts the different priorities."""
+    """One row per key: the lowest priority number, then the first in order, nulls last; ``layers`` counts the different priorities. Rows equal in both are told apart by their other columns, so the choice never depends on partitions."""
     cols = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(priority, *order)).alias("best"), F.countDistinct(priority).alias("layers"))
+    first = [priority, *order, *(c for c in cols if c not in (priority, *order))]
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*(x for c in first for x in (F.col(c).isNull(), F.col(c))))).alias("best"), F.countDistinct(priority).alias("layers"))
     return best.select(key, "best.*", "layers")
