@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SPACES = r"(?U)\s+"
 GROUP, HEADING, BODY = " · ", " › ", "\n\n"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once a row: a Column that ``f`` names several times, or that a filter is pushed below, is otherwise computed for each of them."""
+    return F.transform(F.array(value), f)[0]
+
+
 def raw_hash(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 

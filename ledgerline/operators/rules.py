@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import is_blank, slug
+from ledgerline.functions.text import is_blank, once, slug
 from ledgerline.sources.files import IMAGE, OFFICE
 
 #: Roles by kind of block, words of a heading that decide, and patterns of each role in the order in which they are tried.
@@ -77,17 +77,19 @@ def classified_blocks(nodes: DataFrame) -> DataFrame:
 
 def short_disposition(fragment: Column, hint: Column, kind: Column, header: Column, embedded: Column) -> Column:
     """What a fragment of at most ``SHORT`` characters is, by what it says, by its column or path (``hint``) and by the kind of its node; null for longer or empty ones."""
+    meaning = "[^" + "".join("\\" + c for c in JUNK) + r"\s]"  # a separator line of a table has no other characters than JUNK
+    two = lambda x: rf"{x}.*{x}"
+
+    def found(text: Column, low: Column, x: Column) -> Column:
+        return first_of([
+            (~text.rlike("(?U)" + meaning), "non_semantic"), (x["header"], "non_semantic"), (x["embedded"], "contextualized_in_parent"),
+            (low.isin(*CONTROLLED) | (x["kind"] == "scalar_bool") | F.lower(x["hint"]).rlike("|".join(VALUE_HINTS)), "normative_value_atom"), (text.rlike(r"\p{L}") & text.rlike(r"\p{Nd}"), "identifier_atom"),
+            (~text.rlike(r"[^\p{L}+&/_-]") & text.rlike("(?s)" + two(r"\p{L}")) & text.rlike("(?s)" + two(r"[\p{Lu}+&/]")), "lexicon_atom"), (low.isin(*LABELS) | (x["kind"] == "scalar_null"), "non_semantic"),
+        ]).otherwise("requires_review")
+
     text = F.regexp_replace(F.coalesce(fragment, F.lit("")), r"(?U)^\s+|\s+$", "")
-    low, junk = F.lower(text), "[" + "".join("\\" + c for c in JUNK) + "]"
-    kind, where = F.coalesce(kind, F.lit("")), F.lower(F.coalesce(hint, F.lit("")))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    marked = F.length(F.regexp_replace(text, r"[^\p{Lu}+&/]", ""))
-    found = first_of([
-        (text.rlike(rf"(?U)^({junk}|\s)*$") | text.rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$"), "non_semantic"), (header, "non_semantic"), (embedded, "contextualized_in_parent"),
-        (low.isin(*CONTROLLED) | (kind == "scalar_bool") | where.rlike("|".join(VALUE_HINTS)), "normative_value_atom"), (text.rlike(r"\p{L}") & text.rlike(r"\p{Nd}"), "identifier_atom"),
-        (~text.rlike(r"[^\p{L}+&/_-]") & (letters >= 2) & (marked >= 2), "lexicon_atom"), (low.isin(*LABELS) | (kind == "scalar_null"), "non_semantic"),
-    ])
-    return F.when((text != "") & (F.length(text) <= SHORT), F.coalesce(found, F.lit("requires_review")))
+    fields = F.struct(text.alias("text"), F.coalesce(hint, F.lit("")).alias("hint"), F.coalesce(kind, F.lit("")).alias("kind"), header.alias("header"), embedded.alias("embedded"))
+    return once(fields, lambda x: F.when((x["text"] != "") & (F.length(x["text"]) <= SHORT), once(F.lower(x["text"]), lambda low: found(x["text"], low, x))))
 
 
 def promoted_id(disposition: Column, fragment: Column, scope: Column) -> Column:

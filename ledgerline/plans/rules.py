@@ -88,8 +88,9 @@ def short_critical_atoms(spark, d):
     for i, m in enumerate(MADE):
         made = F.when(p % len(MADE) == i, F.expr(m)).otherwise(made)
     rows = words.select("doc_id", made.alias("t"), _one_of(F.floor(p / 10), HINTS).alias("hint"), _one_of(F.floor(p / 7), NODE_KINDS).alias("kind"), (p % 13 == 5).alias("header"), (p % 17 == 6).alias("embedded"))
-    rows = rows.withColumn("disposition", ru.short_disposition(*(F.col(c) for c in ("t", "hint", "kind", "header", "embedded")))).where("disposition is not null")
-    return rows.groupBy("doc_id", "disposition", ru.promoted_id(F.col("disposition"), F.col("t"), F.col("hint")).alias("artifact")).agg(F.count(F.lit(1)).alias("fragments"))
+    rows = rows.withColumn("disposition", ru.short_disposition(*(F.col(c) for c in ("t", "hint", "kind", "header", "embedded"))))
+    groups = rows.groupBy("doc_id", "disposition", ru.promoted_id(F.col("disposition"), F.col("t"), F.col("hint")).alias("artifact")).agg(F.count(F.lit(1)).alias("fragments"))
+    return groups.where("if(disposition is null, 0, fragments) > 0")  # one group a document; a filter on the rows would judge each word twice
 
 
 # -- admission ------------------------------------------------------------------------------------------------------

@@ -18,3 +18,8 @@ def test_priority_merge_never_depends_on_partitions(spark):
         df = spark.createDataFrame(order, "k int, p int, o int, s int").coalesce(1)
         got = {tuple(r) for r in segments.priority_merge(df, "k", "p", ["o"]).select("k", "p", "o", "s", "layers").collect()}
         assert got == {(1, 2, 5, 10, 2), (2, 4, 9, 9, 1)}
+
+
+def test_short_words_are_judged_once(spark):
+    plan = plan_of(rules.short_critical_atoms(spark, DATA))
+    assert plan.count("upper(w") == 2 and plan.count(r"(?U)^\s+|\s+$") == 1  # as many as are written
