@@ -34,7 +34,7 @@ def normalized_hash(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, SPACES, ""), F.lit("")) == ""
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
 
 
 def word_count(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import fold_latin, is_blank, semantic_tokens, word_count
+from ledgerline.functions.text import fold_latin, is_blank, once, semantic_tokens, word_count
 
 from .integrity import is_junk_atom
 
@@ -69,31 +69,34 @@ def _folded(c: Column) -> Column:
     return fold_latin(F.trim(c))
 
 
-def is_placeholder(c: Column) -> Column:
-    f = _folded(c)
+def _placeholder(folded: Column) -> Column:
     out = F.lit(False)
     for phrase in PLACEHOLDER_PHRASES:
-        out = out | f.contains(phrase)
+        out = out | folded.contains(phrase)
     return out
 
 
+def _reference_only(folded: Column) -> Column:
+    return once(F.regexp_replace(folded, r"^[-*+0-9.) ]+", ""), lambda f: f.startswith("statut :") | f.startswith("status :") | f.rlike(CHAPTER_REFERENCE))
+
+
+def is_placeholder(c: Column) -> Column:
+    return once(_folded(c), _placeholder)
+
+
 def is_lead_in(c: Column) -> Column:
-    return _folded(c).endswith(":") & (semantic_tokens(_folded(c)) >= 3)
+    return once(_folded(c), lambda f: f.endswith(":") & (semantic_tokens(f) >= 3))
 
 
 def is_reference_only(c: Column) -> Column:
-    f = F.regexp_replace(_folded(c), r"^[-*+0-9.) ]+", "")
-    return f.startswith("statut :") | f.startswith("status :") | f.rlike(CHAPTER_REFERENCE)
+    return _reference_only(_folded(c))
 
 
 def atom_rejection(raw: Column) -> Column:
-    """Why a text makes no atom: the first of ten reasons, null for an atom."""
-    t = F.trim(raw)
-    plain = inline_plain(t)
-    return (
-        F.when(is_blank(t), "blank").when(t.rlike(CONTENTS_LINK), "contents_link").when(t.rlike(PLACEHOLDER), "bracketed").when(is_blank(plain), "no_text").when(t.rlike(STRONG_LABEL), "label")
-        .when(is_reference_only(plain), "reference").when(is_placeholder(plain), "placeholder").when(is_lead_in(plain), "lead_in").when(semantic_tokens(plain) <= 2, "few_tokens").when(is_junk_atom(plain), "junk")
-    )
+    """Why a text makes no atom: the first of ten reasons, null for an atom. The trimmed, the plain and the folded text are each computed once."""
+    by_words = lambda plain, f: F.when(_reference_only(f), "reference").when(_placeholder(f), "placeholder").when(f.endswith(":") & (semantic_tokens(f) >= 3), "lead_in").when(semantic_tokens(plain) <= 2, "few_tokens").when(is_junk_atom(plain), "junk")
+    by_plain = lambda t, plain: F.when(is_blank(plain), "no_text").when(t.rlike(STRONG_LABEL), "label").otherwise(once(_folded(plain), lambda f: by_words(plain, f)))
+    return once(F.trim(raw), lambda t: F.when(is_blank(t), "blank").when(t.rlike(CONTENTS_LINK), "contents_link").when(t.rlike(PLACEHOLDER), "bracketed").otherwise(once(inline_plain(t), lambda plain: by_plain(t, plain))))
 
 
 def emitted(kind: Column, text: Column, level: Column, least_bytes: int, depth: int, kinds: tuple[str, ...]) -> Column:

@@ -23,3 +23,7 @@ def test_priority_merge_never_depends_on_partitions(spark):
 def test_short_words_are_judged_once(spark):
     plan = plan_of(rules.short_critical_atoms(spark, DATA))
     assert plan.count("upper(w") == 2 and plan.count(r"(?U)^\s+|\s+$") == 1  # as many as are written
+
+
+def test_atom_texts_folds_a_line_once(spark):
+    assert plan_of(integrity.atom_texts(spark, DATA)).count("translate(") <= 2  # once for lines, once for samples
