@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import is_blank
+from ledgerline.functions.text import is_blank, once
 from ledgerline.sources.shared import ensure_checkpoints
 
 from .pieces import running_max
@@ -21,23 +23,27 @@ def is_junk_atom(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(JUNK)
 
 
-def _invalid_range() -> Column:
-    one_line = (F.col("start_line") == F.col("end_line")) & (F.col("start_column") > F.col("end_column"))
-    return (F.col("start_byte") > F.col("end_byte")) | (F.col("start_line") > F.col("end_line")) | one_line
+def _invalid_range(of: Callable[[str], Column] = F.col) -> Column:
+    one_line = (of("start_line") == of("end_line")) & (of("start_column") > of("end_column"))
+    return (of("start_byte") > of("end_byte")) | (of("start_line") > of("end_line")) | one_line
 
 
 def segment_error() -> Column:
-    """The first rule that a segment breaks, else null."""
-    atom = F.col("disposition") == "canonical_atom"
-    blanks = F.when(F.lit(False), "")
-    for c in ("segment_id", "source_id", "source_path", "kind"):
-        blanks = blanks.when(is_blank(F.col(c)), f"{c} must be non-empty")
-    return (
-        blanks.when(~F.col("disposition").isin(*DISPOSITIONS) | F.col("disposition").isNull(), "disposition is not a recognised value")
-        .when(F.col("start_byte") > F.col("end_byte"), "start_byte must be <= end_byte").when(F.col("start_line") > F.col("end_line"), "start_line must be <= end_line").when(_invalid_range(), "start_column must be <= end_column")
-        .when((F.col("disposition") == "unsupported_blocking") & is_blank(F.col("unsupported_reason")), "unsupported_reason must be non-empty")
-        .when(atom & is_blank(F.col("raw_text_hash")), "raw_text_hash must be non-empty").when(atom & is_blank(F.col("normalized_text_hash")), "normalized_text_hash must be non-empty")
-    )
+    """The first rule that a segment breaks, else null. Each column is named once, so a filter on the error doesn't multiply what the columns are computed from."""
+    named = ("segment_id", "source_id", "source_path", "kind")
+
+    def broken(x: Column) -> Column:
+        atom, blanks = x["disposition"] == "canonical_atom", F.when(F.lit(False), "")
+        for c in named:
+            blanks = blanks.when(is_blank(x[c]), f"{c} must be non-empty")
+        return (
+            blanks.when(~x["disposition"].isin(*DISPOSITIONS) | x["disposition"].isNull(), "disposition is not a recognised value")
+            .when(x["start_byte"] > x["end_byte"], "start_byte must be <= end_byte").when(x["start_line"] > x["end_line"], "start_line must be <= end_line").when(_invalid_range(lambda c: x[c]), "start_column must be <= end_column")
+            .when((x["disposition"] == "unsupported_blocking") & is_blank(x["unsupported_reason"]), "unsupported_reason must be non-empty")
+            .when(atom & is_blank(x["raw_text_hash"]), "raw_text_hash must be non-empty").when(atom & is_blank(x["normalized_text_hash"]), "normalized_text_hash must be non-empty")
+        )
+
+    return once(F.struct(*named, "disposition", "start_byte", "end_byte", "start_line", "end_line", "start_column", "end_column", "unsupported_reason", "raw_text_hash", "normalized_text_hash"), broken)
 
 
 def uncovered_ranges(segments: DataFrame, sources: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def disposition(line: Column) -> Column:
     """What a line is: blank, heading, rule, table, list_item, quote, code or paragraph."""
     return (
         F.when(is_blank(line), "blank").when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"^(\*{3,}|-{3,}|_{3,})\s*$"), "rule").when(line.rlike(r"^(```|~~~)"), "code")
-        .when(line.rlike(r"\|"), "table").when(line.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list_item").when(line.rlike(r"^\s*>"), "quote").otherwise("paragraph")
+        .when(line.contains("|"), "table").when(line.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list_item").when(line.rlike(r"^\s*>"), "quote").otherwise("paragraph")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import once
 from ledgerline.operators import audit as au
 from ledgerline.operators import integrity as ig
 from ledgerline.operators import selection as sl
@@ -35,12 +36,13 @@ JUNK = r"regexp_full_match({}, '[-_*~|.,;:!?()\[\]{{}}<>+=`\s]*')"
 
 def _segments(spark, d):
     n = F.col("line_no")
-    disposition = F.when(n % 50 == 49, "unsupported_blocking").when(F.col("kind") == "blank", "coverage_only").when(F.col("kind") == "heading", "structure_only").otherwise("canonical_atom")
+    disposition = F.when(n % 50 == 49, "unsupported_blocking").otherwise(once(F.col("kind"), lambda k: F.when(k == "blank", "coverage_only").when(k == "heading", "structure_only").otherwise("canonical_atom")))
     rows = _kinds(spark, d).select(
         F.concat_ws(":", "source", "line_no").alias("segment_id"), F.col("source").cast("string").alias("source_id"), F.lit("p").alias("source_path"), "line_no", "kind", F.col("line").alias("text"), "start_byte", (F.col("end_byte") + 1).alias("end_byte"), disposition.alias("disposition"),
         (n + 1).alias("start_line"), F.when(n % 47 == 46, n).otherwise(n + 1).alias("end_line"), F.lit(0).alias("start_column"), F.lit(0).alias("end_column"), F.when(n % 43 == 42, "").otherwise(F.col("line_hash")).alias("raw_text_hash"), F.col("line_hash").alias("normalized_text_hash"), F.lit("").alias("unsupported_reason"),
     )
-    return rows.where("line_no % 37 <> 36").unionByName(rows.where("line_no % 41 = 40").withColumn("segment_id", F.concat("segment_id", F.lit("d"))))
+    copies = F.array_compact(F.array(F.when(n % 37 != 36, ""), F.when(n % 41 == 40, "d")))  # lines are cut once for both
+    return rows.withColumn("copy_", F.explode(copies)).withColumn("segment_id", F.concat("segment_id", "copy_")).drop("copy_")
 
 
 def _sources(spark, d):

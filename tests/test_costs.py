@@ -27,3 +27,8 @@ def test_short_words_are_judged_once(spark):
 
 def test_atom_texts_folds_a_line_once(spark):
     assert plan_of(integrity.atom_texts(spark, DATA)).count("translate(") <= 2  # once for lines, once for samples
+
+
+def test_segment_errors_cuts_and_classifies_lines_once(spark):
+    plan = plan_of(integrity.segment_errors(spark, DATA))
+    assert plan.count("Relation [") == 1 and plan.count("^#{1,6}") <= 2  # in the filter, and for the rows that it keeps
