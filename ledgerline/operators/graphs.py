@@ -76,15 +76,19 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
 
 
 def merkle_proofs(levels: list[DataFrame]) -> DataFrame:
-    """(idx, leaf, path): for each leaf the siblings up to the root, as structs (side, hash)."""
-    out = levels[0].select("idx", F.col("hash").alias("leaf"), F.col("idx").alias("at"), F.array().cast("array<struct<side:string,hash:string>>").alias("path"))
-    for level in levels[:-1]:
-        sib = level.select(F.col("idx").alias("s_"), F.col("hash").alias("sh_"))
-        own = level.select(F.col("idx").alias("at"), F.col("hash").alias("own_"))
-        out = out.withColumn("s_", F.col("at") + F.when(F.col("at") % 2 == 0, 1).otherwise(-1)).join(sib, "s_", "left").join(own, "at")
-        hop = F.struct(F.when(F.col("at") % 2 == 0, "right").otherwise("left").alias("side"), F.coalesce("sh_", "own_").alias("hash"))
-        out = out.select("idx", "leaf", F.floor(F.col("at") / 2).cast("long").alias("at"), F.array_append("path", hop).alias("path"))
-    return out.select("idx", "leaf", "path")
+    """(idx, leaf, path): for each leaf the siblings up to the root, as structs (side, hash).
+
+    Paths grow from the root down: a node's path goes to its two children in one join of the two levels, checkpointed, so all joins together move about twice the leaves.
+    """
+    paths = levels[-1].select("idx", "hash", F.array().cast("array<struct<side:string,hash:string>>").alias("path"))
+    hop = lambda side, h: F.concat(F.array(F.struct(F.lit(side).alias("side"), F.col(h).alias("hash"))), F.col("path"))
+    kid = lambda idx, h, path: F.struct(idx.alias("idx"), F.col(h).alias("hash"), path.alias("path"))
+    for level in reversed(levels[:-1]):
+        pairs = level.groupBy(F.floor(F.col("idx") / 2).cast("long").alias("up")).agg(F.min_by("hash", "idx").alias("a"), F.max_by("hash", "idx").alias("b"), F.count(F.lit(1)).alias("n"))
+        both = pairs.join(paths.select(F.col("idx").alias("up"), "path"), "up")
+        kids = F.array_compact(F.array(kid(F.col("up") * 2, "a", hop("right", "b")), F.when(F.col("n") > 1, kid(F.col("up") * 2 + 1, "b", hop("left", "a")))))
+        paths = both.select(F.explode(kids).alias("x")).select("x.*").checkpoint()
+    return paths.select("idx", F.col("hash").alias("leaf"), "path")
 
 
 def fold_proof(leaf: Column, path: Column) -> Column:
