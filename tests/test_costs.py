@@ -64,3 +64,14 @@ def test_merkle_proofs_are_joined_level_by_level(spark):
     assert plan_of(proofs).count("Join") == 0  # all are in checkpoints, each moving one level
     root = levels[-1].first()["hash"]
     assert [r["r"] for r in proofs.select(graphs.fold_proof(F.col("leaf"), F.col("path")).alias("r")).collect()] == [root] * 11
+
+
+def test_parsers_keep_few_rows(spark):
+    """A batch of many texts goes out as many batches of few rows."""
+    from ledgerline.sources import batches
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["s"] * 9000), pa.array(["a\n\nb"] * 9000)], ["source", "text"])
+    out = list(batches.parsed(iter([batch]), lambda s, t: [(s, x) for x in t.split("\n")], ["s", "x"], [pa.string(), pa.string()]))
+    assert max(b.num_rows for b in out) <= batches.ROWS and sum(b.num_rows for b in out) == 27_000
+    long = pa.RecordBatch.from_arrays([pa.array(["s"] * 9), pa.array(["x" * batches.CHARS] * 9)], ["source", "text"])
+    assert [b.num_rows for b in batches.parsed(iter([long]), lambda s, t: [(s, t)], ["s", "x"], [pa.string(), pa.string()])] == [1] * 9
