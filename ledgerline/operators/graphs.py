@@ -48,18 +48,21 @@ def parent_chains(nodes: DataFrame, keep_unknown: bool = True) -> DataFrame:
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): 0 without incoming edges, else one more than the deepest source. Nodes of a cycle, and those behind one, have no level."""
+    """(node, level): 0 without incoming edges, else one more than the deepest source. Nodes of a cycle, and those behind one, have no level.
+
+    Joins are merges: a broadcast for each level would bring the nodes and edges to the driver again and again.
+    """
     done, level = None, 0
     left, open_edges = nodes.select("node"), edges.select("source", "target").where("source <> target").distinct()
     while True:
-        ready = left.join(open_edges.select(F.col("target").alias("node")), "node", "left_anti").checkpoint()
+        ready = left.join(open_edges.select(F.col("target").alias("node")).hint("merge"), "node", "left_anti").checkpoint()
         if not ready.limit(1).count():
             break
         done = ready.withColumn("level", F.lit(level)) if done is None else done.unionByName(ready.withColumn("level", F.lit(level)))
-        left = left.join(ready, "node", "left_anti").checkpoint()
-        open_edges = open_edges.join(ready.withColumnRenamed("node", "source"), "source", "left_anti").checkpoint()
+        left = left.join(ready.hint("merge"), "node", "left_anti").checkpoint()
+        open_edges = open_edges.join(ready.withColumnRenamed("node", "source").hint("merge"), "source", "left_anti").checkpoint()
         level += 1
-    return nodes.select("node").join(done, "node", "left") if done is not None else nodes.select("node", F.lit(None).cast("int").alias("level"))
+    return nodes.select("node").join(done.hint("merge"), "node", "left") if done is not None else nodes.select("node", F.lit(None).cast("int").alias("level"))
 
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:

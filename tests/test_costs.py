@@ -66,6 +66,12 @@ def test_merkle_proofs_are_joined_level_by_level(spark):
     assert [r["r"] for r in proofs.select(graphs.fold_proof(F.col("leaf"), F.col("path")).alias("r")).collect()] == [root] * 11
 
 
+def test_levels_send_nothing_to_the_driver(spark):
+    ensure_checkpoints(spark)
+    nodes, edges = spark.range(5).withColumnRenamed("id", "node"), spark.createDataFrame([(0, 1), (1, 2)], "source long, target long")
+    assert "rightHint=(strategy=merge)" in plan_of(graphs.topological_levels(nodes, edges))
+
+
 def test_parsers_keep_few_rows(spark):
     """A batch of many texts goes out as many batches of few rows."""
     from ledgerline.sources import batches
