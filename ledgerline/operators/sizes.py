@@ -14,6 +14,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def left_join_known(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows without a key take no part: a shuffle would bring all of them to one task."""
+    return rows.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
     """Rows joined with their groups (key, n, ...), both written tables: keys of very many rows, of which there are few, go by broadcast, the others by a shuffle, so that no task gets a large group."""
     many = max(1_000, (groups.agg(F.sum(n)).first()[0] or 0) // (BROADCAST_ROWS // 2))  # at most BROADCAST_ROWS / 2 keys have more rows

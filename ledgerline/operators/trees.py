@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import sequenced
+from .sizes import left_join_known
 
 BLOCK = 1024
 
@@ -45,7 +46,7 @@ def tree_digests(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     Depth grows from parent to child, by one or more; each depth is one aggregation, deepest first. A null parent is a root.
     """
     above = nodes.select(F.col("node").alias("parent"), F.col("depth").alias("above"))
-    rows = nodes.select("node", "parent", "place", "siblings", "depth", "payload").join(above, "parent", "left").checkpoint()
+    rows = left_join_known(nodes.select("node", "parent", "place", "siblings", "depth", "payload"), above, "parent").checkpoint()
     levels = sorted((r["depth"] for r in rows.select("depth").distinct().collect()), reverse=True)  # one for each depth of the tree
     done: list[DataFrame] = []
     for level in levels:
@@ -85,23 +86,26 @@ def chain_report(envelopes: DataFrame) -> DataFrame:
     ``duplicate`` (another has the same hash; links go to the least envelope), ``cycle`` (its chain has no start). ``start`` is the chain's first
     envelope, ``length`` the number of links to it, ``broken`` the first envelope on the way from the start that is tampered or whose previous is missing; all null in a cycle.
 
-    Each round doubles how far back a row has looked, so a chain of n links takes log2(n) joins.
+    Each round doubles how far back a row has looked, so a chain of n links takes log2(n) joins. Rows that have reached a start join no more.
     """
     rows = envelopes.select("envelope", "content", "previous", "hash").checkpoint()
     targets = rows.groupBy("hash").agg(F.min("envelope").alias("target"), F.count(F.lit(1)).alias("alike")).checkpoint()
     heirs = rows.where("previous is not null").groupBy("previous").agg(F.count(F.lit(1)).alias("heirs"))
-    known = rows.join(targets, "hash", "left").join(targets.select(F.col("hash").alias("previous"), F.col("target").alias("before")), "previous", "left").join(heirs, "previous", "left")
+    before = targets.select(F.col("hash").alias("previous"), F.col("target").alias("before")).join(heirs, "previous", "full")
+    known = left_join_known(left_join_known(rows, targets, "hash"), before, "previous")
     tampered, missing = envelope_hash(F.col("content"), F.col("previous")) != F.coalesce("hash", F.lit("")), F.col("previous").isNotNull() & F.col("before").isNull()
     own = known.select(
         "envelope", "before", (tampered | missing).alias("bad"),
         F.array_compact(F.array(F.when(tampered, "tampered"), F.when(missing, "missing"), F.when(F.col("heirs") > 1, "forked"), F.when(F.col("alike") > 1, "duplicate"))).alias("codes"),
     ).checkpoint()
     at = own.select("envelope", F.col("before").alias("to"), F.when(F.col("before").isNotNull(), 1).otherwise(0).cast("long").alias("length"), F.coalesce("before", "envelope").alias("start"), F.when(F.col("bad"), F.col("envelope")).alias("broken")).checkpoint()
-    span, total = 1, own.count()
-    while span <= total and at.where("to is not null").limit(1).count():
-        far = at.select(F.col("envelope").alias("to"), F.col("to").alias("to2"), F.col("length").alias("length2"), F.col("start").alias("start2"), F.col("broken").alias("broken2"))
-        at = at.join(far, "to", "left").select("envelope", F.col("to2").alias("to"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), F.coalesce("start2", "start").alias("start"), F.coalesce("broken2", "broken").alias("broken")).checkpoint()
+    span, total, done, left = 1, own.count(), [at.where("to is null")], at.where("to is not null")
+    while span <= total and left.limit(1).count():
+        far = reduce(DataFrame.unionByName, [*done, left]).select(F.col("envelope").alias("to"), F.col("to").alias("to2"), F.col("length").alias("length2"), F.col("start").alias("start2"), F.col("broken").alias("broken2"))
+        now = left.join(far, "to", "left").select("envelope", F.col("to2").alias("to"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), F.coalesce("start2", "start").alias("start"), F.coalesce("broken2", "broken").alias("broken")).checkpoint()
+        done, left = [*done, now.where("to is null")], now.where("to is not null")
         span *= 2
+    at = reduce(DataFrame.unionByName, [*done, left])
     ended = F.col("to").isNull()
     codes = F.when(ended, F.col("codes")).otherwise(F.array_append("codes", F.lit("cycle")))
     return own.join(at, "envelope").select("envelope", F.array_join(codes, ",").alias("codes"), *(F.when(ended, F.col(c)).alias(c) for c in ("start", "length", "broken")))

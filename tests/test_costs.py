@@ -72,6 +72,20 @@ def test_levels_send_nothing_to_the_driver(spark):
     assert "rightHint=(strategy=merge)" in plan_of(graphs.topological_levels(nodes, edges))
 
 
+def test_ended_chains_fill_no_task(spark):
+    ensure_checkpoints(spark)
+    with plain_shuffles(spark):
+        rows = spark.range(4000).select(F.concat(F.lit("e"), "id").alias("envelope"), F.lit("c").alias("content"), F.lit(None).cast("string").alias("previous"), F.concat(F.lit("h"), "id").alias("hash"))
+        joined = []
+        real = trees.left_join_known
+        trees.left_join_known = lambda *a: joined.append(real(*a)) or joined[-1]
+        try:
+            assert trees.chain_report(rows).count() == 4000
+        finally:
+            trees.left_join_known = real
+        assert len(joined) == 2 and largest_share(joined[1]) < 0.5
+
+
 def test_parsers_keep_few_rows(spark):
     """A batch of many texts goes out as many batches of few rows."""
     from ledgerline.sources import batches
