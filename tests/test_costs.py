@@ -95,3 +95,4 @@ def test_parsers_keep_few_rows(spark):
     assert max(b.num_rows for b in out) <= batches.ROWS and sum(b.num_rows for b in out) == 27_000
     long = pa.RecordBatch.from_arrays([pa.array(["s"] * 9), pa.array(["x" * batches.CHARS] * 9)], ["source", "text"])
     assert [b.num_rows for b in batches.parsed(iter([long]), lambda s, t: [(s, t)], ["s", "x"], [pa.string(), pa.string()])] == [1] * 9
+    assert markdown.parsed is batches.parsed
