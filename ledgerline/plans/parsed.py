@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.containers import markdown_tree as tree_of
 from ledgerline.sources.markup import markup_atoms as atoms_of
+from ledgerline.sources.shared import ensure_checkpoints
 from ledgerline.sources.structured import coverage, structured_segments
 
 from .corpus import table
@@ -210,8 +211,9 @@ def markdown_tree(spark, d):
 
 @query(_pieces_sql(_MD, [(0, len(_MD) - 1, "1")], "one") + """ SELECT source, end_byte AS bytes, true AS tiles, CAST(0 AS BIGINT) AS astray FROM e""")
 def markdown_tree_coverage(spark, d):
-    """Root blocks cover each text; no segment lies outside its parent."""
-    rows = tree_of(_markdown(spark, d)).select("source", "segment_id", "parent_id", "start_byte", "end_byte", "kind")
+    """Root blocks cover each text; no segment lies outside its parent. Texts are parsed once, and what is used three times is written."""
+    ensure_checkpoints(spark)
+    rows = tree_of(_markdown(spark, d)).select("source", "segment_id", "parent_id", "start_byte", "end_byte", "kind").checkpoint()
     parents = rows.select("source", F.col("segment_id").alias("parent_id"), F.col("start_byte").alias("from"), F.col("end_byte").alias("to"))
     held = rows.where("parent_id is not null").join(parents, ["source", "parent_id"], "left")
     astray = held.groupBy("source").agg(F.count_if(F.expr("`from` is null or start_byte < `from` or end_byte > `to`")).alias("astray"))

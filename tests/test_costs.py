@@ -96,3 +96,7 @@ def test_parsers_keep_few_rows(spark):
     long = pa.RecordBatch.from_arrays([pa.array(["s"] * 9), pa.array(["x" * batches.CHARS] * 9)], ["source", "text"])
     assert [b.num_rows for b in batches.parsed(iter([long]), lambda s, t: [(s, t)], ["s", "x"], [pa.string(), pa.string()])] == [1] * 9
     assert markdown.parsed is batches.parsed
+
+
+def test_trees_are_parsed_once(spark):
+    assert plan_of(parsed.markdown_tree_coverage(spark, DATA)).count("MapInArrow") == 0  # it is in a checkpoint
