@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.sizes import left_join_spread
+from ledgerline.sources.shared import ensure_checkpoints
+
 PIECE = 1 << 16
 
 
@@ -34,13 +37,15 @@ def text_pieces(texts: DataFrame, key: str, text: str, piece: int = PIECE) -> Da
 def with_bytes(spans: DataFrame, texts: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFrame:
     """Adds ``size_``, the bytes of the text of each row's key (null if there is none), and ``raw_``, what lies from its start_byte to its end_byte; null outside the text.
 
-    ``texts`` has one row a key. Spans longer than a piece are joined to the whole text: the text then is in proportion to the span.
+    ``texts`` has one row a key; a key, known or not, may have any number of spans. Spans longer than a piece are joined to the whole text: the text then is in proportion to the span.
     """
-    sized = spans.join(texts.select(key, F.octet_length(text).cast("long").alias("size_")), key, "left")
+    ensure_checkpoints(spans.sparkSession)
+    sized = left_join_spread(spans, texts.select(key, F.octet_length(text).cast("long").alias("size_")), key)
     start, length = F.col("start_byte").cast("long"), F.col("end_byte") - F.col("start_byte")
     inside = F.coalesce((start >= 0) & (length >= 0) & (F.col("end_byte") <= F.col("size_")), F.lit(False))
     last = F.greatest(F.floor((F.col("size_") - 1) / piece), F.lit(0)).cast("long")
-    rows = sized.withColumn("at_", F.when(inside & (length <= piece), F.least(F.floor(start / piece).cast("long"), last)))
+    nowhere = -1 - F.pmod(F.xxhash64(key, "start_byte", "end_byte"), F.lit(1 << 16))  # no piece; spreads the rows of one unknown text
+    rows = sized.withColumn("at_", F.when(inside & (length <= piece), F.least(F.floor(start / piece).cast("long"), last)).otherwise(nowhere))
     slice_ = lambda data, begin: F.decode(F.substring(data, begin.cast("int") + 1, length.cast("int")), "UTF-8")
     short = rows.where(~inside | (length <= piece)).join(text_pieces(texts, key, text, piece), [key, "at_"], "left").withColumn("raw_", slice_(F.col("bytes_"), start - F.col("at_") * piece)).drop("at_", "bytes_")
     wide = rows.where(inside & (length > piece)).drop("at_").join(texts.select(key, F.encode(text, "UTF-8").alias("bytes_")), key).withColumn("raw_", slice_(F.col("bytes_"), start)).drop("bytes_")

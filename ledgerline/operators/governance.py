@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions.spans import with_bytes
 from ledgerline.functions.globs import glob_regex
 from ledgerline.functions.text import is_blank, tokens_by_words, word_count
+from ledgerline.sources.shared import ensure_checkpoints
 
 from .pieces import ranked, with_neighbours
+from .sizes import left_join_spread
 
 #: What a qualified claim states, and the least share of typed blocks and of resolved references.
 CLAIM_FIELDS = ("intended_use", "owner", "risk_classification", "external_ref", "control_requirement", "implementation_ref", "verification_ref", "evidence_artifact", "release_gate")
@@ -177,7 +179,9 @@ def child_lists(segments: DataFrame) -> DataFrame:
 def crossref_faults(edges: DataFrame, atoms: DataFrame) -> DataFrame:
     """(source, target, fault) of edges (source, target, start_byte, end_byte, locator) whose ends are unknown or whose bytes in the source's text are not the locator; a span outside the text holds nothing."""
     dst = atoms.select(F.col("atom_id").alias("target"), F.lit(True).alias("there"))
-    rows = with_bytes(edges, atoms.select(F.col("atom_id").alias("source"), F.col("text").alias("whole_")), "source", "whole_").join(dst, "target", "left")
+    ensure_checkpoints(edges.sparkSession)
+    known = left_join_spread(edges, dst, "target")
+    rows = with_bytes(known, atoms.select(F.col("atom_id").alias("source"), F.col("text").alias("whole_")), "source", "whole_")
     fault = F.when(F.col("size_").isNull(), "unknown_source").when(F.col("there").isNull(), "unknown_target").when(F.coalesce("raw_", F.lit("")) != F.col("locator"), "bytes_differ")
     return rows.select("source", "target", fault.alias("fault")).where("fault is not null")
 

@@ -86,6 +86,14 @@ def test_ended_chains_fill_no_task(spark):
         assert len(joined) == 2 and largest_share(joined[1]) < 0.5
 
 
+def test_spans_of_an_unknown_text_fill_no_task(spark):
+    texts = spark.createDataFrame([("a", "some text"), ("b", None)], "source string, text string")
+    spans = spark.range(4000).select(F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 < 3, "none").alias("source"), (F.col("id") % 5).alias("start_byte"), (F.col("id") % 5 + 4 + F.col("id")).alias("end_byte"))
+    with plain_shuffles(spark):
+        assert largest_share(with_bytes(spans.where("source = 'none' or source is null"), texts, "source", "text")) < 0.5
+        assert {(r["source"], r["size_"]) for r in with_bytes(spans, texts, "source", "text").collect()} == {("a", 9), ("none", None), (None, None)}
+
+
 def test_parsers_keep_few_rows(spark):
     """A batch of many texts goes out as many batches of few rows."""
     from ledgerline.sources import batches
