@@ -14,6 +14,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to several partitions a core, for work on a row that takes far longer than reading it: few tasks read a small file."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def left_join_known(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join in which rows without a key take no part: a shuffle would bring all of them to one task."""
     return rows.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

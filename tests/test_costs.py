@@ -94,6 +94,12 @@ def test_spans_of_an_unknown_text_fill_no_task(spark):
         assert {(r["source"], r["size_"]) for r in with_bytes(spans, texts, "source", "text").collect()} == {("a", 9), ("none", None), (None, None)}
 
 
+def test_lines_are_dealt_out(spark):
+    lines = spark.range(200).select(F.col("id").alias("document"), F.lit(1).alias("line_no"), F.lit("see Annex A and section 2").alias("text")).coalesce(1)
+    found = citations.detected_references(lines)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 600
+
+
 def test_parsers_keep_few_rows(spark):
     """A batch of many texts goes out as many batches of few rows."""
     from ledgerline.sources import batches
