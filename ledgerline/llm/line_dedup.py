@@ -1,14 +1,15 @@
 """Line dedup: exact set-similarity join over the word sets of lines.
 
-Lines of at least ``min_words`` words are sets of words. Words are ordered by rarity: by the number of lines in their
-hash bucket, over all documents, then by bucket and hash, which is one order for all lines. If two sets have a Jaccard
-similarity of at least t, their prefixes of n - ceil(t n) + 1 words share a word; so prefix words are shuffled, and in each
-word's group a line meets the earlier ones that pass the length filter, the positional filter and a bitmap filter
-(the parity of word hashes per bit never differs more than the sets do). Surviving pairs are verified on the whole
-sets. A line is removed if an earlier line, by document and line number, is as similar; copies of a set are
-found by its hash, and sets so small that only equal ones are similar send no words. A line meets at most ``NEAR`` earlier
-ones per word in the first round; those that had more and were not matched meet all in a second round, so nothing is
-lost and a group of like lines does not make all its pairs.
+Lines of at least ``min_words`` words are sets of words. Words are ordered by rarity: by how often words of their
+hash bucket occur, over all documents, then by bucket and hash, which is one order for all lines. If two sets have a Jaccard
+similarity of at least t, their prefixes of n - ceil(t n) + 1 words share a word; so prefix words are shuffled. Each
+word's group is sorted by size; a line looks through those whose sizes fit its own and the word's position in it, and meets the
+earlier ones that pass the length filter, the positional filter and a bitmap filter (the parity of word hashes per bit never
+differs more than the sets do). Surviving pairs are verified on the whole sets. A line is removed if an earlier line, by
+document and line number, is as similar; copies are found by a hash of their words that needs no sorting (see ``set_keys``),
+and sets so small that only equal ones are similar send no words. A line meets at most ``NEAR`` earlier ones per word in the
+first round; those that had more and were not matched meet all in a second round, so nothing is lost and a group of like
+lines does not make all its pairs.
 
 Words are dealt to shelves, in numbers that follow the input. A shelf that a sample shows to be hot is cut into parts, and
 each pair of parts meets in a task of its own. The sample steers the work only; no result depends on it.
@@ -40,34 +41,34 @@ NEAR = 4
 #: Bytes of (row_id, line numbers) up to which they are broadcast instead of shuffling texts; slots of the second round's bitmap of words.
 BROADCAST_BYTES, SLOTS = 48 << 20, 1 << 22
 #: Bytes of text whose lines are taken at once, of entries whose words are, and sets that a task remembers to have sent.
-PIECE, GROUP_BYTES, REMEMBERED = 1 << 18, 1 << 22, 1 << 15
+PIECE, GROUP_BYTES, REMEMBERED = 1 << 18, 1 << 22, 1 << 16
 #: Least number of shelves, words of all sets for each shelf, entry bytes of a part of a hot shelf, rows of the sample (one of so many).
 SHELVES, SHELF_WORDS, HOT_BYTES, SAMPLE = 2048, 1 << 15, 1 << 23, 64
-#: Parts of the bucket counts, and words that a task counts at once.
-PARTS, COUNTED = 64, 1 << 20
-LINES = "part int, counts binary, row_id long, line_no int, h1 long, h2 long"
+#: Parts of the bucket counts, words that a task counts at once, and entries that it sends at once.
+PARTS, COUNTED, HELD = 64, 1 << 20, 150_000
+LINES = "part int, counts binary, row_id long, line_no int, again boolean, h1 long, h2 long"
 #: A prefix word of a line: the word, the line's place, its words, the word's position by rarity, whether the second round asks for the line, the parity of word hashes per bit.
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2"), ("open", "?"), ("bits", "<u8", 3)])
+#: A set that a task has sent: its hash and place, and whether the slot is taken.
+SENT = np.dtype([("key", "<u8"), ("row", "<i8"), ("line", "<i4"), ("full", "?")])
 
 
 def held_in(wanted: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Whether each word's slot is set in a bitmap."""
-    slot = (word % np.uint64(SLOTS)).astype(np.int64)
+    slot = (word & np.uint64(SLOTS - 1)).astype(np.int64)
     return (wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def by_rarity(word: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Keys that sort words by rarity: the place of a word's bucket in that order above the hash bits that differ within a bucket; one to one."""
     low = np.uint64(65 - len(places).bit_length())
-    return (places[(word >> low).astype(np.int64)] << low) | (word & ((np.uint64(1) << low) - np.uint64(1)))
+    return (places[(word >> low).astype(np.int64)].astype(np.uint64) << low) | (word & ((np.uint64(1) << low) - np.uint64(1)))
 
 
-def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None = None, places: np.ndarray | None = None) -> Iterator[dict]:
-    """Sets of lines with enough words, and with a ``wanted`` one if that bitmap is given, about ``PIECE`` bytes of (row_id, text) at a time.
+def line_words(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None = None) -> Iterator[dict]:
+    """Words of lines with enough of them, and with a ``wanted`` one if that bitmap is given, about ``PIECE`` bytes of (row_id, text) at a time.
 
-    Each line's words ascend by hash, or by rarity if the buckets' ``places`` in that order are given.
-
-    ``word``: the sets' hashes; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
+    ``word``: hashes as they come in the text, repeats included; ``first``: where each line begins in it; ``size``, ``row_id``, ``line_no``: per line.
     """
     ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary())
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -77,70 +78,92 @@ def line_sets(batch: pa.RecordBatch, min_words: int, wanted: np.ndarray | None =
         texts = [x or b"" for x in column.slice(at, end - at).to_pylist()]
         data = b"\n".join(texts)
         word, start = hash_words(data)
-        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-        line = np.searchsorted(breaks, start)
+        bounds = np.concatenate(([0], np.searchsorted(start, np.flatnonzero(np.frombuffer(data, np.uint8) == 10)), [len(word)]))  # words before each line, and all
         n_lines = np.array([x.count(b"\n") + 1 for x in texts])
         first_line = np.cumsum(n_lines) - n_lines
-        enough = np.bincount(line, minlength=len(breaks) + 1) >= min_words
+        size = np.diff(bounds)
+        enough = size >= max(min_words, 1)
         if wanted is not None:
-            enough &= np.bincount(line[held_in(wanted, word)], minlength=len(breaks) + 1) > 0
-        keep = enough[line]
-        word, line = word[keep], line[keep]
-        rank, order = word if places is None else by_rarity(word, places), None
-        if len(breaks) < 1 << 16:  # one sort by line and 48 bits; should words of a line agree in these, they are sorted in full
-            key = (line.astype(np.uint64) << np.uint64(48)) | (rank >> np.uint64(16))
-            order = np.argsort(key)
-            alike = key[order[1:]] == key[order[:-1]]
-            if (word[order[1:]][alike] != word[order[:-1]][alike]).any():
-                order = None
-        if order is None:
-            order = np.argsort(rank)
-            order = order[np.argsort(line[order], kind="stable")]
-        word, line = word[order], line[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-        word, line = word[new], line[new]
-        first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-        if len(first):
-            own = line[first]
+            enough &= np.diff(np.concatenate(([0], np.cumsum(held_in(wanted, word))))[bounds]) > 0
+        if enough.any():
+            own = np.flatnonzero(enough)
             doc = np.searchsorted(first_line, own, side="right") - 1
-            yield {"word": word, "line": np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word)))), "first": first, "size": np.diff(np.append(first, len(word))), "row_id": ids[at:end][doc].astype(np.int64), "line_no": (own - first_line[doc]).astype(np.int32)}
+            yield {"word": word if enough.all() else word[np.repeat(enough, size)], **placed(size[own]), "row_id": ids[at:end][doc].astype(np.int64), "line_no": (own - first_line[doc]).astype(np.int32)}
         at = end
 
 
+def placed(size: np.ndarray) -> dict:
+    return {"first": np.cumsum(size) - size, "size": size}
+
+
 def chosen(s: dict, keep: np.ndarray) -> dict:
-    """The sets of some lines."""
+    """Some of the lines."""
     if keep.all():
         return s
-    own, size = keep[s["line"]], s["size"][keep]
-    return {"word": s["word"][own], "line": np.repeat(np.arange(len(size)), size), "first": np.cumsum(size) - size, "size": size, "row_id": s["row_id"][keep], "line_no": s["line_no"][keep]}
-
-
-def set_keys(s: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each set."""
+    return {"word": s["word"][np.repeat(keep, s["size"])], **placed(s["size"][keep]), "row_id": s["row_id"][keep], "line_no": s["line_no"][keep]}
+
+
+def word_sets(s: dict, places: np.ndarray | None = None) -> dict:
+    """Each line's words once, ascending by hash, or by rarity if the buckets' ``places`` in that order are given."""
+    word, size = s["word"], s["size"]
+    line = np.repeat(np.arange(len(size)), size)
+    rank, b = word if places is None else by_rarity(word, places), np.uint64(len(size).bit_length())
+    key = (line.astype(np.uint64) << (np.uint64(64) - b)) | (rank >> b)  # one sort by line and the upper bits; should words of a line agree in these, they are sorted in full
+    order = np.argsort(key)
+    sorted_, key = word[order], key[order]
+    alike = key[1:] == key[:-1]
+    if (sorted_[1:][alike] != sorted_[:-1][alike]).any():
+        order = np.argsort(rank)
+        order = order[np.argsort(line[order], kind="stable")]
+        sorted_ = word[order]
+        alike = (sorted_[1:] == sorted_[:-1]) & (line[1:] == line[:-1])
+    if not alike.any():
+        return s | {"word": sorted_}
+    new = np.append(True, ~alike)
+    return s | {"word": sorted_[new], **placed(np.bincount(line[new], minlength=len(size)))}
+
+
+def set_keys(s: dict, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each line's words.
+
+    Lines of equal sets that repeat words differently may differ in them and are then found by their prefixes. Sets that send none have one hash: lines
+    with so few words, by a count of bits that depends on the set only, are taken as sets.
+    """
     salt = np.uint64(0xA24BAED4963EE407)
-    return mix(np.add.reduceat(mix(s["word"] ^ salt), s["first"]) + s["size"].astype(np.uint64)), mix(np.add.reduceat(mix(s["word"] + salt), s["first"]))
+    hashed = lambda s: (mix(np.add.reduceat(mix(s["word"] ^ salt), s["first"]) + s["size"].astype(np.uint64)), mix(np.add.reduceat(mix(s["word"] + salt), s["first"])))
+    h1, h2 = hashed(s)
+    a, b = similarity
+    few = np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (s["word"] & np.uint64(63)), s["first"])) <= ((a - 1) // (b - a) if b > a else 64)
+    if few.any():
+        h1[few], h2[few] = hashed(word_sets(chosen(s, few)))
+    return h1, h2
 
 
-def scan_lines(docs: DataFrame, min_words: int, bits: int) -> DataFrame:
-    """Rows (row_id, line_no, h1, h2) of every line with enough words, and for each task rows (part, counts): lines with a word in each bucket of that part."""
+def scan_lines(docs: DataFrame, similarity: tuple[int, int], min_words: int, bits: int) -> DataFrame:
+    """Rows (row_id, line_no, again, h1, h2) of every line with enough words, and for each task rows (part, counts): words in each bucket of that part.
+
+    ``again``: whether an earlier line of the same text has these hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, names = np.zeros(1 << bits, np.int64), [], [x.split()[0] for x in LINES.split(", ")]
         for batch in batches:
-            for s in line_sets(batch, min_words):
+            for s in line_words(batch, min_words):
                 held.append((s["word"] >> np.uint64(64 - bits)).astype(np.int32))
                 if sum(map(len, held)) > COUNTED:
                     counts += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held.clear()
-                h1, h2 = set_keys(s)
+                h1, h2 = set_keys(s, similarity)
+                order = np.lexsort((s["line_no"], h2, h1, s["row_id"]))
+                again = np.zeros(len(h1), bool)
+                again[order[1:]] = np.all([x[order[1:]] == x[order[:-1]] for x in (h1, h2, s["row_id"])], axis=0)
                 none = [pa.nulls(len(h1), pa.int32()), pa.nulls(len(h1), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(s["row_id"]), pa.array(s["line_no"]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(s["row_id"]), pa.array(s["line_no"]), pa.array(again), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << bits)
         if counts.any():
             parts = [x.tobytes() for x in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(PARTS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(PARTS, t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], names)
 
     return docs.select("row_id", "text").mapInArrow(run, LINES)
 
@@ -177,18 +200,22 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
     a, b = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, int] = {}  # the earliest place of sets so far
+        sent = np.zeros(REMEMBERED, SENT)  # in a slot the last set that was sent and its earliest place so far
         held: list[np.ndarray] = []
 
         def fresh_lines(s: dict) -> np.ndarray:
-            fresh, order = np.zeros(len(s["first"]), bool), np.lexsort((s["line_no"], s["row_id"]))
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            for i, k, row, line in zip(order.tolist(), *(x[order].tolist() for x in (set_keys(s)[0], s["row_id"], s["line_no"]))):
-                place = (row << 31) + line
-                if k not in sent or place < sent[k]:
-                    sent[k] = place
-                    fresh[i] = True
+            key, row, line = set_keys(s, similarity)[0], s["row_id"], s["line_no"]
+            order = np.lexsort((line, row, key))
+            first = order[np.append(True, key[order[1:]] != key[order[:-1]])]
+            own = np.empty(len(first), SENT)
+            own["key"], own["row"], own["line"], own["full"] = key[first], row[first], line[first], True
+            slot = (own["key"] % np.uint64(REMEMBERED)).astype(np.int64)
+            known = sent[slot]
+            before = (known["row"] < own["row"]) | ((known["row"] == own["row"]) & (known["line"] <= own["line"]))
+            new = ~(known["full"] & (known["key"] == own["key"]) & before)
+            sent[slot[new]] = own[new]
+            fresh = np.zeros(len(key), bool)
+            fresh[first[new]] = True
             return fresh
 
         def flush() -> pa.RecordBatch:
@@ -197,35 +224,47 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
             shelf = (rows["word"] % np.uint64(shelves)).astype(np.int64)
             order = np.argsort(shelf, kind="stable")
             names, at = np.unique(shelf[order], return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(rows[order], at[1:])], pa.binary())], ["shelf", "entries"])
+            offsets = (np.append(at, len(rows)) * ENTRY.itemsize).astype(np.int32)
+            entries = rows.view(f"V{ENTRY.itemsize}")[order]
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(entries.view(np.uint8))])], ["shelf", "entries"])
 
         for batch in batches:
             asked = {(r, n) for r, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) for n in own or ()} if batch.num_columns > 2 else set()
-            for s in line_sets(batch.select([0, 1]), min_words, None if wanted is None else wanted.value, rarity.value):
-                opened = np.fromiter(((r, n) in asked for r, n in zip(s["row_id"].tolist(), s["line_no"].tolist())), bool, len(s["first"])) if asked else np.zeros(len(s["first"]), bool)
+            asked_rows = np.array([*{r for r, _ in asked}], np.int64)
+            for s in line_words(batch.select([0, 1]), min_words, None if wanted is None else wanted.value):
+                opened = np.zeros(len(s["first"]), bool)
+                if asked:
+                    some = np.flatnonzero(np.isin(s["row_id"], asked_rows))
+                    opened[some] = [x in asked for x in zip(s["row_id"][some].tolist(), s["line_no"][some].tolist())]
                 speaks = opened if slots else fresh_lines(s) | opened
-                speaks = speaks & ~alone(s["size"], similarity)
                 if not speaks.any():
                     continue
-                s, opened = chosen(s, speaks), opened[speaks]
-                word, line, first, size = s["word"], s["line"], s["first"], s["size"]
-                at = np.arange(len(word)) - first[line]
-                take = at < (size - -(-a * size // b) + 1)[line]
+                s, opened = word_sets(chosen(s, speaks), rarity.value), opened[speaks]
+                many = ~alone(s["size"], similarity)
+                if not many.any():
+                    continue
+                s, opened = chosen(s, many), opened[many]
+                word, first, size = s["word"], s["first"], s["size"]
+                n = size - -(-a * size // b) + 1
+                own = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(own)) - placed(n)["first"][own]
+                took = word[first[own] + at]
                 if slots:
-                    own = np.unique(word[take] % np.uint64(SLOTS)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.binary())], ["shelf", "entries"])
+                    slot = np.unique(took & np.uint64(SLOTS - 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.nulls(len(slot), pa.binary())], ["shelf", "entries"])
                     continue
                 if wanted is not None:
-                    take &= held_in(wanted.value, word)
-                bit = (word % np.uint64(192)).astype(np.int64)
-                flag = np.uint64(1) << (bit & 63).astype(np.uint64)
-                own = line[take]
+                    held_too = held_in(wanted.value, took)
+                    own, at, took = own[held_too], at[held_too], took[held_too]
+                    if not len(own):
+                        continue
+                plane, flag = ((word & np.uint64(0xFFFF)) * np.uint64(3)) >> np.uint64(16), np.uint64(1) << ((word >> np.uint64(16)) & np.uint64(63))
                 rows = np.empty(len(own), ENTRY)
-                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"], rows["open"] = word[take], s["row_id"][own], s["line_no"][own], size[own], np.minimum(at[take], 65535), opened[own]  # a smaller position only weakens the filter
+                rows["word"], rows["row"], rows["line"], rows["size"], rows["at"], rows["open"] = took, s["row_id"][own], s["line_no"][own], size[own], np.minimum(at, 65535), opened[own]  # a smaller position only weakens the filter
                 for k in range(3):
-                    rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flag, np.uint64(0)), first)[own]
+                    rows["bits"][:, k] = np.bitwise_xor.reduceat(np.where(plane == k, flag, np.uint64(0)), first)[own]
                 held.append(rows)
-                if sum(map(len, held)) > 100_000:
+                if sum(map(len, held)) > HELD:
                     yield flush()
         if held:
             yield flush()
@@ -257,33 +296,56 @@ def meet(similarity: tuple[int, int], near: int | None):
     def group(blobs: list[bytes], roles: list[int]) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(blobs), ENTRY)
         role = np.repeat(np.array(roles, np.int8), [len(x) // ENTRY.itemsize for x in blobs])
-        order = np.argsort(rows["word"])
-        sorted_ = rows["word"][order]
+        word = np.ascontiguousarray(rows["word"])
+        order = np.argsort(word)
+        sorted_ = word[order]
         alike = sorted_[1:] == sorted_[:-1]
-        order = order[np.append(False, alike) | np.append(alike, False)]  # a word of one line has no pair
-        order = order[np.lexsort((rows["line"][order], rows["row"][order], rows["word"][order]))]
-        rows, role = rows[order], role[order]
-        word, row, line, size, at = (np.ascontiguousarray(rows[k]) for k in ("word", "row", "line", "size", "at"))
+        pick = np.append(False, alike) | np.append(alike, False)  # a word of one line has no pair
+        order, group_of = order[pick], np.cumsum(np.append(True, ~alike)[pick])
+        # Within a word lines ascend by size and, nearly, by place: the partners that sizes and positions allow lie together, early lines first.
+        row = rows["row"][order]
+        low, high = (int(row.min()), int(row.max())) if len(row) else (0, 0)
+        place = (row - low).astype(np.uint64) >> np.uint64(max(0, (high - low).bit_length() - 24))  # of 24 bits; a difference beyond 63 bits wraps to the right number
+        key = (group_of << 40) | (np.minimum(rows["size"][order], 65535).astype(np.int64) << 24) | place.astype(np.int64)
+        again = np.argsort(key)
+        order, key = order[again], key[again] >> 24
+        rows, role = rows.view(f"V{ENTRY.itemsize}")[order].view(ENTRY), role[order]
+        row, line, size, at = (np.ascontiguousarray(rows[k]) for k in ("row", "line", "size", "at"))
         size, at, bits = size.astype(np.int64), at.astype(np.int64), np.ascontiguousarray(rows["bits"].T)
-        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-        rank = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
         asks, answers = (role & 1 == 1) & (rows["open"] if near is None else True), role & 2 == 2
-        found, d, count, active = [], 1, np.zeros(len(word), np.int32), np.flatnonzero((rank >= 1) & asks)
+        active = np.flatnonzero(asks)
+        least, most_ = -(-a * size[active] // b), ((a + b) * (size[active] - at[active]) - a * size[active]) // a
+        word_key = key[active] >> 16 << 16
+        start = np.searchsorted(key, word_key | np.minimum(least, 65535))
+        stop = np.searchsorted(key, word_key | np.clip(most_, 0, 65535), side="right")
+        # A line begins with those just before it and goes on from the other end, so the lines of a group have different partners.
+        begin, room, seen = np.clip(active, start, stop) - 1, stop - start, 0
+        begin, start, active, room = (z[room > 0] for z in (begin, start, active, room))
+        found, count = [], np.zeros(len(rows), np.int32)
         while len(active):
-            other = active - d
-            nx, ny = size[active], size[other]
+            step = min(64, max(1, 65536 // len(active)))  # partners that each line looks at at once
+            i, k = np.nonzero(seen + np.arange(step) < room[:, None])
+            x, y = active[i], begin[i] - seen - k
+            y += np.where(y < start[i], room[i], 0)
+            nx, ny = size[x], size[y]
             need = -(-a * (nx + ny) // (a + b))
-            ok = answers[other] & (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (np.minimum(nx - at[active], ny - at[other]) >= need) & ((row[active] != row[other]) | (line[active] != line[other]))
-            x, y, most = active[ok], other[ok], (nx + ny - 2 * need)[ok]
+            ok = answers[y] & (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (np.minimum(nx - at[x], ny - at[y]) >= need)
+            ok &= (row[y] < row[x]) | ((row[y] == row[x]) & (line[y] < line[x]))
+            x, y, most, left = x[ok], y[ok], (nx + ny - 2 * need)[ok], (seen + k + 1 < room[i])[ok]
             apart = np.zeros(len(x), np.int64)
             for q in bits:
                 apart += np.bitwise_count(q[x] ^ q[y])
-            x, y, apart = x[apart <= most], y[apart <= most], apart[apart <= most]
-            count[x] += 1
-            d += 1
-            if len(x):
-                found.append((y, x, (count[x] >= near) & (rank[x] >= d) if near else np.zeros(len(x), bool), apart.astype(np.int32)))
-            active = active[(rank[active] >= d) & ((count[active] < near) if near else True)]
+            ok = apart <= most
+            x, y, apart, left = x[ok], y[ok], apart[ok], left[ok]
+            if len(x):  # pairs of a line follow each other
+                new = np.append(True, x[1:] != x[:-1])
+                nth = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1] + count[x] + 1
+                ok = nth <= near if near else np.ones(len(x), bool)
+                found.append((y[ok], x[ok], ((nth == near) & left)[ok] if near else np.zeros(len(x), bool), apart[ok].astype(np.int32)))
+                count += np.bincount(x[ok], minlength=len(count)).astype(np.int32)
+            seen += step
+            go = (seen < room) & ((count[active] < near) if near else True)
+            begin, start, active, room = begin[go], start[go], active[go], room[go]
         y, x, more, apart = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32))
         return pa.RecordBatch.from_arrays([pa.array(z) for z in (row[y], line[y], row[x], line[x], more, apart)], [q.split()[0] for q in PAIRS.split(", ")])
 
@@ -325,7 +387,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             texts = [b"\n".join(map((t or b"").split(b"\n").__getitem__, own)) for t, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), asked)]  # no more than the wanted lines are hashed
             few = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["at", "text"])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for s in line_sets(few, min_words):
+            for s in map(word_sets, line_words(few, min_words)):
                 at = s["row_id"].tolist()
                 numbers = [asked[i][n] for i, n in zip(at, s["line_no"].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(s["first"], len(s["word"])), pa.int32()), pa.array(s["word"].view(np.int64)))
@@ -357,22 +419,23 @@ def matched(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_
 
 def later_copies(lines: DataFrame) -> DataFrame:
     """(row_id, line_no) of all but the first line of each set. Sets of very many lines, of which there are few, are broadcast; the others are joined by a shuffle."""
-    sets = materialise(lines.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-firsts")
+    alike, lines = lines.where("again").select("row_id", "line_no"), lines.where("not again")  # so a set has one line of a text, and its first line that of the first text
+    sets = materialise(lines.groupBy("h1", "h2").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-firsts")
     many = max(1_000, lines.count() // (BROADCAST_ROWS // 2))  # at most BROADCAST_ROWS / 2 sets have more lines
     hot = F.broadcast(sets.where(F.col("n") > many).select("h1", "h2", F.col("first").alias("hot")))
     split = lines.join(hot, ["h1", "h2"], "left")
     few = split.where("hot is null").join(sets.where(F.col("n") <= many), ["h1", "h2"]).select("row_id", "line_no", "first")
     both = few.unionByName(split.where("hot is not null").select("row_id", "line_no", F.col("hot").alias("first")))
-    return both.where("row_id <> first.row_id or line_no <> first.line_no").select("row_id", "line_no")
+    return both.where("row_id <> first").select("row_id", "line_no").unionByName(alike)
 
 
 def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, bits: int = BUCKET_BITS) -> DataFrame:
     """(row_id, line_no) of every removed line of ``docs(row_id, text)``."""
     share = docs.sparkSession.sparkContext.broadcast
-    scan = materialise(scan_lines(docs, min_words, bits), "lines-scan")
-    lines = scan.where("part is null").select("row_id", "line_no", "h1", "h2")
+    scan = materialise(scan_lines(docs, similarity, min_words, bits), "lines-scan")
+    lines = scan.where("part is null").select("row_id", "line_no", "again", "h1", "h2")
     counts = bucket_counts(scan, bits)
-    shelves, rarity = max(SHELVES, int(counts.sum()) // SHELF_WORDS), share(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64))
+    shelves, rarity = max(SHELVES, int(counts.sum()) // SHELF_WORDS), share(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint32))
     copies = materialise(later_copies(lines), "lines-copies")
     words = lambda rows, *more: prefixes(rows, rarity, similarity, min_words, bits, shelves, *more)
     sampled = words(docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE)) == 0).select("row_id", "text")).groupBy("shelf").agg(F.sum(F.octet_length("entries")).alias("bytes"))
@@ -417,7 +480,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataF
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     rows = keyed(docs)
     gone = removed_lines(rows.select("row_id", "text")).groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     out = rows.select("row_id", "doc_id", n_lines.alias("n_lines")).join(gone, "row_id", "left")

@@ -35,9 +35,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _block(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = _SPACE[buf]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.ones(len(buf) + 2, bool)
+    np.less_equal(buf - np.uint8(9), 4, out=space[1:-1])
+    space[1:-1] |= buf == 32
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
     up, down = _power(len(buf))
     run = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_VALUE[buf] * up[: len(buf)], out=run[1:])
