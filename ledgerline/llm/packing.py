@@ -34,58 +34,74 @@ RANK_ROWS = 50_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds(dict):
+class Recent(dict):
+    """Values of the short keys seen last. When it is full, all it holds becomes ``older`` in place of what that held, so memory is bounded and frequent keys are not lost."""
+
+    LIMIT, LONGEST = 131_072, 48
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds(Recent):
     """Little-endian token ids of a word (text between spaces or line feeds), kept for the words seen last.
 
     The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are its words' ids
-    in order. Plain words go straight to the merge model; any other goes through the whole tokenizer.
+    in order. Plain words go straight to the merge model; any other goes through the whole tokenizer. A Python worker
+    keeps this from task to task and beside other stages, so what it holds counts in all of them.
     """
 
-    LIMIT, LONGEST = 600_000, 48
     _plain = re.compile("[!-;=-~À-ɏ]+")
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
-        spec = json.load(open(path))
-        model = spec["model"]
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.bpe = BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"])
-        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.bpe = self.whole.model  # the same one, not a copy
+        self.cut = regex.compile(json.load(open(path))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet writes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.runs: dict[str, bytes] = {}
+        self.runs = Recent()
+
+    def merged(self, s: str) -> bytes:
+        shown = s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
+        return b"".join([x.id.to_bytes(4, "little") for x in self.bpe.tokenize(shown)])
 
     def run(self, s: str) -> bytes:
+        """Ids of a piece of a word; a piece of plain letters is a word."""
+        if s.isascii() and s.isalpha():
+            return self[s]
         found = self.runs.get(s)
         if found is None:
-            shown = s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
-            found = b"".join([x.id.to_bytes(4, "little") for x in self.bpe.tokenize(shown)])
-            if len(s) <= self.LONGEST:
-                if len(self.runs) >= self.LIMIT:
-                    self.runs.clear()
-                self.runs[s] = found
+            found = self.runs.older.get(s)
+            found = self.runs.keep(s, self.merged(s) if found is None else found)
         return found
 
     def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        return self.keep(word, self.ids(word) if found is None else found)
+
+    def ids(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
-            found = self.run(word.lower())
-        elif not word:
-            found = b""
-        elif self._plain.fullmatch(word):
+            return self.merged(word) if word.islower() else self[word.lower()]
+        if not word:
+            return b""
+        if self._plain.fullmatch(word):
             low = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-            found = b"".join(map(self.run, self.cut(low)))
-        else:
-            found = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = found
-        return found
+            return b"".join(map(self.run, self.cut(low)))
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))

@@ -68,6 +68,24 @@ def test_word_ids_are_the_tokenizers():
         assert w.text(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_word_ids_hold_few_words(monkeypatch):
+    import public_tokenizers
+
+    from ledgerline.llm.packing import WordIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"The w{k % 97}x,{k} Ab{'c' * (k % 23)}" for k in range(n, n + 40)) for n in range(0, 4000, 40)]
+    want = list(map(WordIds(path).text, texts))
+    monkeypatch.setattr(WordIds, "LIMIT", 50)
+    w = WordIds(path)
+    w.runs.LIMIT = 50
+    assert list(map(w.text, texts)) == want
+    assert max(map(len, (w, w.older, w.runs, w.runs.older))) <= 50
+    w.text("seen " + " ".join(map("k{}".format, range(50))))
+    assert "seen" in w or "seen" in w.older  # what was seen last outlives a full table
+    assert WordIds.__mro__[1].LIMIT <= 131_072  # a Python worker keeps the tables beside later stages
+
+
 def test_shortest_pack_first_places_everything():
     from ledgerline.llm.packing import shortest_pack_first, slots
 
