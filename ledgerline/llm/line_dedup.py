@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, documents, keyed, materialise, unnested
+from .common import BROADCAST_ROWS, broadcast_if_small, documents, keyed, materialise, tidy, unnested
 from .wordhash import hash_words, mix
 
 #: Similarity as a fraction, least number of words of a line, and bits of a word's hash that choose its rarity bucket.
@@ -165,7 +165,7 @@ def scan_lines(docs: DataFrame, similarity: tuple[int, int], min_words: int, bit
             parts = [x.tobytes() for x in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(PARTS, t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], names)
 
-    return docs.select("row_id", "text").mapInArrow(run, LINES)
+    return docs.select("row_id", "text").mapInArrow(tidy(run), LINES)
 
 
 def bucket_counts(scan: DataFrame, bits: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def bucket_counts(scan: DataFrame, bits: int) -> np.ndarray:
                 total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
-    tasks = scan.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary")
+    tasks = scan.where("part is not null").select("part", "counts").repartition("part").mapInArrow(tidy(add), "part int, counts binary")
     rows = tasks.collect()  # PARTS rows, 2**bits numbers
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
 
@@ -269,7 +269,7 @@ def prefixes(docs: DataFrame, rarity, similarity: tuple[int, int], min_words: in
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "shelf long, entries binary")
+    return docs.mapInArrow(tidy(run), "shelf long, entries binary")
 
 
 #: A pair, whether the line had more partners, and how many bits the two sets' bitmaps differ in.
@@ -393,7 +393,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(s["first"], len(s["word"])), pa.int32()), pa.array(s["word"].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(numbers, pa.int32()), lists], ["row_id", "line_no", "words"])
 
-    return listed(docs, wanted, "inner").mapInArrow(run, "row_id long, line_no int, words array<long>")
+    return listed(docs, wanted, "inner").mapInArrow(tidy(run), "row_id long, line_no int, words array<long>")
 
 
 def matched(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], min_words: int) -> DataFrame:
@@ -442,7 +442,7 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, min
     hot = materialise(sampled.select("shelf", F.ceil(F.col("bytes") * SAMPLE / HOT_BYTES).alias("parts")).where("parts > 1"), "lines-hot")
 
     def candidates(entries: DataFrame, near: int | None, label: str) -> DataFrame:
-        met = dealt(entries, hot).mapInArrow(meet(similarity, near), PAIRS)
+        met = dealt(entries, hot).mapInArrow(tidy(meet(similarity, near)), PAIRS)
         return materialise(met.groupBy("row_a", "line_a", "row_b", "line_b").agg(F.max("more").alias("more"), F.min("apart").alias("apart")), label)
 
     pairs = candidates(words(docs.select("row_id", "text")), NEAR, "lines-pairs")

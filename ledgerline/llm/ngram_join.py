@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, documents, keyed, materialise, nested, unnested
+from .common import broadcast_if_small, connected_components, documents, keyed, materialise, nested, tidy, unnested
 from .wordhash import hash_words, mix
 
 WORDS, SIMILARITY, RECALL, HASHES, BLOCK, BLOCK_BYTES = 5, 0.8, 0.99995, 128, 512, 1 << 23
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 bandsets.append(mix(joined + np.arange(bands, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(bandsets, pa.list_(pa.int64()))], [x.split()[0] for x in SIGNED.split(", ")])
 
-    return docs.select("row_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("row_id", "text").mapInArrow(tidy(run), SIGNED)
 
 
 def compare(similarity: float):
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "words"])
 
     texts = docs.select(F.col("row_id").alias("rid"), "text").join(broadcast_if_small(members.select("rid")), "rid", "left_semi")
-    loaded = texts.mapInArrow(load, "rid long, words binary").join(members, "rid")
+    loaded = texts.mapInArrow(tidy(load), "rid long, words binary").join(members, "rid")
     dealt = loaded.join(tasks, ["component", "block"]).select("rid", "words", "component", "copies", "blocks", "block", "first", "second")
     found = dealt.groupBy("component", "first", "second").applyInPandas(compare(similarity), "rid long, linked long, copies_linked long, root long, whole boolean")
     found = materialise(found, "ngram-found")

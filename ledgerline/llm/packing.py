@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, documents, materialise
+from .common import broadcast_if_small, documents, materialise, tidy
 
 CAPACITY, END_ID = 2048, 1
 #: Pieces that one ranking group holds on average, at most, if all have one length.
@@ -56,8 +56,7 @@ class WordIds(Recent):
     """Little-endian token ids of a word (text between spaces or line feeds), kept for the words seen last.
 
     The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are its words' ids
-    in order. Plain words go straight to the merge model; any other goes through the whole tokenizer. A Python worker
-    keeps this from task to task and beside other stages, so what it holds counts in all of them.
+    in order. Plain words go straight to the merge model; any other goes through the whole tokenizer. Each task has its own.
     """
 
     _plain = re.compile("[!-;=-~À-ɏ]+")
@@ -69,7 +68,7 @@ class WordIds(Recent):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.bpe = self.whole.model  # the same one, not a copy
-        self.cut = regex.compile(json.load(open(path))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.cut = regex.compile(json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]["pattern"]["Regex"]).findall  # the vocabulary is not parsed again
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet writes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -107,9 +106,6 @@ class WordIds(Recent):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_words: dict[str, WordIds] = {}  # one per Python worker, which serves many tasks
-
-
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32, doc_tokens, and ``ids`` (array of int) if asked for."""
     if tokenizer is None:
@@ -119,7 +115,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = PIECE + (", ids array<int>" if with_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(tokenizer) or _words.setdefault(tokenizer, WordIds(tokenizer))
+        words = WordIds(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -133,7 +129,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
             arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.list_(pa.int32()))] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(pieces), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -55,3 +55,51 @@ def test_sampled_is_about_its_share(spark):
 
     n = spark.range(200_000).where(sampled(F.col("id"), F.lit(COARSE // 10), F.lit(FINE // 2))).count()
     assert 9_000 < n < 11_000
+
+
+def workers_mb(spark) -> float:
+    """Memory that the idle Python worker which holds most of its own has."""
+
+    def own(batches):
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"kb": [int(re.search(r"\nPrivate_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])]})
+
+    return max(r["kb"] for _ in range(3) for r in spark.range(0, 400, 1, 4).mapInArrow(own, "kb long").collect()) / 1024
+
+
+def test_workers_give_memory_back(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.packing import cut_documents
+
+    texts = spark.range(0, 32, 1, 4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 6000), k -> concat('Ab', hex(id * 6001 + k), ',')), ' ')").alias("text"))
+    cut_documents(texts.where("doc_id % 8 = 0")).count()  # what is loaded once
+    before = workers_mb(spark)
+    assert cut_documents(texts).agg(F.sum("length")).first()[0] > 32 * 6001
+    assert workers_mb(spark) - before < 10
+
+
+def test_a_tidied_function_ends_before_memory_is_given_back(monkeypatch):
+    seen = []
+
+    class Held:
+        def __del__(self):
+            seen.append("gone")
+
+    def run(batches):
+        held = Held()
+        yield from batches
+        assert held
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given back"))
+    assert list(common.tidy(run)(iter("ab"))) == ["a", "b"] and seen == ["gone", "given back"]
+    left = common.tidy(run)(iter("ab"))
+    next(left)
+    left.close()  # a task that is ended early
+    assert seen == ["gone", "given back"] * 2
